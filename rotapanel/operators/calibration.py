@@ -19,15 +19,17 @@ def poststratify(
     by: list[str],
     within: list[str] | None = None,
     name: str = "w_cal",
+    sums_from: DataFrame | None = None,
 ) -> DataFrame:
     """Calibrate to one total per cell of ``by``: weights times N / N-hat.
 
     ``within`` repeats the calibration per period against the same totals, as
     a longer grouping key. A cell without sample cannot meet its total and
-    is reported by :func:`uncovered_controls`.
+    is reported by :func:`uncovered_controls`. ``sums_from`` names a cheaper
+    table with the same weights per cell, when ``df`` is costly to build.
     """
     keys = [*(within or []), *by]
-    sums = df.groupBy(*keys).agg(F.sum(weight).alias("_have"))
+    sums = (df if sums_from is None else sums_from).groupBy(*keys).agg(F.sum(weight).alias("_have"))
     factors = sums.join(controls.select(*by, F.col(total).alias("_want")), by).select(
         *keys, F.try_divide(F.col("_want"), F.col("_have")).alias("g")
     )

@@ -9,7 +9,7 @@ from rotapanel.operators.design import StratumCalibration, SurveyDesign
 from rotapanel.operators.longitudinal import adjusted_weight, longitudinal_base, mean_response_rate, person_panel
 from rotapanel.operators.propensity import fit_response, predict_response
 from rotapanel.plans.quarterly import household_targets
-from rotapanel.session import join_small
+from rotapanel.session import join_small, stored
 
 ATTRIBUTES = ["upm", "estrato", "edad", "sexo", "area", "fep_aj"]
 
@@ -24,9 +24,10 @@ def scored_panel(
     """Person-quarter rows of the panel with ``prob_resp`` and ``fep_aj``.
 
     The propensity is a logit on the covariates, or the mean response rate
-    of the stratum when there are none.
+    of the stratum when there are none. The linked rows are written once:
+    the fit, the scores and the final file all read them.
     """
-    people = person_panel(base, first, second, probability)
+    people = stored(person_panel(base, first, second, probability))
     if covariates:
         model = fit_response(people, "respboth_per", covariates)
         scored = predict_response(model, people, covariates)
@@ -37,10 +38,16 @@ def scored_panel(
 
 
 def final_base(scored: DataFrame, controls: DataFrame, state: str, first: str = "T1", second: str = "T2") -> DataFrame:
-    """One row per person seen twice, calibrated to person totals per stratum."""
+    """One row per person seen twice, calibrated to person totals per stratum.
+
+    A person seen twice has one row in the first quarter, so the weights per
+    stratum are summed there, without grouping persons first.
+    """
     both = scored.where(F.col("respboth_per") == 1)
     rows = longitudinal_base(both, state, first, second, ATTRIBUTES)
-    return poststratify(rows, "fep_aj", household_targets(controls, "N_personas"), "total", ["estrato"], name="fex_cali")
+    firsts = both.where(F.col("trimestre") == first)
+    targets = household_targets(controls, "N_personas")
+    return poststratify(rows, "fep_aj", targets, "total", ["estrato"], name="fex_cali", sums_from=firsts)
 
 
 def panel_design(final: DataFrame, residual: bool = False) -> SurveyDesign:
