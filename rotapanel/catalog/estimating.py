@@ -126,8 +126,9 @@ FROM vc WHERE stat_a LIKE '%.1' AND stat_b LIKE '%.1'""",
     ANNUAL_CAL, CELLS, covariance("cali2", "celdas"),
 ))
 def variance_blocks(spark, sf):
-    stats = _cells(spark, sf)
-    out = stats.block([n for n in stats.names if n.endswith(".1")])
+    unemployed_cells = {n: c for n, c in annual_plan.month_by_outcome().items() if n.endswith(".1")}
+    stats = stat_set(_annual(spark, sf), level_measures(unemployed_cells))
+    out = stats.block(stats.names)
     return rounded(out, total=2, var_total=0, var_diag=0, var_cov=0, se=3)
 
 
@@ -175,7 +176,9 @@ SELECT round(delta, 9) AS delta, round(v1, 12) AS var_1, round(v2, 12) AS var_2,
     ANNUAL_CAL, CELLS, PROPORTIONS, covariance("cali2", "zp"),
 ))
 def change_of_proportions(spark, sf):
-    out = net_change(_proportions(spark, sf), "T1_M1.1", "T1_M2.1")
+    cells = annual_plan.month_by_outcome()
+    two = {n: cells[n] for n in ("T1_M1.1", "T1_M2.1")}
+    out = net_change(joint_proportions(_annual(spark, sf), two), "T1_M1.1", "T1_M2.1")
     return rounded(out, delta=9, var_1=12, var_2=12, cov_12=12, se=9)
 
 

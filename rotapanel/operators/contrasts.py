@@ -24,7 +24,7 @@ def contrast(stats: StatSet, coefficients: dict[str, float], name: str = "contra
 def net_change(stats: StatSet, later: str, earlier: str, name: str = "delta") -> DataFrame:
     """later − earlier, with both variances and the covariance that enter its error."""
     v2, v1, c12 = stats.cov(later, later), stats.cov(earlier, earlier), stats.cov(earlier, later)
-    delta = stats.est[later] - stats.est[earlier]
+    delta = stats.est(later) - stats.est(earlier)
     variance = v2 + v1 - 2 * c12
     return stats.row.select(
         delta.alias(name), v1.alias("var_1"), v2.alias("var_2"), c12.alias("cov_12"), F.sqrt(variance).alias("se")

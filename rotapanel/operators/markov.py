@@ -264,11 +264,11 @@ def goodness_of_fit(
     measures = cell_measures(s1, s2, levels)
     one_each = F.try_divide(F.lit(1.0), F.col(design.weight))  # times the weight: counts persons
     shares = stat_set(design, {**measures, "_all": F.lit(1.0), "_n": one_each})
-    n = shares.row.select(F.round(shares.est["_n"]).alias("n"))
+    n = shares.row.select(F.round(shares.est("_n")).alias("n"))
     props = shares.ratios({c: (c, "_all") for c in measures})
     cells = list(measures)
     row = props.row.select(
-        F.array(*[props.est[c] for c in cells]).alias("cells"), F.array(*[props.cov(c, c) for c in cells]).alias("v")
+        F.array(*[props.est(c) for c in cells]).alias("cells"), F.array(*[props.cov(c, c) for c in cells]).alias("v")
     ).join(n, F.lit(True))
     schema = "model string, chi2 double, deff double, chi2_rs double, df int, critical double, iterations int, converged boolean"
 

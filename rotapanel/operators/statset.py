@@ -1,59 +1,77 @@
 """A listed set of statistics with their full covariance matrix.
 
-The statistics are columns of one row, so any function of them is a column
-expression and no table is joined with itself. The number of statistics is
-the number the caller lists (months times states, say); it does not grow
-with the data.
+The statistics are columns of one row, so any function of them is an
+expression over that row and no table is joined with itself. The number of
+statistics is the number the caller lists (months times states, say); it
+does not grow with the data. Expressions are SQL text, since a matrix of
+them is built at once.
 """
 from __future__ import annotations
 
 from itertools import combinations_with_replacement as pairs_of
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from rotapanel.functions.reshape import unpivot_row
 from rotapanel.operators.design import MarginCalibration, StratumCalibration, SurveyDesign
 from rotapanel.session import settle
 
 MAX_STATS = 128
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _rows(row: DataFrame, structs: list[str]) -> DataFrame:
+    """One output row per struct expression over a one-row table."""
+    return row.select(F.expr(f"explode(array({', '.join(structs)}))").alias("e")).select("e.*")
+
+
+def _aggregated(grouped: GroupedData, expressions: list[str]) -> DataFrame:
+    """Many aggregates parsed as one expression."""
+    row = grouped.agg(F.expr(f"struct({', '.join(expressions)})").alias("_row"))
+    return row.select(*[c for c in row.columns if c != "_row"], "_row.*")
+
+
 class StatSet:
-    """Estimates and covariances as expressions over a one-row table."""
+    """Estimates and covariances as SQL expressions over a one-row table."""
 
-    def __init__(self, row: DataFrame, est: dict[str, Column], cov: dict[tuple[str, str], Column]):
-        self.row, self.est, self._cov = row, est, cov
+    def __init__(self, row: DataFrame, est: dict[str, str], cov: dict[tuple[str, str], str]):
+        self.row, self._est, self._cov = row, est, cov
 
     @property
     def names(self) -> list[str]:
-        return list(self.est)
+        return list(self._est)
 
-    def cov(self, a: str, b: str) -> Column:
+    def _cov_sql(self, a: str, b: str) -> str:
         return self._cov[(a, b)] if (a, b) in self._cov else self._cov[(b, a)]
 
+    def est(self, name: str) -> Column:
+        return F.expr(self._est[name])
+
+    def cov(self, a: str, b: str) -> Column:
+        return F.expr(self._cov_sql(a, b))
+
     def estimates(self) -> DataFrame:
         """(stat, estimate, se) rows."""
-        return unpivot_row(
+        return _rows(
             self.row,
             [
-                F.struct(
-                    F.lit(n).alias("stat"),
-                    e.alias("estimate"),
-                    F.sqrt(F.greatest(self.cov(n, n), F.lit(0.0))).alias("se"),
-                )
-                for n, e in self.est.items()
+                f"named_struct('stat', {_quoted(n)}, 'estimate', {e}, "
+                f"'se', sqrt(greatest({self._cov_sql(n, n)}, 0D)))"
+                for n, e in self._est.items()
             ],
         )
 
     def vcov(self, names: list[str] | None = None) -> DataFrame:
         """(stat_a, stat_b, cov) rows, both triangles."""
         names = names or self.names
-        return unpivot_row(
+        return _rows(
             self.row,
             [
-                F.struct(F.lit(a).alias("stat_a"), F.lit(b).alias("stat_b"), self.cov(a, b).alias("cov"))
+                f"named_struct('stat_a', {_quoted(a)}, 'stat_b', {_quoted(b)}, 'cov', {self._cov_sql(a, b)})"
                 for a in names
                 for b in names
             ],
@@ -61,53 +79,55 @@ class StatSet:
 
     def combine(self, outputs: dict[str, dict[str, float]]) -> StatSet:
         """Linear contrasts, each a dict of coefficients by statistic."""
-        est = {o: sum(F.lit(float(k)) * self.est[s] for s, k in c.items()) for o, c in outputs.items()}
+        est = {
+            o: " + ".join(f"{float(k)!r}D * {self._est[s]}" for s, k in c.items()) for o, c in outputs.items()
+        }
         cov = {}
         for a, b in pairs_of(outputs, 2):
-            cov[(a, b)] = sum(
-                F.lit(float(ka * kb)) * self.cov(sa, sb)
+            cov[(a, b)] = " + ".join(
+                f"{float(ka * kb)!r}D * {self._cov_sql(sa, sb)}"
                 for sa, ka in outputs[a].items()
                 for sb, kb in outputs[b].items()
             )
-        return StatSet(self.row, est, cov).kept()
+        return StatSet(self.row, est, cov)._kept()
 
     def ratios(self, outputs: dict[str, tuple[str, str]]) -> StatSet:
         """Ratios (numerator, denominator) with linearised covariances."""
-        theta = {o: self.est[n] / self.est[d] for o, (n, d) in outputs.items()}
+        theta = {o: f"({self._est[n]} / {self._est[d]})" for o, (n, d) in outputs.items()}
         cov = {}
         for a, b in pairs_of(outputs, 2):
             (na, da), (nb, db) = outputs[a], outputs[b]
-            numerator = (
-                self.cov(na, nb)
-                - theta[b] * self.cov(na, db)
-                - theta[a] * self.cov(da, nb)
-                + theta[a] * theta[b] * self.cov(da, db)
+            cov[(a, b)] = (
+                f"({self._cov_sql(na, nb)} - {theta[b]} * {self._cov_sql(na, db)} "
+                f"- {theta[a]} * {self._cov_sql(da, nb)} + {theta[a]} * {theta[b]} * {self._cov_sql(da, db)})"
+                f" / ({self._est[da]} * {self._est[db]})"
             )
-            cov[(a, b)] = numerator / (self.est[da] * self.est[db])
-        return StatSet(self.row, theta, cov).kept()
-
-    def kept(self) -> StatSet:
-        """Name the expressions as columns so later steps refer to them by name."""
-        est = {n: F.col(f"t{i}") for i, n in enumerate(self.est)}
-        at = {n: i for i, n in enumerate(self.est)}
-        cov = {(a, b): F.col(f"c{at[a]}_{at[b]}") for a, b in self._cov}
-        row = self.row.select(
-            *[e.alias(f"t{at[n]}") for n, e in self.est.items()],
-            *[e.alias(f"c{at[a]}_{at[b]}") for (a, b), e in self._cov.items()],
+        return StatSet(self.row, theta, cov)._kept()
+
+    def _kept(self) -> StatSet:
+        """Give the expressions column names, so later steps refer to them by name."""
+        at = {n: i for i, n in enumerate(self._est)}
+        row = self.row.selectExpr(
+            *[f"{e} AS t{at[n]}" for n, e in self._est.items()],
+            *[f"{e} AS c{at[a]}_{at[b]}" for (a, b), e in self._cov.items()],
         )
-        return StatSet(row, est, cov)
+        return _named(row, list(self._est))
 
     def block(self, names: list[str]) -> DataFrame:
         """Variance of a sum of statistics, split into its diagonal and the rest."""
-        total = sum(self.cov(a, b) for a in names for b in names)
-        diagonal = sum(self.cov(a, a) for a in names)
-        return self.row.select(
-            sum(self.est[n] for n in names).alias("total"),
-            total.alias("var_total"),
-            diagonal.alias("var_diag"),
-            (total - diagonal).alias("var_cov"),
-            F.sqrt(total).alias("se"),
-        )
+        total = " + ".join(self._cov_sql(a, b) for a in names for b in names)
+        diagonal = " + ".join(self._cov_sql(a, a) for a in names)
+        return self.row.selectExpr(
+            f"{' + '.join(self._est[n] for n in names)} AS total",
+            f"{total} AS var_total",
+            f"{diagonal} AS var_diag",
+        ).selectExpr("total", "var_total", "var_diag", "var_total - var_diag AS var_cov", "sqrt(var_total) AS se")
+
+
+def _named(row: DataFrame, names: list[str]) -> StatSet:
+    est = {n: f"t{i}" for i, n in enumerate(names)}
+    cov = {(names[i], names[k]): f"c{i}_{k}" for i, k in pairs_of(range(len(names)), 2)}
+    return StatSet(row, est, cov)
 
 
 def stat_set(design: SurveyDesign, measures: dict[str, Column]) -> StatSet:
@@ -137,38 +157,32 @@ def stat_set(design: SurveyDesign, measures: dict[str, Column]) -> StatSet:
 
     parts = [f"y{i}" for i in range(len(names))] + [f"z{j}" for j in range(len(aux))]
     carried = [c for c in units.columns if c[0] in "gb"]
-    strata = settle(
-        units.groupBy("h").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(c).alias(f"s_{c}") for c in parts],
-            *[F.sum(F.col(a) * F.col(b)).alias(f"m_{a}_{b}") for a, b in pairs_of(parts, 2)],
-            *[F.sum(c).alias(c) for c in carried],
-        )
-    )
+    pairs = list(pairs_of(parts, 2))
+    sums = ["count(1) AS n", *[f"sum({c}) AS s_{c}" for c in parts]]
+    sums += [f"sum({a} * {b}) AS m_{a}_{b}" for a, b in pairs]
+    sums += [f"sum({c}) AS {c}" for c in carried]
+    strata = settle(_aggregated(units.groupBy("h"), sums))
     slopes = _slopes(strata, cal, len(names), len(aux))
-    n = F.col("n")
-    scale = design.lonely_factor(n, n / (n - 1))
+    order = set(pairs)
 
-    def moment(a: str, b: str) -> Column:
-        m = F.col(f"m_{a}_{b}") if (a, b) in order else F.col(f"m_{b}_{a}")
-        return m - F.col(f"s_{a}") * F.col(f"s_{b}") / n
+    def moment(a: str, b: str) -> str:
+        m = f"m_{a}_{b}" if (a, b) in order else f"m_{b}_{a}"
+        return f"({m} - s_{a} * s_{b} / n)"
 
-    order = set(pairs_of(parts, 2))
-    aggs = [F.sum(f"s_y{i}").alias(f"t{i}") for i in range(len(names))]
+    aggs = [f"sum(s_y{i}) AS t{i}" for i in range(len(names))]
     for i, k in pairs_of(range(len(names)), 2):
         spread = moment(f"y{i}", f"y{k}")
         for j in range(len(aux)):
-            spread = spread - slopes[i][j] * moment(f"y{k}", f"z{j}") - slopes[k][j] * moment(f"y{i}", f"z{j}")
+            spread += f" - {slopes[i][j]} * {moment(f'y{k}', f'z{j}')} - {slopes[k][j]} * {moment(f'y{i}', f'z{j}')}"
             for m in range(len(aux)):
-                spread = spread + slopes[i][j] * slopes[k][m] * moment(f"z{j}", f"z{m}")
-        aggs.append(F.sum(scale * spread).alias(f"c{i}_{k}"))
-    row = strata.agg(*aggs)
-    est = {n: F.col(f"t{i}") for i, n in enumerate(names)}
-    cov = {(names[i], names[k]): F.col(f"c{i}_{k}") for i, k in pairs_of(range(len(names)), 2)}
-    return StatSet(row, est, cov)
+                spread += f" + {slopes[i][j]} * {slopes[k][m]} * {moment(f'z{j}', f'z{m}')}"
+        aggs.append(f"sum(scale * ({spread})) AS c{i}_{k}")
+    n = F.col("n")
+    scaled = strata.withColumn("scale", design.lonely_factor(n, n / (n - 1)))
+    return _named(_aggregated(scaled.groupBy(), aggs), names)
 
 
-def _slopes(strata: DataFrame, cal, n_stats: int, n_terms: int):
+def _slopes(strata: DataFrame, cal, n_stats: int, n_terms: int) -> list[list[str]]:
     """Regression of each statistic on the calibration terms.
 
     Per stratum this is a ratio of sums. On margins it is a small linear
@@ -177,7 +191,7 @@ def _slopes(strata: DataFrame, cal, n_stats: int, n_terms: int):
     if cal is None:
         return [[] for _ in range(n_stats)]
     if isinstance(cal, StratumCalibration):
-        return [[F.try_divide(F.col(f"b{i}_0"), F.col("g0_0"))] for i in range(n_stats)]
+        return [[f"try_divide(b{i}_0, g0_0)"] for i in range(n_stats)]
     wanted = [c for c in strata.columns if c[0] in "gb"]
     sums = strata.agg(*[F.sum(c).alias(c) for c in wanted]).first()
     gram = np.zeros((n_terms, n_terms))
@@ -185,7 +199,7 @@ def _slopes(strata: DataFrame, cal, n_stats: int, n_terms: int):
         gram[j, k] = gram[k, j] = sums[f"g{j}_{k}"]
     rhs = np.array([[sums[f"b{i}_{j}"] for i in range(n_stats)] for j in range(n_terms)])
     solved = np.linalg.solve(gram, rhs)
-    return [[F.lit(float(solved[j, i])) for j in range(n_terms)] for i in range(n_stats)]
+    return [[f"({float(solved[j, i])!r}D)" for j in range(n_terms)] for i in range(n_stats)]
 
 
 def level_measures(
