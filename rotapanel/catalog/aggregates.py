@@ -21,12 +21,13 @@ from rotapanel.plans import panel as panel_plan
 from rotapanel.plans import quarterly as quarterly_plan
 from rotapanel.sources.microdata import ACTIVITY, MONTHS
 
-N = F.count(F.lit(1)).alias("n")
+def _n():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("d1_group_count", sql("SELECT trimestre, mes_trimestre, count(*) AS n FROM base GROUP BY 1, 2"))
 def group_count(spark, sf):
-    return base(spark, sf).groupBy("trimestre", "mes_trimestre").agg(N)
+    return base(spark, sf).groupBy("trimestre", "mes_trimestre").agg(_n())
 
 
 @query("d2_distinct_count", sql("""
@@ -34,7 +35,7 @@ SELECT trimestre, count(DISTINCT upm) AS upm, count(DISTINCT id_hogar) AS hogare
 def distinct_count(spark, sf):
     homes = base(spark, sf).select("trimestre", "upm", "id_hogar").distinct()
     # A household belongs to one unit, so counting its rows counts households.
-    per_unit = homes.groupBy("trimestre", "upm").agg(N)
+    per_unit = homes.groupBy("trimestre", "upm").agg(_n())
     return per_unit.groupBy("trimestre").agg(F.count(F.lit(1)).alias("upm"), F.sum("n").alias("hogares"))
 
 
@@ -43,7 +44,7 @@ SELECT id_hogar, id_pers FROM base WHERE trimestre IN ('T1', 'T2') GROUP BY 1, 2
 HAVING count(DISTINCT trimestre) = 2"""))
 def having_count(spark, sf):
     seen = base(spark, sf, ["T1", "T2"]).select(*PERSON, "trimestre").distinct()
-    return seen.groupBy(*PERSON).agg(N).where(F.col("n") == 2).select(*PERSON)
+    return seen.groupBy(*PERSON).agg(_n()).where(F.col("n") == 2).select(*PERSON)
 
 
 @query("d4_weighted_sum", sql("""
@@ -187,12 +188,12 @@ def distinct_units(spark, sf):
 @query("d15_crosstab_with_missing", sql("""
 SELECT trimestre, pobreza, count(*) AS n FROM base WHERE trimestre IN ('T1', 'T2') GROUP BY 1, 2"""))
 def crosstab(spark, sf):
-    return base(spark, sf, ["T1", "T2"]).groupBy("trimestre", "pobreza").agg(N)
+    return base(spark, sf, ["T1", "T2"]).groupBy("trimestre", "pobreza").agg(_n())
 
 
 @query("d16_frequency", sql("SELECT respboth_per, count(*) AS n FROM gente GROUP BY 1", PANEL))
 def frequency(spark, sf):
-    return person_panel(base(spark, sf), "T1", "T2", 0.75).groupBy("respboth_per").agg(N)
+    return person_panel(base(spark, sf), "T1", "T2", 0.75).groupBy("respboth_per").agg(_n())
 
 
 def _summary_sql(src: str, w: str, by: str = "") -> str:

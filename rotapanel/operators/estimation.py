@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rotapanel.operators.design import MarginCalibration, SurveyDesign
 
-ONE = F.lit(1.0)
+
 
 
 def unit_sums(design: SurveyDesign, by: list[str], measures: dict[str, Column]) -> DataFrame:
@@ -56,7 +56,7 @@ def domain_moments(
     w = F.col(design.weight)
     sums = {n: w * e for n, e in measures.items()}
     if cal is not None:
-        z = ONE if cal.size is None else F.col(cal.size)
+        z = F.lit(1.0) if cal.size is None else F.col(cal.size)
         base = F.col(cal.base)
         sums |= {"cz": w * z, "czz": base * z * z}
         sums |= {f"b_{n}": base * z * e for n, e in measures.items()}
@@ -112,7 +112,7 @@ def survey_total(
 ) -> DataFrame:
     """Weighted total per domain with variance, standard error and cv."""
     by = by or []
-    m, _ = domain_moments(design, by, {"y": ONE if y is None else y.cast("double")})
+    m, _ = domain_moments(design, by, {"y": F.lit(1.0) if y is None else y.cast("double")})
     return _result(m, by, F.col("s_y"), F.col("v_y_y"), name)
 
 
@@ -198,7 +198,7 @@ def degrees_of_freedom(design: SurveyDesign) -> DataFrame:
 
     A stratum counts for the domain if it has at least one row of it.
     """
-    units = unit_sums(design, [], {"n": ONE}).groupBy("h", "i").agg(
+    units = unit_sums(design, [], {"n": F.lit(1.0)}).groupBy("h", "i").agg(
         F.max(F.col("inside").cast("int")).alias("touched")
     )
     strata = units.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("touched").alias("v"))

@@ -60,65 +60,138 @@ def _share(f: np.ndarray, over: tuple[int, ...]) -> np.ndarray:
     return np.divide(f, total, out=np.zeros_like(f), where=total > 0)
 
 
+def _fitted_parts(t: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Probabilities of the cells before they are summed over what was not answered."""
+    f, psi, rr, mm = theta
+    return psi * rr * f, psi * (1 - rr) * f, (1 - psi) * (1 - mm) * f, (1 - psi) * mm * f
+
+
+def _em_step(t: np.ndarray, theta: np.ndarray, axes: tuple[str, str, str]) -> np.ndarray:
+    """Complete the table with the current fit, then re-estimate from it."""
+    g = t.shape[1] - 1
+    _, row_part, col_part, both_part = _fitted_parts(t, theta)
+    n = t[:, :g, :g]
+    only_row = t[:, :g, g:] * _share(row_part, (2,))
+    only_col = t[:, g:, :g] * _share(col_part, (1,))
+    neither = t[:, g:, g:] * _share(both_part, (1, 2))
+    answered, silent = n + only_row, only_col + neither
+    everyone = answered + silent
+    psi_axis, rr_axis, mm_axis = axes
+    return np.stack(
+        [
+            _share(everyone, (1, 2)),
+            _pooled(answered, everyone, psi_axis),
+            _pooled(n, answered, rr_axis),
+            _pooled(neither, silent, mm_axis),
+        ]
+    )
+
+
+def _cell_probabilities(t: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    g = t.shape[1] - 1
+    full, row_part, col_part, both_part = _fitted_parts(t, theta)
+    out = np.zeros_like(t)
+    out[:, :g, :g] = full
+    out[:, :g, g] = row_part.sum(2)
+    out[:, g, :g] = col_part.sum(1)
+    out[:, g, g] = both_part.sum((1, 2))
+    return out
+
+
+def _log_likelihood(t: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    p = _cell_probabilities(t, theta)
+    logs = np.log(p, out=np.full_like(p, -700.0), where=p > 0)
+    return (t * logs).sum((1, 2))
+
+
+def _inside(far: np.ndarray, safe: np.ndarray) -> np.ndarray:
+    """Pull an extrapolated point back between the bounds, towards a safe one."""
+    far = np.where(far < 0, 0.1 * safe, far)
+    far[1:] = np.where(far[1:] > 1, 1 - 0.1 * (1 - safe[1:]), far[1:])
+    far[0] = _share(far[0], (1, 2))
+    return far
+
+
+def _mixed(steps: np.ndarray, moves: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Correction that cancels the step as well as past changes of steps can.
+
+    ``steps`` and ``moves`` hold, per table, the last changes of the step and
+    of the point; the least squares is over their number, with a small ridge.
+    """
+    gram = np.einsum("kbp,lbp->bkl", steps, steps)
+    ridge = 1e-12 * np.trace(gram, axis1=1, axis2=2)[:, None, None] + 1e-300
+    gram = gram + ridge * np.eye(len(steps))
+    rhs = np.einsum("kbp,bp->bk", steps, step)
+    weights = np.linalg.solve(gram, rhs[:, :, None])[:, :, 0]
+    return np.einsum("bk,kbp->bp", weights, steps + moves)
+
+
 def fit_tables(
-    tables: np.ndarray, model: str, zero_flows: bool = True, tol: float = 1e-12, max_iter: int = 50_000
+    tables: np.ndarray, model: str, zero_flows: bool = True, tol: float = 1e-11, max_iter: int = 20_000, memory: int = 6
 ) -> dict[str, np.ndarray]:
     """EM estimates for a batch of (G+1) x (G+1) tables of cells.
 
     The known part of each table is completed by spreading the row
     complement over columns, the column complement over rows and the corner
-    over all cells, in proportion to the current fit.
+    over all cells, in proportion to the current fit. Response probabilities
+    near 0 make plain steps very short, so steps are extrapolated from the
+    last ones (Anderson mixing); a result that lowers the likelihood is
+    dropped for the plain step, and that table's memory is cleared.
     """
-    psi_axis, rr_axis, mm_axis = MODELS[model]
+    axes = MODELS[model]
     g = tables.shape[1] - 1
+    size = len(tables)
     scale = tables.sum((1, 2), keepdims=True)
     t = tables / np.where(scale > 0, scale, 1)
-    n, r = t[:, :g, :g], t[:, :g, g:]
-    c, m = t[:, g:, :g], t[:, g:, g:]
-    start = np.ones_like(n)
-    if zero_flows:
-        start = np.where(n > 0, start, 0.0)
+    n = t[:, :g, :g]
+    start = np.where(n > 0, 1.0, 0.0) if zero_flows else np.ones_like(n)
     f = _share(start * (n + 1.0 / g**2), (1, 2))
-    psi, rr, mm = (np.full_like(n, x) for x in (0.9, 0.9, 0.5))
-    used = np.zeros(len(t), dtype=int)
-    live = np.ones(len(t), dtype=bool)
-    for step in range(1, max_iter + 1):
-        only_row = r * _share(f * (1 - rr) * psi, (2,))
-        only_col = c * _share(f * (1 - mm) * (1 - psi), (1,))
-        neither = m * _share(f * mm * (1 - psi), (1, 2))
-        answered, silent = n + only_row, only_col + neither
-        everyone = answered + silent
-        nf = _share(everyone, (1, 2))
-        npsi = _pooled(answered, everyone, psi_axis)
-        nrr = _pooled(n, answered, rr_axis)
-        nmm = _pooled(neither, silent, mm_axis)
-        change = np.max(
-            [np.abs(x - y).max((1, 2)) for x, y in ((nf, f), (npsi, psi), (nrr, rr), (nmm, mm))], axis=0
-        )
-        f, psi, rr, mm = nf, npsi, nrr, nmm
-        used[live] = step
-        live = live & (change >= tol)
-        if not live.any():
+    theta = np.stack([f, *(np.full_like(n, x) for x in (0.9, 0.9, 0.5))])
+
+    def flat(x: np.ndarray) -> np.ndarray:
+        return np.moveaxis(x, 1, 0).reshape(x.shape[1], -1)
+
+    def full(x: np.ndarray) -> np.ndarray:
+        return np.moveaxis(x.reshape(-1, 4, g, g), 0, 1)
+
+    steps = np.zeros((memory, size, 4 * g * g))
+    moves = np.zeros_like(steps)
+    last_point = last_step = None
+    likelihood = _log_likelihood(t, theta)
+    used = np.zeros(size, dtype=int)
+    converged = np.zeros(size, dtype=bool)
+    for at in range(max_iter):
+        plain = _em_step(t, theta, axes)
+        point, step = flat(theta), flat(plain) - flat(theta)
+        used[~converged] += 1
+        converged |= np.abs(step).max(1) < tol
+        if converged.all():
+            theta = plain
             break
-    eta = f.sum(2)
-    p = _share(f, (2,))
-    fitted = np.zeros_like(t)
-    fitted[:, :g, :g] = psi * rr * f
-    fitted[:, :g, g] = (psi * (1 - rr) * f).sum(2)
-    fitted[:, g, :g] = ((1 - psi) * (1 - mm) * f).sum(1)
-    fitted[:, g, g] = ((1 - psi) * mm * f).sum((1, 2))
+        if last_point is not None:
+            steps[at % memory] = step - last_step
+            moves[at % memory] = point - last_point
+        last_point, last_step = point, step
+        far = _inside(full(flat(plain) - _mixed(steps, moves, step)), plain)
+        reached = _log_likelihood(t, far)
+        bad = ~(reached >= likelihood)
+        steps[:, bad] = 0
+        moves[:, bad] = 0
+        theta = np.where(bad[None, :, None, None], plain, far)
+        likelihood = np.where(bad, _log_likelihood(t, plain), reached)
+    f, psi, rr, mm = theta
     return {
-        "eta": eta,
+        "eta": f.sum(2),
         "gamma": f.sum(1),
-        "pij": p,
+        "pij": _share(f, (2,)),
         "muij": f * scale,
         "psi": psi,
         "rho_rr": rr,
         "rho_mm": mm,
-        "fitted": fitted,
+        "fitted": _cell_probabilities(t, theta),
         "observed": t,
         "iterations": used,
-        "converged": ~live,
+        "converged": converged,
     }
 
 
