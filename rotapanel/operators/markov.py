@@ -98,87 +98,134 @@ def _cell_probabilities(t: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_likelihood(t: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    p = _cell_probabilities(t, theta)
-    logs = np.log(p, out=np.full_like(p, -700.0), where=p > 0)
-    return (t * logs).sum((1, 2))
+def _best_probabilities(
+    counts: np.ndarray, fixed: np.ndarray, slope: np.ndarray, x: np.ndarray, sweeps: int = 4
+) -> np.ndarray:
+    """Maximise sum_k counts_k log(fixed_k + slope_k x) over 0 <= x <= 1, per table.
 
-
-def _inside(far: np.ndarray, safe: np.ndarray) -> np.ndarray:
-    """Pull an extrapolated point back between the bounds, towards a safe one."""
-    far = np.where(far < 0, 0.1 * safe, far)
-    far[1:] = np.where(far[1:] > 1, 1 - 0.1 * (1 - safe[1:]), far[1:])
-    far[0] = _share(far[0], (1, 2))
-    return far
+    Concave in ``x``, with as many unknowns as states. Newton steps on the
+    coordinates that are free to move, halved until the value does not fall.
+    """
+    seen = counts > 0
+    g = x.shape[1]
+
+    def inner(at: np.ndarray) -> np.ndarray:
+        return fixed + np.einsum("bkg,bg->bk", slope, at)
+
+    def value(at: np.ndarray) -> np.ndarray:
+        line = inner(at)
+        ok = (line > 0) | ~seen
+        logs = np.log(line, out=np.zeros_like(line), where=seen & (line > 0))
+        return np.where(ok.all(1), (counts * logs).sum(1), -np.inf)
+
+    now = value(x)
+    for _ in range(sweeps):
+        line = inner(x)
+        pull = np.divide(counts, line, out=np.zeros_like(line), where=seen)
+        bend = np.divide(pull, line, out=np.zeros_like(line), where=seen)
+        gradient = np.einsum("bk,bkg->bg", pull, slope)
+        held = ((x <= 0) & (gradient <= 0)) | ((x >= 1) & (gradient >= 0))
+        free = ~held
+        curve = np.einsum("bk,bkg,bkh->bgh", bend, slope, slope) * (free[:, :, None] & free[:, None, :])
+        ridge = 1e-13 * (1 + np.trace(curve, axis1=1, axis2=2))
+        curve = curve + (ridge[:, None] + held)[:, :, None] * np.eye(g)
+        move = np.linalg.solve(curve, np.where(free, gradient, 0.0)[:, :, None])[:, :, 0]
+        length = np.ones(len(x))
+        best, reached, open_ = x, now, np.ones(len(x), dtype=bool)
+        for _ in range(40):
+            trial = np.clip(x + length[:, None] * move, 0.0, 1.0)
+            got = value(trial)
+            take = open_ & (got >= now)
+            best = np.where(take[:, None], trial, best)
+            reached = np.where(take, got, reached)
+            open_ &= ~take
+            if not open_.any():
+                break
+            length *= 0.5
+        moved = np.abs(best - x).max()
+        x, now = best, reached
+        if moved < 1e-13:
+            break
+    return x
 
 
-def _mixed(steps: np.ndarray, moves: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Correction that cancels the step as well as past changes of steps can.
+def _response_step(t: np.ndarray, theta: np.ndarray, axes: tuple[str, str, str]) -> np.ndarray:
+    """Best response probabilities for the current joint probabilities of the states.
 
-    ``steps`` and ``moves`` hold, per table, the last changes of the step and
-    of the point; the least squares is over their number, with a small ridge.
+    Only those that differ by state need a search; the EM step already gives
+    the best constant ones.
     """
-    gram = np.einsum("kbp,lbp->bkl", steps, steps)
-    ridge = 1e-12 * np.trace(gram, axis1=1, axis2=2)[:, None, None] + 1e-300
-    gram = gram + ridge * np.eye(len(steps))
-    rhs = np.einsum("kbp,bp->bk", steps, step)
-    weights = np.linalg.solve(gram, rhs[:, :, None])[:, :, 0]
-    return np.einsum("bk,kbp->bp", weights, steps + moves)
+    f, psi, rr, mm = theta
+    g = t.shape[1] - 1
+    eye = np.broadcast_to(np.eye(g), (len(t), g, g))
+    n, r, c, m = t[:, :g, :g], t[:, :g, g], t[:, g, :g], t[:, g, g:]
+    zero = np.zeros_like(r)
+    one = np.zeros((len(t), 1))
+    psi_axis, rr_axis, mm_axis = axes
+
+    def by_row(x: np.ndarray) -> np.ndarray:
+        return np.broadcast_to(x[:, :, None], f.shape)
+
+    def by_column(x: np.ndarray) -> np.ndarray:
+        return np.broadcast_to(x[:, None, :], f.shape)
+
+    if psi_axis == "i":
+        lost_c = f * (1 - mm)  # i by j
+        lost_m = (f * mm).sum(2)
+        counts = np.concatenate([n.sum(2) + r, c, m], 1)
+        fixed = np.concatenate([zero, lost_c.sum(1), lost_m.sum(1)[:, None]], 1)
+        slope = np.concatenate([eye, -lost_c.transpose(0, 2, 1), -lost_m[:, None, :]], 1)
+        psi = by_row(_best_probabilities(counts, fixed, slope, psi[:, :, 0]))
+    if rr_axis == "j":
+        counts = np.concatenate([n.sum(1), r], 1)
+        kept = f * psi
+        fixed = np.concatenate([zero, kept.sum(2)], 1)
+        rr = by_column(_best_probabilities(counts, fixed, np.concatenate([eye, -kept], 1), rr[:, 0, :]))
+    counts = np.concatenate([c, m], 1)
+    silent = f * (1 - psi)
+    if mm_axis == "i":
+        fixed = np.concatenate([silent.sum(1), one], 1)
+        slope = np.concatenate([-silent.transpose(0, 2, 1), silent.sum(2)[:, None, :]], 1)
+        mm = by_row(_best_probabilities(counts, fixed, slope, mm[:, :, 0]))
+    elif mm_axis == "j":
+        total = silent.sum(1)
+        fixed = np.concatenate([total, one], 1)
+        slope = np.concatenate([-total[:, :, None] * eye, total[:, None, :]], 1)
+        mm = by_column(_best_probabilities(counts, fixed, slope, mm[:, 0, :]))
+    return np.stack([f, psi, rr, mm])
 
 
 def fit_tables(
-    tables: np.ndarray, model: str, zero_flows: bool = True, tol: float = 1e-11, max_iter: int = 20_000, memory: int = 6
+    tables: np.ndarray, model: str, zero_flows: bool = True, tol: float = 1e-11, max_iter: int = 5_000
 ) -> dict[str, np.ndarray]:
-    """EM estimates for a batch of (G+1) x (G+1) tables of cells.
+    """Maximum likelihood estimates for a batch of (G+1) x (G+1) tables of cells.
 
     The known part of each table is completed by spreading the row
     complement over columns, the column complement over rows and the corner
-    over all cells, in proportion to the current fit. Response probabilities
-    near 0 make plain steps very short, so steps are extrapolated from the
-    last ones (Anderson mixing); a result that lowers the likelihood is
-    dropped for the plain step, and that table's memory is cleared.
+    over all cells, in proportion to the current fit (EM). Steps of plain EM
+    get very short when response probabilities lie near 0, so each is
+    followed by the best response probabilities for the current flows.
     """
     axes = MODELS[model]
     g = tables.shape[1] - 1
-    size = len(tables)
     scale = tables.sum((1, 2), keepdims=True)
     t = tables / np.where(scale > 0, scale, 1)
     n = t[:, :g, :g]
     start = np.where(n > 0, 1.0, 0.0) if zero_flows else np.ones_like(n)
     f = _share(start * (n + 1.0 / g**2), (1, 2))
     theta = np.stack([f, *(np.full_like(n, x) for x in (0.9, 0.9, 0.5))])
-
-    def flat(x: np.ndarray) -> np.ndarray:
-        return np.moveaxis(x, 1, 0).reshape(x.shape[1], -1)
-
-    def full(x: np.ndarray) -> np.ndarray:
-        return np.moveaxis(x.reshape(-1, 4, g, g), 0, 1)
-
-    steps = np.zeros((memory, size, 4 * g * g))
-    moves = np.zeros_like(steps)
-    last_point = last_step = None
-    likelihood = _log_likelihood(t, theta)
-    used = np.zeros(size, dtype=int)
-    converged = np.zeros(size, dtype=bool)
-    for at in range(max_iter):
-        plain = _em_step(t, theta, axes)
-        point, step = flat(theta), flat(plain) - flat(theta)
-        used[~converged] += 1
-        converged |= np.abs(step).max(1) < tol
-        if converged.all():
-            theta = plain
+    used = np.zeros(len(t), dtype=int)
+    live = np.arange(len(t))
+    for _ in range(max_iter):
+        before = theta[:, live]
+        after = _response_step(t[live], _em_step(t[live], before, axes), axes)
+        theta[:, live] = after
+        used[live] += 1
+        live = live[np.abs(after - before).max((0, 2, 3)) >= tol]
+        if not len(live):
             break
-        if last_point is not None:
-            steps[at % memory] = step - last_step
-            moves[at % memory] = point - last_point
-        last_point, last_step = point, step
-        far = _inside(full(flat(plain) - _mixed(steps, moves, step)), plain)
-        reached = _log_likelihood(t, far)
-        bad = ~(reached >= likelihood)
-        steps[:, bad] = 0
-        moves[:, bad] = 0
-        theta = np.where(bad[None, :, None, None], plain, far)
-        likelihood = np.where(bad, _log_likelihood(t, plain), reached)
+    converged = np.ones(len(t), dtype=bool)
+    converged[live] = False
     f, psi, rr, mm = theta
     return {
         "eta": f.sum(2),
