@@ -121,7 +121,7 @@ GROUP BY ALL"""
 
 
 def _mean_weights(spark, sf, by: list[str], keys: list[str], pivot: str, levels: list):
-    people = quarterly_plan.calibrated_persons(quarterly(spark, sf), controls(spark, sf))
+    people = quarterly_plan.calibrated_persons(base(spark, sf), controls(spark, sf))
     means = mean_weight(people, "dk_mes_cali", by)
     named = means.withColumn(pivot, F.coalesce(pivot, F.lit("null")))
     wide = to_wide(named, keys, pivot, F.first("prop"), levels, fill=0.0)

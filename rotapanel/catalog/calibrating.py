@@ -156,7 +156,7 @@ def household_weight_to_persons(spark, sf):
 @query("i9_calibration_factor_to_persons", sql("""
 SELECT id_hogar, id_pers, trimestre, round(dk_mes_cali, 6) AS dk_mes_cali FROM cali""", QUARTERLY_CAL))
 def calibration_factor_to_persons(spark, sf):
-    out = quarterly_plan.calibrated_persons(quarterly(spark, sf), controls(spark, sf))
+    out = quarterly_plan.calibrated_persons(base(spark, sf), controls(spark, sf))
     return rounded(out.select(*PERSON, "trimestre", "dk_mes_cali"), dk_mes_cali=6)
 
 

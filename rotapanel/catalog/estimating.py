@@ -16,12 +16,12 @@ from rotapanel.operators.contrasts import (
 )
 from rotapanel.operators.design import MarginCalibration, SurveyDesign
 from rotapanel.operators.estimation import degrees_of_freedom, sum_over_months, survey_mean, survey_ratio, survey_total
-from rotapanel.operators.longitudinal import PERSON
+from rotapanel.operators.longitudinal import linked
 from rotapanel.operators.overlap import overlap_share
 from rotapanel.operators.replication import (
     bootstrap_totals, full_totals, half_sample_totals, jackknife_totals, replicate_variance, unit_vectors,
 )
-from rotapanel.operators.statset import domain_means, joint_proportions, level_measures, stat_set
+from rotapanel.operators.statset import domain_means, joint_proportions, level_measures, reduced, stat_set
 from rotapanel.plans import annual as annual_plan
 from rotapanel.plans import panel as panel_plan
 from rotapanel.plans import quarterly as quarterly_plan
@@ -96,8 +96,12 @@ def quarterly_total(spark, sf):
 CELLS = ", celdas AS (SELECT estrato, upm, trim_mes || '.' || y AS stat, sum(dk_anual_calib) AS z FROM cali2 GROUP BY 1, 2, 3)"
 
 
+def _by_cell(spark, sf):
+    return reduced(_annual(spark, sf), ["trim_mes", "y"])
+
+
 def _cells(spark, sf):
-    return stat_set(_annual(spark, sf), level_measures(annual_plan.month_by_outcome()))
+    return stat_set(_by_cell(spark, sf), level_measures(annual_plan.month_by_outcome()))
 
 
 @query("j5_crossed_totals_covariance", sql(
@@ -127,7 +131,7 @@ FROM vc WHERE stat_a LIKE '%.1' AND stat_b LIKE '%.1'""",
 ))
 def variance_blocks(spark, sf):
     unemployed_cells = {n: c for n, c in annual_plan.month_by_outcome().items() if n.endswith(".1")}
-    stats = stat_set(_annual(spark, sf), level_measures(unemployed_cells))
+    stats = stat_set(_by_cell(spark, sf), level_measures(unemployed_cells))
     out = stats.block(stats.names)
     return rounded(out, total=2, var_total=0, var_diag=0, var_cov=0, se=3)
 
@@ -153,7 +157,7 @@ zp AS (
 
 
 def _proportions(spark, sf):
-    return joint_proportions(_annual(spark, sf), annual_plan.month_by_outcome())
+    return joint_proportions(_by_cell(spark, sf), annual_plan.month_by_outcome())
 
 
 @query("j8_joint_proportions", sql(
@@ -178,7 +182,7 @@ SELECT round(delta, 9) AS delta, round(v1, 12) AS var_1, round(v2, 12) AS var_2,
 def change_of_proportions(spark, sf):
     cells = annual_plan.month_by_outcome()
     two = {n: cells[n] for n in ("T1_M1.1", "T1_M2.1")}
-    out = net_change(joint_proportions(_annual(spark, sf), two), "T1_M1.1", "T1_M2.1")
+    out = net_change(joint_proportions(_by_cell(spark, sf), two), "T1_M1.1", "T1_M2.1")
     return rounded(out, delta=9, var_1=12, var_2=12, cov_12=12, se=9)
 
 
@@ -299,11 +303,8 @@ def _planning(spark, sf):
     variances = stats.row.select(stats.cov("T1", "T1").alias("v1"), stats.cov("T2", "T2").alias("v2"))
     people = base(spark, sf, ["T1", "T2"])
     share = overlap_share(people, ["id_hogar"]).select("t")
-    one, two = (people.where(F.col("trimestre") == q) for q in ("T1", "T2"))
-    linked = one.select(*PERSON, F.col("fep").alias("w"), F.col("ingreso").alias("x")).join(
-        two.select(*PERSON, F.col("ingreso").alias("y")), PERSON
-    )
-    r = weighted_correlation(linked, "x", "y", "w").select("r12")
+    pairs = linked(people, "T1", "T2", {"w": "fep", "x": "ingreso"}, {"y": "ingreso"})
+    r = weighted_correlation(pairs, "x", "y", "w").select("r12")
     return variances.join(share, F.lit(True)).join(r, F.lit(True))
 
 

@@ -17,7 +17,7 @@ from rotapanel.operators.overlap import (
 )
 from rotapanel.operators.propensity import auc, balance, coefficients, common_support, fit_response, predict_response, roc_points
 from rotapanel.plans import panel as panel_plan
-from rotapanel.session import stored
+from rotapanel.session import join_small, stored
 
 SIMPLE = ["sexo", "ingreso"]
 RICH = ["pobreza", "area", "etnia", "sexo", "edad"]
@@ -288,8 +288,7 @@ def second_period(spark, sf):
         answered, *[F.max(F.when(q1, F.col(c))).alias(c) for c in ("area", "sexo", "fep_long")]
     ).where(F.col("fep_long").isNotNull())
     rates = mean_response_rate(rows, ["area", "sexo"], "resp_2").drop("n")
-    # At most two areas by two sexes.
-    weighted = rows.join(F.broadcast(rates.limit(4)), ["area", "sexo"])
+    weighted = join_small(rows, rates, ["area", "sexo"])
     out = weighted.withColumn("d", adjusted_weight()).select(
         *PERSON, "resp_2", zero_for_nonresponse("d", "resp_2").alias("peso_2")
     )

@@ -12,7 +12,7 @@ from rotapanel.operators.flows import (
     allocate_by_weights, answered_both, column_complement, flow_counts, flow_table, flow_totals, flow_weights, labelled_matrix,
     net_and_gross, row_complement, total_with_error,
 )
-from rotapanel.operators.longitudinal import PERSON
+from rotapanel.operators.longitudinal import PERSON, linked
 from rotapanel.operators.markov import cell_arrays, exits_to, fit_flow_model, flow_standard_errors, goodness_of_fit
 from rotapanel.operators.overlap import shared_units
 from rotapanel.operators.statset import domain_means
@@ -123,9 +123,8 @@ SELECT desde, hacia, sum(monto) AS monto FROM (
   UNION ALL SELECT s1, 'Fuera', w1 - w2 FROM e WHERE w1 > w2) GROUP BY 1, 2"""))
 def weight_difference_flows(spark, sf):
     known = base(spark, sf, ["T1", "T2"]).where(F.col("trabajo").isNotNull())
-    one = known.where(F.col("trimestre") == "T1").select(*PERSON, F.col("trabajo").alias("s1"), F.col("fep").alias("w1"))
-    two = known.where(F.col("trimestre") == "T2").select(*PERSON, F.col("trabajo").alias("s2"), F.col("fep").alias("w2"))
-    return allocate_by_weights(one.join(two, PERSON), "s1", "s2", "w1", "w2")
+    pairs = linked(known, "T1", "T2", {"s1": "trabajo", "w1": "fep"}, {"s2": "trabajo", "w2": "fep"})
+    return allocate_by_weights(pairs, "s1", "s2", "w1", "w2")
 
 
 @query("l9_net_and_gross_flows", sql("""

@@ -143,7 +143,7 @@ def annual_totals(spark, sf):
 SELECT trimestre, sexo, round(min(prop), 6) AS menor, round(max(prop), 6) AS mayor, round(max(prop) / min(prop), 6) AS razon
 FROM medias GROUP BY 1, 2""", QUARTERLY_CAL))
 def weight_stability(spark, sf):
-    people = quarterly_plan.calibrated_persons(quarterly(spark, sf), controls(spark, sf))
+    people = quarterly_plan.calibrated_persons(base(spark, sf), controls(spark, sf))
     means = mean_weight(people, "dk_mes_cali", ["sexo"])
     low, high = F.min("prop"), F.max("prop")
     return means.groupBy("trimestre", "sexo").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rotapanel.session import join_small, settle
+from rotapanel.session import join_small, stored
 
 
 def running_sums(df: DataFrame, order: str, values: list[str], by: list[str] | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def running_sums(df: DataFrame, order: str, values: list[str], by: list[str] | N
     """
     by = by or []
     ranged = df.repartitionByRange(*[F.col(c) for c in [*by, order]])
-    sliced = settle(ranged.withColumn("_slice", F.spark_partition_id()))
+    sliced = stored(ranged.withColumn("_slice", F.spark_partition_id()))
     totals = sliced.groupBy("_slice", *by).agg(*[F.sum(v).alias(v) for v in values])
     earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(

@@ -63,13 +63,40 @@ def with_household_weight(people: DataFrame, panel: DataFrame, weight: str = "fe
 def person_panel(df: DataFrame, first: str, second: str, probability: float, weight: str = "fep") -> DataFrame:
     """Person-quarter rows of panel households with flag and basic weight.
 
-    Presence and first-quarter weight come from one aggregate per household
-    and one per person, both joined on keys that start with the household.
+    Presence and first-quarter weight are aggregated per person and from
+    there per household; the rows are then joined once, on the person.
     """
-    flags = household_flags(df, first, second, weight).where(F.col("respboth") == 1)
-    basic = flags.select("id_hogar", basic_weight(probability).alias("fep_long"))
-    people = df.where(F.col("trimestre").isin(first, second)).join(basic, "id_hogar")
-    return with_person_flag(people, first, second)
+    rows = df.where(F.col("trimestre").isin(first, second))
+    q = F.col("trimestre")
+    persons = rows.groupBy(*PERSON).agg(
+        F.max(q == first).alias("in_1"),
+        F.max(q == second).alias("in_2"),
+        F.max(F.when(q == first, F.col(weight))).alias("fep_t1"),
+    )
+    homes = persons.groupBy("id_hogar").agg(
+        F.max("fep_t1").alias("fep_t1"), F.max("in_1").alias("h_1"), F.max("in_2").alias("h_2")
+    )
+    both = homes.where("h_1 and h_2").select("id_hogar", (F.col("fep_t1") / F.lit(float(probability))).alias("fep_long"))
+    flags = persons.join(both, "id_hogar").select(
+        *PERSON, (F.col("in_1") & F.col("in_2")).cast("int").alias("respboth_per"), "fep_long"
+    )
+    return rows.join(flags, PERSON)
+
+
+def linked(people: DataFrame, first: str, second: str, at_first: dict[str, str], at_second: dict[str, str]) -> DataFrame:
+    """One row per person seen in both quarters, with columns of each quarter.
+
+    ``at_first`` and ``at_second`` map new names to columns. One aggregate
+    per person takes the place of a self-join.
+    """
+    q = F.col("trimestre")
+    wide = people.where(q.isin(first, second)).groupBy(*PERSON).agg(
+        F.max(q == first).alias("_in1"),
+        F.max(q == second).alias("_in2"),
+        *[F.max(F.when(q == first, F.col(c))).alias(n) for n, c in at_first.items()],
+        *[F.max(F.when(q == second, F.col(c))).alias(n) for n, c in at_second.items()],
+    )
+    return wide.where("_in1 and _in2").drop("_in1", "_in2")
 
 
 def mean_response_rate(people: DataFrame, by: list[str] | None = None, flag: str = "respboth_per") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rotapanel.operators.design import SurveyDesign
 from rotapanel.operators.replication import jackknife_totals, unit_vectors
-from rotapanel.operators.statset import stat_set
+from rotapanel.operators.statset import reduced, stat_set
 
 # Executors may not have this package installed: send its functions along with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -340,7 +340,7 @@ def flow_standard_errors(
     """
     measures = cell_measures(s1, s2, levels)
     size = len(measures)
-    units = unit_vectors(design, measures)
+    units = unit_vectors(reduced(design, [s1, s2]), measures)
     replicates = jackknife_totals(design, units, size)
     whole = units.agg(F.array(*[F.sum(F.col("v")[j]) for j in range(size)]).alias("cells")).select(
         F.lit("all").alias("rep"), "cells", F.lit(0.0).alias("factor")
@@ -382,8 +382,8 @@ def goodness_of_fit(
     models = models or list(MODELS)
     g = len(levels)
     measures = cell_measures(s1, s2, levels)
-    one_each = F.try_divide(F.lit(1.0), F.col(design.weight))  # times the weight: counts persons
-    shares = stat_set(design, {**measures, "_all": F.lit(1.0), "_n": one_each})
+    persons = F.try_divide(F.col("_rows"), F.col(design.weight))  # the weight multiplies it back
+    shares = stat_set(reduced(design, [s1, s2]), {**measures, "_all": F.lit(1.0), "_n": persons})
     n = shares.row.select(F.round(shares.est("_n")).alias("n"))
     props = shares.ratios({c: (c, "_all") for c in measures})
     cells = list(measures)

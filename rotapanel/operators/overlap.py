@@ -34,10 +34,10 @@ def units_per_quarter(df: DataFrame) -> DataFrame:
 def periods_of(df: DataFrame, unit: list[str], period: str = "trimestre") -> DataFrame:
     """Sorted list of the periods in which each unit was seen.
 
-    The distinct projection comes first, so a list holds each period once.
+    The sets are built on the map side and hold each period once, so they are
+    no longer than the file has periods.
     """
-    seen = df.select(*unit, period).distinct()
-    return seen.groupBy(*unit).agg(F.array_sort(F.collect_set(period)).alias("periodos"))
+    return df.groupBy(*unit).agg(F.array_sort(F.collect_set(period)).alias("periodos"))
 
 
 def shared_units(df: DataFrame, unit: list[str], period: str = "trimestre") -> DataFrame:
@@ -59,16 +59,16 @@ def shared_units(df: DataFrame, unit: list[str], period: str = "trimestre") -> D
 
 
 def seen_in_all(df: DataFrame, unit: list[str], quarters: list[str]) -> DataFrame:
-    """Units present in every one of the chosen quarters."""
-    return (
-        df.where(F.col("trimestre").isin(quarters))
-        .select(*unit, "trimestre")
-        .distinct()
-        .groupBy(*unit)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") == len(quarters))
-        .select(*unit)
-    )
+    """Units present in every one of the chosen quarters.
+
+    One flag per quarter is combined on the map side, so a unit with many
+    rows costs one row per task in the only shuffle.
+    """
+    flags = [F.max(F.col("trimestre") == q).alias(f"_in{i}") for i, q in enumerate(quarters)]
+    seen = df.where(F.col("trimestre").isin(quarters)).groupBy(*unit).agg(*flags)
+    for i in range(len(quarters)):
+        seen = seen.where(f"_in{i}")
+    return seen.select(*unit)
 
 
 def overlap_share(df: DataFrame, unit: list[str]) -> DataFrame:

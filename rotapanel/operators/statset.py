@@ -8,6 +8,7 @@ them is built at once.
 """
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import combinations_with_replacement as pairs_of
 
 import numpy as np
@@ -130,6 +131,24 @@ def _named(row: DataFrame, names: list[str]) -> StatSet:
     return StatSet(row, est, cov)
 
 
+def reduced(design: SurveyDesign, keys: list[str]) -> SurveyDesign:
+    """The design with one row per unit and combination of ``keys``.
+
+    Its weights are summed and ``_rows`` counts the persons. Totals of
+    measures that depend on ``keys`` alone are the same, but the cells are
+    told apart on the reduced rows and not on every person.
+    """
+    cal = design.calibration
+    if isinstance(cal, MarginCalibration) or (cal is not None and cal.size is not None):
+        raise ValueError("only plain weights and calibration to stratum counts can be reduced")
+    sums = [F.sum(design.weight).alias(design.weight), F.count(F.lit(1)).alias("_rows")]
+    if cal is not None:
+        sums.append(F.sum(cal.base).alias(cal.base))
+    rows = design.df.withColumn("_inside", design.inside)
+    grouped = rows.groupBy(design.strata, design.psu, "_inside", *keys).agg(*sums)
+    return replace(design, df=grouped, domain=F.col("_inside"))
+
+
 def stat_set(design: SurveyDesign, measures: dict[str, Column]) -> StatSet:
     """Weighted totals of ``measures`` (NULL counts as 0) and their covariances."""
     names = list(measures)

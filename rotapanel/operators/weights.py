@@ -129,7 +129,7 @@ def coherence(
     """Weighted size per domain against its control total."""
     ours = df.groupBy(*by).agg(F.sum(weight).alias("n_hat"))
     theirs = controls.groupBy(*by).agg(F.sum(total).alias("control"))
-    joined = ours.join(theirs, by, "full_outer") if by else ours.crossJoin(theirs)
+    joined = ours.join(theirs, by, "full_outer") if by else ours.join(theirs, F.lit(True))  # one row each
     return joined.withColumn("rel_diff", F.try_divide(F.col("n_hat") - F.col("control"), F.col("control")))
 
 

@@ -1,7 +1,7 @@
 """Pooled quarterly estimation: accumulated and calibrated weights."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotapanel.operators.calibration import poststratify
@@ -9,6 +9,7 @@ from rotapanel.operators.design import StratumCalibration, SurveyDesign
 from rotapanel.operators.weights import quarterly_weights, representatives
 from rotapanel.session import join_small
 from rotapanel.sources.controls import control_terms
+from rotapanel.sources.microdata import MONTHS, QUARTERS
 
 HOME = ["trimestre", "mes_trimestre", "upm", "id_hogar"]
 
@@ -35,19 +36,38 @@ def attach_household_weight(people: DataFrame, homes: DataFrame, weight: str) ->
     return people.join(homes.select(*HOME, weight), HOME)
 
 
-def calibrated_persons(people: DataFrame, controls: DataFrame) -> DataFrame:
-    """Persons with the calibrated weight of their household.
+def calibration_factors(base: DataFrame, controls: DataFrame, weight: str = "fep") -> DataFrame:
+    """Month share ``ai`` and calibration factor ``g`` per month and stratum.
+
+    Both come from one grouped pass: the accumulated weight of a household is
+    its month's share times its weight, so the sums of weights per month and
+    stratum give the shares and the calibrated totals alike. The windows run
+    over those sums, a few rows per stratum.
+    """
+    period = ["trimestre", "mes_trimestre"]
+    known = F.col("trimestre").isin(QUARTERS) & F.col("mes_trimestre").isin(MONTHS)
+    cells = base.where(known).groupBy(*period, "estrato").agg(
+        F.sum(weight).alias("all"), F.sum(F.when(F.col("id_pers") == 1, F.col(weight))).alias("reps")
+    )
+    month, quarter = Window.partitionBy(*period), Window.partitionBy("trimestre")
+    shares = cells.withColumn("ai", F.sum("all").over(month) / F.sum("all").over(quarter))
+    have = F.sum(F.col("ai") * F.col("reps")).over(Window.partitionBy("trimestre", "estrato"))
+    return shares.withColumn("have", have).join(household_targets(controls), "estrato").select(
+        *period, "estrato", "ai", F.try_divide(F.col("total"), F.col("have")).alias("g")
+    )
+
+
+def calibrated_persons(base: DataFrame, controls: DataFrame, weight: str = "fep") -> DataFrame:
+    """Persons with the accumulated and the calibrated weight of their household.
 
     The calibration factor depends on quarter and stratum only and the
     weight is constant inside a household, so persons take the factor itself.
     That joins a table of a few rows per stratum and leaves the microdata
     where it is, instead of shuffling it by household.
     """
-    reps = representatives(people).groupBy("trimestre", "estrato").agg(F.sum("dk_mes").alias("_have"))
-    factors = reps.join(household_targets(controls), "estrato").select(
-        "trimestre", "estrato", (F.col("total") / F.col("_have")).alias("g")
-    )
-    return join_small(people, factors, ["trimestre", "estrato"]).withColumn(
+    factors = calibration_factors(base, controls, weight)
+    joined = join_small(base, factors, ["trimestre", "mes_trimestre", "estrato"])
+    return joined.withColumn("dk_mes", F.col(weight) * F.col("ai")).withColumn(
         "dk_mes_cali", F.col("dk_mes") * F.col("g")
     ).drop("g")
 
@@ -58,7 +78,7 @@ def quarterly_design(base: DataFrame, controls: DataFrame, quarters: list[str] |
     ``quarters`` drops other rounds after weighting and before the design
     is declared.
     """
-    people = calibrated_persons(quarterly_weights(base), controls)
+    people = calibrated_persons(base, controls)
     if quarters is not None:
         people = people.where(F.col("trimestre").isin(quarters))
     return SurveyDesign(people, "dk_mes_cali")

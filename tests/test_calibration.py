@@ -60,7 +60,7 @@ def test_persons_take_the_factor_or_the_household_weight(spark, sf, controls):
     homes = quarterly_plan.calibrated_households(people, controls)
     keys = ["trimestre", "id_hogar", "id_pers"]
     a = quarterly_plan.attach_household_weight(people, homes, "dk_mes_cali").select(*keys, F.col("dk_mes_cali").alias("a"))
-    b = quarterly_plan.calibrated_persons(people, controls).select(*keys, F.col("dk_mes_cali").alias("b"))
+    b = quarterly_plan.calibrated_persons(survey_base(spark, sf), controls).select(*keys, F.col("dk_mes_cali").alias("b"))
     both = a.join(b, keys).agg(F.count("*"), F.max(F.abs(F.col("a") / F.col("b") - 1))).first()
     assert both[0] == people.count() and both[1] < 1e-12
 
