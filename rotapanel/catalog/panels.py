@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rotapanel.catalog.common import (
-    PANEL, PANEL_FINAL, PANEL_PROBABILITY, base, controls, rounded, scratch, sql,
+    PANEL, PANEL_FINAL, PANEL_PROBABILITY, TARGETS, base, controls, rounded, scratch, sql,
 )
 from rotapanel.catalog.registry import query
 from rotapanel.operators.longitudinal import (
@@ -408,3 +408,49 @@ SELECT CASE WHEN episodios = 1 THEN 'estable' ELSE 'fluctuante' END AS trayector
 def stable_or_fluctuating(spark, sf):
     out = trajectories(state_spells(base(spark, sf), PERSON, "trabajo"), PERSON)
     return rounded(out, duracion_media=9)
+
+
+# With one binary covariate the logit has a closed form, which SQL can state.
+BY_SEX = """, s AS (
+  SELECT count(*) FILTER (sexo = 'Hombre') AS n0, avg(CAST(respboth_per AS DOUBLE)) FILTER (sexo = 'Hombre') AS p0,
+         count(*) FILTER (sexo = 'Mujer') AS n1, avg(CAST(respboth_per AS DOUBLE)) FILTER (sexo = 'Mujer') AS p1 FROM gente),
+phi AS (SELECT sexo, avg(CAST(respboth_per AS DOUBLE)) AS prob_resp FROM gente GROUP BY 1)
+"""
+
+
+@query("k17_coefficient_table_by_sex", sql(
+    """
+SELECT '(Intercept)' AS term, round(ln(p0 / (1 - p0)), 5) AS estimate, round(sqrt(1 / (n0 * p0 * (1 - p0))), 5) AS se FROM s
+UNION ALL
+SELECT 'sexo_Mujer', round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 5),
+       round(sqrt(1 / (n0 * p0 * (1 - p0)) + 1 / (n1 * p1 * (1 - p1))), 5) FROM s""", PANEL, BY_SEX))
+def coefficients_by_sex(spark, sf):
+    people = stored(_people(spark, sf))
+    table = coefficients(fit_response(people, "respboth_per", ["sexo"]), people)
+    return rounded(table.select("term", "estimate", "se"), estimate=5, se=5)
+
+
+@query("k16_predicted_by_sex", sql(
+    "SELECT id_hogar, id_pers, trimestre, round(prob_resp, 6) AS prob_resp FROM gente JOIN phi USING (sexo)", PANEL, BY_SEX))
+def predicted_by_sex(spark, sf):
+    return rounded(_scored(spark, sf, ["sexo"]).select(*PERSON, "trimestre", "prob_resp"), prob_resp=6)
+
+
+@query("k19_adjusted_by_sex", sql(
+    "SELECT id_hogar, id_pers, trimestre, round(fep_long / prob_resp, 4) AS fep_aj FROM gente JOIN phi USING (sexo)", PANEL, BY_SEX))
+def adjusted_by_sex(spark, sf):
+    return rounded(_scored(spark, sf, ["sexo"]).select(*PERSON, "trimestre", "fep_aj"), fep_aj=4)
+
+
+@query("k29_weight_chain_by_sex", sql(
+    """
+, p AS (
+  SELECT a.estrato, a.fep_long / prob_resp AS fep_aj FROM gente a JOIN phi USING (sexo) WHERE a.trimestre = 'T1' AND respboth_per = 1)
+SELECT p.estrato, count(*) AS n, round(sum(fep_aj), 2) AS fep_aj, round(any_value(t_per), 2) AS fex_cali
+FROM p JOIN metas m ON p.estrato = m.estrato GROUP BY 1""", PANEL, TARGETS, BY_SEX))
+def weight_chain_by_sex(spark, sf):
+    final = panel_plan.final_base(_scored(spark, sf, ["sexo"]), controls(spark, sf), "pobreza")
+    sums = final.groupBy("estrato").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("fep_aj").alias("fep_aj"), F.sum("fex_cali").alias("fex_cali")
+    )
+    return rounded(sums, fep_aj=2, fex_cali=2)

@@ -277,3 +277,64 @@ FROM base GROUP BY 1"""))
 def across_function(spark, sf):
     wide = dummies_wide(base(spark, sf), "area", ["1", "2"], "area_")
     return wide.groupBy("trimestre").agg(*[F.sum(F.col("fep") * F.col(c)).alias(c) for c in ("area_1", "area_2")])
+
+
+def _model_a_sql(domain: str) -> str:
+    """Model A in SQL: EM over the joint probabilities, response probabilities in closed form."""
+    return f"""
+, celda AS (SELECT {domain} AS d, pobreza_t1 AS a, pobreza_t2 AS b, sum(fex_cali) AS w FROM final GROUP BY 1, 2, 3),
+dom AS (SELECT d, sum(w) AS t, sum(w) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n, sum(w) FILTER (a IS NOT NULL AND b IS NULL) AS r,
+               sum(w) FILTER (a IS NULL AND b IS NOT NULL) AS c, sum(w) FILTER (a IS NULL AND b IS NULL) AS m FROM celda GROUP BY 1),
+tabla AS (
+  SELECT dom.d, x.a, y.b, t, m, coalesce((SELECT w FROM celda k WHERE k.d = dom.d AND k.a = x.a AND k.b = y.b), 0) AS n,
+         (SELECT w FROM celda k WHERE k.d = dom.d AND k.a = x.a AND k.b IS NULL) AS r,
+         (SELECT w FROM celda k WHERE k.d = dom.d AND k.a IS NULL AND k.b = y.b) AS c
+  FROM dom CROSS JOIN (VALUES (1), (2), (3)) x(a) CROSS JOIN (VALUES (1), (2), (3)) y(b)),
+em AS (
+  WITH RECURSIVE pasos(it, d, a, b, f) AS (
+    SELECT 0, d, a, b, 1 / 9.0::DOUBLE FROM tabla
+    UNION ALL
+    SELECT it + 1, e.d, e.a, e.b,
+           (n + r * f / sum(f) OVER (PARTITION BY e.d, e.a) + c * f / sum(f) OVER (PARTITION BY e.d, e.b) + m * f / sum(f) OVER (PARTITION BY e.d)) / t
+    FROM pasos e JOIN tabla q ON e.d = q.d AND e.a = q.a AND e.b = q.b WHERE it < 200)
+  SELECT d, a, b, f FROM pasos WHERE it = 200),
+pars AS (
+  SELECT d, 'eta' AS param, CAST(a AS VARCHAR) AS i, CAST(NULL AS VARCHAR) AS j, sum(f) AS value FROM em GROUP BY 1, a
+  UNION ALL SELECT d, 'gamma', NULL, CAST(b AS VARCHAR), sum(f) FROM em GROUP BY 1, b
+  UNION ALL SELECT d, 'pij', CAST(a AS VARCHAR), CAST(b AS VARCHAR), f / sum(f) OVER (PARTITION BY d, a) FROM em
+  UNION ALL SELECT d, 'muij', CAST(a AS VARCHAR), CAST(b AS VARCHAR), f * t FROM em JOIN dom USING (d)
+  UNION ALL SELECT d, 'psi', NULL, NULL, (n + r) / t FROM dom
+  UNION ALL SELECT d, 'rho_rr', NULL, NULL, n / (n + r) FROM dom
+  UNION ALL SELECT d, 'rho_mm', NULL, NULL, m / (c + m) FROM dom)
+"""
+
+
+@query("l12_fit_model_a", sql(
+    "SELECT param, i, j, round(value, 4) AS value FROM pars", PANEL_FINAL, _model_a_sql("'all'")))
+def fit_model_a(spark, sf):
+    return rounded(_fit(spark, sf, "A").select("param", "i", "j", "value"), value=4)
+
+
+@query("l21_fit_model_a_by_sex", sql(
+    "SELECT d AS sexo, param, i, j, round(value, 4) AS value FROM pars", PANEL_FINAL, _model_a_sql("sexo")))
+def fit_model_a_by_sex(spark, sf):
+    return rounded(_fit(spark, sf, "A", ["sexo"]).select("sexo", "param", "i", "j", "value"), value=4)
+
+
+@query("l23_exits_by_sex_model_a", sql(
+    """
+SELECT i, round(max(value) FILTER (d = 'Hombre'), 6) AS "Hombre", round(max(value) FILTER (d = 'Mujer'), 6) AS "Mujer"
+FROM pars WHERE param = 'pij' AND j = '1' GROUP BY 1""", PANEL_FINAL, _model_a_sql("sexo")))
+def exits_by_sex_model_a(spark, sf):
+    return rounded(exits_to(_fit(spark, sf, "A", ["sexo"]), "1", "sexo"), Hombre=6, Mujer=6)
+
+
+# In model C the answers of the first round and of those who went on are plain shares.
+@query("l11_first_round_response", sql("""
+SELECT 'psi' AS param, CAST(NULL AS VARCHAR) AS i, round(sum(fex_cali) FILTER (pobreza_t1 IS NOT NULL) / sum(fex_cali), 6) AS value FROM final
+UNION ALL
+SELECT 'rho_rr', CAST(pobreza_t1 AS VARCHAR), round(sum(fex_cali) FILTER (pobreza_t2 IS NOT NULL) / sum(fex_cali), 6)
+FROM final WHERE pobreza_t1 IS NOT NULL GROUP BY pobreza_t1""", PANEL_FINAL))
+def first_round_response(spark, sf):
+    fit = _fit(spark, sf).where(F.col("param").isin("psi", "rho_rr"))
+    return rounded(fit.select("param", "i", "value"), value=6)

@@ -9,6 +9,7 @@ from rotapanel.operators.calibration import integrative
 from rotapanel.operators.design import StratumCalibration, SurveyDesign
 from rotapanel.operators.weights import annual_weights
 from rotapanel.plans.quarterly import HOME, attach_household_weight, household_targets
+from rotapanel.session import stored
 from rotapanel.sources.microdata import MONTHS, QUARTERS
 
 
@@ -26,7 +27,7 @@ def household_sizes(people: DataFrame) -> DataFrame:
 
 
 def calibrated_households(people: DataFrame, controls: DataFrame) -> DataFrame:
-    homes = household_sizes(people)
+    homes = stored(household_sizes(people))  # grouped once, read for the sums and for the weights
     targets = household_targets(controls, "N_personas")
     return integrative(homes, "dk_anual", "n_personas", targets, "total", ["estrato"], "dk_anual_calib")
 

@@ -24,10 +24,16 @@ def household_targets(controls: DataFrame, total: str = "N_hogares") -> DataFram
 
 
 def calibrated_households(people: DataFrame, controls: DataFrame) -> DataFrame:
-    """Households of every quarter calibrated to the stratum totals, all quarters in one job."""
+    """Households of every quarter calibrated to the stratum totals, all quarters in one job.
+
+    A household has one representative per quarter, so the sums of weights
+    are taken over representatives before the distinct projection.
+    """
     homes = household_file(people, "dk_mes")
+    targets = household_targets(controls)
+    reps = representatives(people)
     return poststratify(
-        homes, "dk_mes", household_targets(controls), "total", ["estrato"], ["trimestre"], "dk_mes_cali"
+        homes, "dk_mes", targets, "total", ["estrato"], ["trimestre"], "dk_mes_cali", sums_from=reps
     )
 
 
