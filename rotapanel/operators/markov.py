@@ -98,16 +98,23 @@ def _cell_probabilities(t: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best_probabilities(
-    counts: np.ndarray, fixed: np.ndarray, slope: np.ndarray, x: np.ndarray, sweeps: int = 4
+def _best_point(
+    counts: np.ndarray,
+    fixed: np.ndarray,
+    slope: np.ndarray,
+    x: np.ndarray,
+    cost: np.ndarray | float = 0.0,
+    upper: float = 1.0,
+    sweeps: int = 4,
 ) -> np.ndarray:
-    """Maximise sum_k counts_k log(fixed_k + slope_k x) over 0 <= x <= 1, per table.
+    """Raise sum_k counts_k log(fixed_k + slope_k x) - cost x over 0 <= x <= upper, per table.
 
     Concave in ``x``, with as many unknowns as states. Newton steps on the
     coordinates that are free to move, halved until the value does not fall.
     """
     seen = counts > 0
     g = x.shape[1]
+    cost = np.broadcast_to(np.asarray(cost, dtype=float), x.shape)
 
     def inner(at: np.ndarray) -> np.ndarray:
         return fixed + np.einsum("bkg,bg->bk", slope, at)
@@ -116,15 +123,15 @@ def _best_probabilities(
         line = inner(at)
         ok = (line > 0) | ~seen
         logs = np.log(line, out=np.zeros_like(line), where=seen & (line > 0))
-        return np.where(ok.all(1), (counts * logs).sum(1), -np.inf)
+        return np.where(ok.all(1), (counts * logs).sum(1) - (cost * at).sum(1), -np.inf)
 
     now = value(x)
     for _ in range(sweeps):
         line = inner(x)
         pull = np.divide(counts, line, out=np.zeros_like(line), where=seen)
         bend = np.divide(pull, line, out=np.zeros_like(line), where=seen)
-        gradient = np.einsum("bk,bkg->bg", pull, slope)
-        held = ((x <= 0) & (gradient <= 0)) | ((x >= 1) & (gradient >= 0))
+        gradient = np.einsum("bk,bkg->bg", pull, slope) - cost
+        held = ((x <= 0) & (gradient <= 0)) | ((x >= upper) & (gradient >= 0))
         free = ~held
         curve = np.einsum("bk,bkg,bkh->bgh", bend, slope, slope) * (free[:, :, None] & free[:, None, :])
         ridge = 1e-13 * (1 + np.trace(curve, axis1=1, axis2=2))
@@ -133,7 +140,7 @@ def _best_probabilities(
         length = np.ones(len(x))
         best, reached, open_ = x, now, np.ones(len(x), dtype=bool)
         for _ in range(40):
-            trial = np.clip(x + length[:, None] * move, 0.0, 1.0)
+            trial = np.clip(x + length[:, None] * move, 0.0, upper)
             got = value(trial)
             take = open_ & (got >= now)
             best = np.where(take[:, None], trial, best)
@@ -150,17 +157,19 @@ def _best_probabilities(
 
 
 def _response_step(t: np.ndarray, theta: np.ndarray, axes: tuple[str, str, str]) -> np.ndarray:
-    """Best response probabilities for the current joint probabilities of the states.
+    """Best response probabilities that differ by state, given the rest.
 
-    Only those that differ by state need a search; the EM step already gives
-    the best constant ones.
+    What is held is the part that answers determine: the transition matrix
+    when the first answer depends on the state, the flows of those who went
+    on answering when that depends on the new state. Totals are tied by a
+    cost per unit of probability in place of the constraint that they sum to 1.
     """
     f, psi, rr, mm = theta
     g = t.shape[1] - 1
     eye = np.broadcast_to(np.eye(g), (len(t), g, g))
     n, r, c, m = t[:, :g, :g], t[:, :g, g], t[:, g, :g], t[:, g, g:]
-    zero = np.zeros_like(r)
-    one = np.zeros((len(t), 1))
+    zero, none = np.zeros_like(r), np.zeros((len(t), 1))
+    lost = np.concatenate([c, m], 1)
     psi_axis, rr_axis, mm_axis = axes
 
     def by_row(x: np.ndarray) -> np.ndarray:
@@ -170,28 +179,36 @@ def _response_step(t: np.ndarray, theta: np.ndarray, axes: tuple[str, str, str])
         return np.broadcast_to(x[:, None, :], f.shape)
 
     if psi_axis == "i":
-        lost_c = f * (1 - mm)  # i by j
-        lost_m = (f * mm).sum(2)
-        counts = np.concatenate([n.sum(2) + r, c, m], 1)
-        fixed = np.concatenate([zero, lost_c.sum(1), lost_m.sum(1)[:, None]], 1)
-        slope = np.concatenate([eye, -lost_c.transpose(0, 2, 1), -lost_m[:, None, :]], 1)
-        psi = by_row(_best_probabilities(counts, fixed, slope, psi[:, :, 0]))
+        # Those silent at first, by state; the others are known by state.
+        p = _share(f, (2,))
+        told = n.sum(2) + r
+        slope = np.concatenate([p.transpose(0, 2, 1), np.ones((len(t), 1, g))], 1)
+        start = (f * (1 - psi)).sum(2)
+        silent = _best_point(lost, np.zeros_like(lost), slope, start, cost=1.0)
+        f = _share((told + silent)[:, :, None] * p, (1, 2))
+        psi = by_row(np.divide(told, told + silent, out=np.ones_like(told), where=told + silent > 0))
     if rr_axis == "j":
-        counts = np.concatenate([n.sum(1), r], 1)
-        kept = f * psi
-        fixed = np.concatenate([zero, kept.sum(2)], 1)
-        rr = by_column(_best_probabilities(counts, fixed, np.concatenate([eye, -kept], 1), rr[:, 0, :]))
-    counts = np.concatenate([c, m], 1)
+        # Odds of falling silent, by new state, for given flows of those who went on.
+        kept = f * rr
+        size = kept.sum(1)
+        odds = (1 - rr[:, 0, :]) / np.maximum(rr[:, 0, :], 1e-12)
+        counts = np.concatenate([r, lost], 1)
+        never = mm[:, 0, :] * size
+        fixed = np.concatenate([zero, np.ones_like(c), never.sum(1)[:, None]], 1)
+        slope = np.concatenate([kept, eye, never[:, None, :]], 1)
+        odds = _best_point(counts, fixed, slope, odds, cost=size, upper=1e9)
+        f = _share(kept * (1 + odds)[:, None, :], (1, 2))
+        rr = by_column(1 / (1 + odds))
     silent = f * (1 - psi)
     if mm_axis == "i":
-        fixed = np.concatenate([silent.sum(1), one], 1)
+        fixed = np.concatenate([silent.sum(1), none], 1)
         slope = np.concatenate([-silent.transpose(0, 2, 1), silent.sum(2)[:, None, :]], 1)
-        mm = by_row(_best_probabilities(counts, fixed, slope, mm[:, :, 0]))
+        mm = by_row(_best_point(lost, fixed, slope, mm[:, :, 0]))
     elif mm_axis == "j":
         total = silent.sum(1)
-        fixed = np.concatenate([total, one], 1)
+        fixed = np.concatenate([total, none], 1)
         slope = np.concatenate([-total[:, :, None] * eye, total[:, None, :]], 1)
-        mm = by_column(_best_probabilities(counts, fixed, slope, mm[:, 0, :]))
+        mm = by_column(_best_point(lost, fixed, slope, mm[:, 0, :]))
     return np.stack([f, psi, rr, mm])
 
 
