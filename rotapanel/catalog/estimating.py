@@ -569,7 +569,25 @@ def jackknife(spark, sf):
     return rounded(_replicated(spark, sf, "jackknife"), estimate=8, var=10, se=8)
 
 
-@query("j27_bootstrap")
+BOOTSTRAP_SQL = """
+, u AS (
+  SELECT estrato, upm, trimestre, sum(fep * CASE WHEN trabajo = 'Desocupado' THEN 1 ELSE 0 END) AS y,
+         sum(fep * CASE WHEN trabajo IN ('Ocupado', 'Desocupado') THEN 1 ELSE 0 END) AS z FROM base GROUP BY 1, 2, 3),
+num AS (SELECT estrato, upm, row_number() OVER (PARTITION BY estrato ORDER BY upm) AS k FROM (SELECT DISTINCT estrato, upm FROM base)),
+tam_h AS (SELECT estrato, count(*) AS n FROM num GROUP BY 1),
+sorteo AS (
+  SELECT estrato, n, r.rep, ('0x' || substr(md5(estrato || ':' || r.rep || ':' || d.draw || ':15'), 1, 8))::BIGINT % n + 1 AS k
+  FROM tam_h, (SELECT unnest(range(1, 201)) AS rep) r, (SELECT unnest(range(1, 1000)) AS draw) d WHERE d.draw <= n - 1),
+rep AS (
+  SELECT s.rep, trimestre, sum(y * n / (n - 1.0::DOUBLE)) AS y, sum(z * n / (n - 1.0::DOUBLE)) AS z
+  FROM sorteo s JOIN num ON s.estrato = num.estrato AND s.k = num.k JOIN u ON u.estrato = num.estrato AND u.upm = num.upm GROUP BY 1, 2),
+full_r AS (SELECT trimestre, sum(y) / sum(z) AS theta FROM u GROUP BY 1)
+SELECT trimestre AS stat, round(any_value(theta), 8) AS estimate, round(sum((y / z - theta) * (y / z - theta) / 200), 10) AS var,
+       round(sqrt(sum((y / z - theta) * (y / z - theta) / 200)), 8) AS se
+FROM rep JOIN full_r USING (trimestre) GROUP BY 1"""
+
+
+@query("j27_bootstrap", sql(BOOTSTRAP_SQL))
 def bootstrap(spark, sf):
     return rounded(_replicated(spark, sf, "bootstrap"), estimate=8, var=10, se=8)
 

@@ -176,13 +176,56 @@ def household_weight_on_persons(spark, sf):
     return people.select(*PERSON, "trimestre", "fep_long")
 
 
-@query("k14_propensity_logit")
+# Newton's method for the logit on sex and income (per 100,000), written out in SQL.
+LOGIT = """, x AS (
+  SELECT id_hogar, id_pers, trimestre, estrato, fep_long, respboth_per, CASE WHEN sexo = 'Mujer' THEN 1.0::DOUBLE ELSE 0 END AS u,
+         ingreso / 100000.0::DOUBLE AS v, CAST(respboth_per AS DOUBLE) AS y FROM gente),
+nr AS (
+  WITH RECURSIVE pasos(it, b0, b1, b2, e0, e1, e2) AS (
+    SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+    UNION ALL
+    SELECT it + 1,
+           b0 + (g0 * (c * f - e * e) + g1 * (d * e - b * f) + g2 * (b * e - c * d)) / det,
+           b1 + (g0 * (d * e - b * f) + g1 * (a * f - d * d) + g2 * (b * d - a * e)) / det,
+           b2 + (g0 * (b * e - c * d) + g1 * (b * d - a * e) + g2 * (a * c - b * b)) / det,
+           sqrt((c * f - e * e) / det), sqrt((a * f - d * d) / det), sqrt((a * c - b * b) / det)
+    FROM (
+      SELECT *, a * (c * f - e * e) - b * (b * f - d * e) + d * (b * e - c * d) AS det FROM (
+        SELECT it, b0, b1, b2, sum(y - p) AS g0, sum(u * (y - p)) AS g1, sum(v * (y - p)) AS g2, sum(w) AS a, sum(w * u) AS b,
+               sum(w * u * u) AS c, sum(w * v) AS d, sum(w * u * v) AS e, sum(w * v * v) AS f
+        FROM (SELECT *, p * (1 - p) AS w FROM (
+          SELECT it, b0, b1, b2, u, v, y, 1 / (1 + exp(-(b0 + b1 * u + b2 * v))) AS p FROM pasos, x WHERE it < 12))
+        GROUP BY it, b0, b1, b2)))
+  SELECT * FROM pasos WHERE it = 12),
+nota AS (SELECT x.*, 1 / (1 + exp(-(b0 + b1 * u + b2 * v))) AS prob_resp FROM x, nr)
+"""
+
+
+def _per_100k(people):
+    return people.withColumn("ingreso", F.col("ingreso") / 100000)
+
+
+@query("k14_propensity_logit", sql(
+    """
+SELECT '(Intercept)' AS term, round(b0, 6) AS estimate FROM nr UNION ALL SELECT 'sexo_Mujer', round(b1, 6) FROM nr
+UNION ALL SELECT 'ingreso', round(b2, 6) FROM nr""", PANEL, LOGIT))
 def propensity_logit(spark, sf):
-    people = stored(_people(spark, sf))
+    people = stored(_per_100k(_people(spark, sf)))
     model = fit_response(people, "respboth_per", SIMPLE)
     return rounded(coefficients(model, people).select("term", "estimate"), estimate=6)
 
 
+@query("k17_coefficients_with_error", sql(
+    """
+SELECT '(Intercept)' AS term, round(b0, 6) AS estimate, round(e0, 6) AS se, round(b0 / e0, 4) AS t FROM nr
+UNION ALL SELECT 'sexo_Mujer', round(b1, 6), round(e1, 6), round(b1 / e1, 4) FROM nr
+UNION ALL SELECT 'ingreso', round(b2, 6), round(e2, 6), round(b2 / e2, 4) FROM nr""", PANEL, LOGIT))
+def coefficients_with_error(spark, sf):
+    people = stored(_per_100k(_people(spark, sf)))
+    table = coefficients(fit_response(people, "respboth_per", SIMPLE), people)
+    return rounded(table.drop("p"), estimate=6, se=6, t=4)
+
+
 @query("k15_propensity_logit_categorical")
 def propensity_logit_categorical(spark, sf):
     people = stored(_people(spark, sf).withColumn("pobreza", F.col("pobreza").cast("string")))
@@ -190,7 +233,8 @@ def propensity_logit_categorical(spark, sf):
     return rounded(coefficients(model, people).select("term", "estimate"), estimate=6)
 
 
-@query("k16_predicted_probabilities")
+@query("k16_predicted_probabilities", sql(
+    "SELECT id_hogar, id_pers, trimestre, respboth_per, round(prob_resp, 6) AS prob_resp FROM nota", PANEL, LOGIT))
 def predicted(spark, sf):
     return rounded(_scored(spark, sf, SIMPLE).select(*PERSON, "trimestre", "respboth_per", "prob_resp"), prob_resp=6)
 
@@ -234,12 +278,18 @@ def area_under_curve(spark, sf):
     return rounded(auc(_stated_score(spark, sf), "respboth_per", "s"), auc=9)
 
 
-@query("k18_area_under_curve_fitted")
+@query("k18_area_under_curve_fitted", sql(
+    """
+, r AS (SELECT y, rank() OVER (ORDER BY round(prob_resp, 9)) AS lo, count(*) OVER (PARTITION BY round(prob_resp, 9)) AS k FROM nota)
+SELECT round((sum(lo + (k - 1) / 2.0) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 5) AS auc FROM r""",
+    PANEL, LOGIT))
 def area_under_fitted_curve(spark, sf):
-    return rounded(auc(_scored(spark, sf, SIMPLE), "respboth_per", "prob_resp"), auc=6)
+    scored = _scored(spark, sf, SIMPLE).withColumn("prob_resp", F.round("prob_resp", 9))
+    return rounded(auc(scored, "respboth_per", "prob_resp"), auc=5)
 
 
-@query("k19_adjusted_weight")
+@query("k19_adjusted_weight", sql(
+    "SELECT id_hogar, id_pers, trimestre, fep_long, round(fep_long / prob_resp, 4) AS fep_aj FROM nota", PANEL, LOGIT))
 def adjusted(spark, sf):
     scored = _scored(spark, sf, SIMPLE).withColumn("fep_aj", adjusted_weight())
     return rounded(scored.select(*PERSON, "trimestre", "fep_long", "fep_aj"), fep_aj=4)
@@ -364,7 +414,10 @@ def exits_left_out(spark, sf):
     return without_exits(_people(spark, sf), exits).select(*PERSON, "trimestre")
 
 
-@query("k29_weight_chain")
+@query("k29_weight_chain", sql(
+    """
+SELECT m.estrato, count(*) AS n, round(sum(fep_long / prob_resp), 2) AS fep_aj, round(any_value(t_per), 2) AS fex_cali
+FROM nota JOIN metas m ON nota.estrato = m.estrato WHERE trimestre = 'T1' AND respboth_per = 1 GROUP BY 1""", PANEL, TARGETS, LOGIT))
 def weight_chain(spark, sf):
     scored = _scored(spark, sf, SIMPLE)
     final = panel_plan.final_base(scored, controls(spark, sf), "pobreza")
@@ -372,7 +425,7 @@ def weight_chain(spark, sf):
     sums = kept.groupBy("estrato").agg(
         F.count(F.lit(1)).alias("n"), F.sum("fep_aj").alias("fep_aj"), F.sum("fex_cali").alias("fex_cali")
     )
-    return rounded(sums, fep_aj=3, fex_cali=3)
+    return rounded(sums, fep_aj=2, fex_cali=2)
 
 
 @query("k29_weight_chain_mean_rate", sql("""

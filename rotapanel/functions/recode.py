@@ -35,10 +35,15 @@ def joined(*cols: str, sep: str = "_") -> Column:
     return F.concat_ws(sep, *[F.col(c).cast("string") for c in cols])
 
 
+def hash_number(keys: list[str], seed: int) -> Column:
+    """32-bit number that depends on the row's key and the seed alone."""
+    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def hash_draw(keys: list[str], seed: int) -> Column:
     """Whole number from 0 to 999, a function of the row's key and the seed."""
-    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000
+    return hash_number(keys, seed) % 1000
 
 
 def masked(value: str, keys: list[str], rate: Column | float, seed: int) -> Column:

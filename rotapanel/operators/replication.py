@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rotapanel.functions.recode import hash_number
 from rotapanel.operators.design import SurveyDesign
 from rotapanel.session import join_small, settle
 
@@ -76,7 +77,7 @@ def bootstrap_totals(units: DataFrame, size: int, replicates: int = 200, seed: i
     draws = (
         sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1)).cast("int"))))
-        .withColumn("k", (F.pmod(F.xxhash64("h", "rep", "draw", F.lit(seed)), F.col("n")) + 1).cast("int"))
+        .withColumn("k", (hash_number(["h", "rep", "draw"], seed) % F.col("n") + 1).cast("int"))
         .groupBy("h", "rep", "k", "n")
         .agg(F.count(F.lit(1)).alias("times"))
     )
