@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rotapanel.catalog.common import PANEL_FINAL, QUARTERLY_CAL, base, controls, quarterly, rounded, sql, variance
+from rotapanel.catalog.common import PANEL_FINAL, QUARTERLY_CAL, base, controls, covariance, quarterly, rounded, sql, variance
 from rotapanel.catalog.registry import query
 from rotapanel.catalog.reshaping import FLOW_SQL, STATES, _label_sql
 from rotapanel.functions.reshape import dummies_wide, rename_matching
@@ -279,10 +279,13 @@ def across_function(spark, sf):
     return wide.groupBy("trimestre").agg(*[F.sum(F.col("fep") * F.col(c)).alias(c) for c in ("area_1", "area_2")])
 
 
-def _model_a_sql(domain: str) -> str:
+def _domain_cells(domain: str) -> str:
+    return f", celda AS (SELECT {domain} AS d, pobreza_t1 AS a, pobreza_t2 AS b, sum(fex_cali) AS w FROM final GROUP BY 1, 2, 3)"
+
+
+def _model_a_sql(domain: str = "", cells: str = "") -> str:
     """Model A in SQL: EM over the joint probabilities, response probabilities in closed form."""
-    return f"""
-, celda AS (SELECT {domain} AS d, pobreza_t1 AS a, pobreza_t2 AS b, sum(fex_cali) AS w FROM final GROUP BY 1, 2, 3),
+    return (cells or _domain_cells(domain)) + """,
 dom AS (SELECT d, sum(w) AS t, sum(w) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n, sum(w) FILTER (a IS NOT NULL AND b IS NULL) AS r,
                sum(w) FILTER (a IS NULL AND b IS NOT NULL) AS c, sum(w) FILTER (a IS NULL AND b IS NULL) AS m FROM celda GROUP BY 1),
 tabla AS (
@@ -296,8 +299,8 @@ em AS (
     UNION ALL
     SELECT it + 1, e.d, e.a, e.b,
            (n + r * f / sum(f) OVER (PARTITION BY e.d, e.a) + c * f / sum(f) OVER (PARTITION BY e.d, e.b) + m * f / sum(f) OVER (PARTITION BY e.d)) / t
-    FROM pasos e JOIN tabla q ON e.d = q.d AND e.a = q.a AND e.b = q.b WHERE it < 200)
-  SELECT d, a, b, f FROM pasos WHERE it = 200),
+    FROM pasos e JOIN tabla q ON e.d = q.d AND e.a = q.a AND e.b = q.b WHERE it < 60)
+  SELECT d, a, b, f FROM pasos WHERE it = 60),
 pars AS (
   SELECT d, 'eta' AS param, CAST(a AS VARCHAR) AS i, CAST(NULL AS VARCHAR) AS j, sum(f) AS value FROM em GROUP BY 1, a
   UNION ALL SELECT d, 'gamma', NULL, CAST(b AS VARCHAR), sum(f) FROM em GROUP BY 1, b
@@ -338,3 +341,88 @@ FROM final WHERE pobreza_t1 IS NOT NULL GROUP BY pobreza_t1""", PANEL_FINAL))
 def first_round_response(spark, sf):
     fit = _fit(spark, sf).where(F.col("param").isin("psi", "rho_rr"))
     return rounded(fit.select("param", "i", "value"), value=6)
+
+
+# One table of cells per unit left out, and one for the whole sample.
+LEFT_OUT = """, u AS (SELECT estrato, upm, pobreza_t1 AS a, pobreza_t2 AS b, sum(fex_cali) AS w FROM final GROUP BY 1, 2, 3, 4),
+uni AS (SELECT estrato, upm, count(*) OVER (PARTITION BY estrato) AS n FROM (SELECT DISTINCT estrato, upm FROM final)),
+celda AS (
+  SELECT r.estrato || ':' || r.upm AS d, u.a, u.b,
+         sum(u.w * CASE WHEN u.estrato <> r.estrato THEN 1.0::DOUBLE WHEN u.upm = r.upm THEN 0 ELSE n / (n - 1.0::DOUBLE) END) AS w
+  FROM uni r CROSS JOIN u GROUP BY 1, 2, 3
+  UNION ALL SELECT 'all', a, b, sum(w) FROM u GROUP BY a, b)"""
+DEVIATIONS = """, peso AS (SELECT estrato || ':' || upm AS d, (n - 1.0::DOUBLE) / n AS k FROM uni),
+errores AS (
+  SELECT x.param, x.i, x.j, any_value(x.value) AS value, sqrt(sum(k * (p.value - x.value) * (p.value - x.value))) AS se
+  FROM pars x JOIN pars p ON x.param = p.param AND x.i IS NOT DISTINCT FROM p.i AND x.j IS NOT DISTINCT FROM p.j
+  JOIN peso ON peso.d = p.d WHERE x.d = 'all' GROUP BY 1, 2, 3)
+"""
+
+
+@query("l19_model_a_with_error", sql(
+    "SELECT param, i, j, round(value, 3) AS value, round(se, 3) AS se FROM errores WHERE param <> 'muij'",
+    PANEL_FINAL, _model_a_sql(cells=LEFT_OUT), DEVIATIONS))
+def model_a_with_error(spark, sf):
+    design = panel_plan.panel_design(stored(_final(spark, sf)))
+    errors = flow_standard_errors(design, S1, S2, LEVELS, "A").where(F.col("param") != "muij")
+    return rounded(errors, value=3, se=3)
+
+
+@query("l17_model_a_flows_with_error", sql(
+    "SELECT i, j, round(value, 1) AS value, round(se, 1) AS se FROM errores WHERE param = 'muij'",
+    PANEL_FINAL, _model_a_sql(cells=LEFT_OUT), DEVIATIONS))
+def model_a_flows(spark, sf):
+    design = panel_plan.panel_design(stored(_final(spark, sf)))
+    errors = flow_standard_errors(design, S1, S2, LEVELS, "A").where(F.col("param") == "muij")
+    return rounded(errors.select("i", "j", "value", "se"), value=1, se=1)
+
+
+# In model C, psi and rho_RR are shares of the cells in every replicate too.
+SHARES_C = """, pars AS (
+  SELECT d, 'psi' AS param, CAST(NULL AS VARCHAR) AS i, CAST(NULL AS VARCHAR) AS j,
+         sum(w) FILTER (a IS NOT NULL) / sum(w) AS value FROM celda GROUP BY 1
+  UNION ALL
+  SELECT d, 'rho_rr', CAST(a AS VARCHAR), NULL, sum(w) FILTER (b IS NOT NULL) / sum(w) FROM celda WHERE a IS NOT NULL GROUP BY d, a)
+"""
+
+
+@query("l18_first_round_response_with_error", sql(
+    "SELECT param, i, round(value, 5) AS value, round(se, 5) AS se FROM errores", PANEL_FINAL, LEFT_OUT, SHARES_C, DEVIATIONS))
+def first_round_response_with_error(spark, sf):
+    design = panel_plan.panel_design(stored(_final(spark, sf)))
+    errors = flow_standard_errors(design, S1, S2, LEVELS, "C").where(F.col("param").isin("psi", "rho_rr"))
+    return rounded(errors.select("param", "i", "value", "se"), value=5, se=5)
+
+
+GOODNESS = """, proporciones AS (
+  SELECT coalesce(CAST(pobreza_t1 AS VARCHAR), '-') || '>' || coalesce(CAST(pobreza_t2 AS VARCHAR), '-') AS stat,
+         pobreza_t1 AS a, pobreza_t2 AS b, sum(fex_cali) / (SELECT sum(fex_cali) FROM final) AS p FROM final GROUP BY 1, 2, 3),
+totu AS (SELECT estrato, upm, sum(fex_cali) AS s FROM final GROUP BY 1, 2),
+zu AS (
+  SELECT estrato, upm, coalesce(CAST(pobreza_t1 AS VARCHAR), '-') || '>' || coalesce(CAST(pobreza_t2 AS VARCHAR), '-') AS stat,
+         sum(fex_cali) AS z FROM final GROUP BY 1, 2, 3),
+zc AS (
+  SELECT t.estrato, t.upm, p.stat, (coalesce(z.z, 0) - p.p * s) / (SELECT sum(fex_cali) FROM final) AS z
+  FROM totu t CROSS JOIN proporciones p LEFT JOIN zu z ON z.estrato = t.estrato AND z.upm = t.upm AND z.stat = p.stat),
+""" + covariance("final", "zc").lstrip().lstrip(",") + """, par AS (
+  SELECT max(value) FILTER (param = 'psi') AS psi, max(value) FILTER (param = 'rho_rr') AS rr, max(value) FILTER (param = 'rho_mm') AS mm FROM pars),
+esperado AS (
+  SELECT a, b, psi * rr * f AS e FROM em, par
+  UNION ALL SELECT a, NULL, psi * (1 - rr) * sum(f) FROM em, par GROUP BY a, psi, rr
+  UNION ALL SELECT NULL, b, (1 - psi) * (1 - mm) * sum(f) FROM em, par GROUP BY b, psi, mm
+  UNION ALL SELECT NULL, NULL, (1 - psi) * mm FROM par),
+ajuste AS (
+  SELECT (SELECT count(*) FROM final) * sum((p - e) * (p - e) / e) AS chi2,
+         (SELECT count(*) FROM final) * sum(cov / p) / (count(*) - 1) AS deff
+  FROM proporciones p JOIN esperado x ON p.a IS NOT DISTINCT FROM x.a AND p.b IS NOT DISTINCT FROM x.b
+  JOIN vc ON stat_a = stat AND stat_b = stat)
+"""
+
+
+@query("l20_goodness_of_fit_model_a", sql(
+    """
+SELECT 'A' AS model, round(chi2, 4) AS chi2, round(deff, 4) AS deff, round(chi2 / deff, 4) AS chi2_rs, 5 AS df, 11.0705::DOUBLE AS critical FROM ajuste""",
+    PANEL_FINAL, _model_a_sql("'all'"), GOODNESS))
+def goodness_model_a(spark, sf):
+    out = goodness_of_fit(panel_plan.panel_design(_final(spark, sf)), S1, S2, LEVELS, ["A"])
+    return rounded(out.drop("iterations", "converged"), chi2=4, deff=4, chi2_rs=4)
