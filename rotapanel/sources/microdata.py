@@ -50,7 +50,7 @@ def number_within(
     ``order`` and shifted by the sizes of the earlier slices, so a group that
     holds a large share of all rows is spread over many tasks.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
+    sliced = df.withColumn("_slice", F.expr(f"`{order}` DIV {width}"))
     slice_keys = [*keys, "_slice"]
     sizes = sliced.groupBy(*slice_keys).agg(
         F.count(F.lit(1)).alias("_size"), *[F.min(c).alias(n) for n, c in carry.items()]
