@@ -4,16 +4,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rotapanel.catalog.common import (
-    ANNUAL, ANNUAL_CAL, PANEL, PANEL_FINAL, QUARTERLY, QUARTERLY_CAL, TARGETS, annual, base, controls, quarterly, rounded, sql,
+    ANNUAL, ANNUAL_CAL, PANEL, PANEL_FINAL, QUARTERLY, QUARTERLY_CAL, annual, base, controls, quarterly, rounded, sql,
     variance,
 )
 from rotapanel.catalog.registry import query
 from rotapanel.functions.recode import in_labour_force, unemployed
 from rotapanel.functions.reshape import to_wide
 from rotapanel.operators.calibration import histogram, weight_summary
-from rotapanel.operators.design import SurveyDesign
 from rotapanel.operators.estimation import sum_over_months, survey_mean, survey_total, with_national
-from rotapanel.operators.longitudinal import PERSON, household_panel, households, person_panel
+from rotapanel.operators.longitudinal import PERSON, household_panel, person_panel
 from rotapanel.operators.overlap import periods_of
 from rotapanel.operators.weights import mean_weight
 from rotapanel.plans import annual as annual_plan

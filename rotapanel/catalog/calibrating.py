@@ -4,14 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rotapanel.catalog.common import (
-    ANNUAL, ANNUAL_CAL, PANEL, PANEL_FINAL, QUARTERLY, QUARTERLY_CAL, TARGETS, annual, base, controls, quarterly, rounded, sql,
-    variance,
+    ANNUAL_CAL, PANEL_FINAL, QUARTERLY, QUARTERLY_CAL, TARGETS, annual, base, controls, quarterly, rounded, sql,
 )
 from rotapanel.catalog.registry import query
 from rotapanel.operators.calibration import (
-    calibrate, calibration_gaps, histogram, integrative, pick_controls, poststratify, uncovered_controls, weight_summary,
+    calibrate, pick_controls, poststratify, uncovered_controls, weight_summary,
 )
-from rotapanel.operators.design import StratumCalibration, SurveyDesign
 from rotapanel.operators.estimation import survey_total, with_national
 from rotapanel.operators.longitudinal import PERSON
 from rotapanel.operators.weights import month_index

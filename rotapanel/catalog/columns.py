@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rotapanel.catalog.common import (
-    ANNUAL, ANNUAL_CAL, PANEL, PANEL_FINAL, QUARTERLY, QUARTERLY_CAL, TARGETS, annual, base, controls, quarterly, rounded,
+    ANNUAL, ANNUAL_CAL, PANEL, PANEL_FINAL, QUARTERLY, TARGETS, annual, base, controls, quarterly, rounded,
     sql,
 )
 from rotapanel.catalog.registry import query
@@ -12,7 +12,7 @@ from rotapanel.functions.recode import hash_draw, in_labour_force, inverse_logit
 from rotapanel.functions.reshape import (
     complete_grid, dummies_long, dummies_wide, rename_matching, scale_matching, to_wide, with_total,
 )
-from rotapanel.operators.longitudinal import PERSON, households, household_panel, person_panel
+from rotapanel.operators.longitudinal import PERSON, households, household_panel
 from rotapanel.operators.overlap import seen_in_all
 from rotapanel.operators.weights import mean_weight, quarter_factors
 from rotapanel.plans import annual as annual_plan

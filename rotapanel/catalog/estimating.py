@@ -15,7 +15,7 @@ from rotapanel.operators.contrasts import (
     weighted_correlation,
 )
 from rotapanel.operators.design import MarginCalibration, SurveyDesign
-from rotapanel.operators.estimation import degrees_of_freedom, sum_over_months, survey_mean, survey_ratio, survey_total
+from rotapanel.operators.estimation import degrees_of_freedom, sum_over_months, survey_ratio, survey_total
 from rotapanel.operators.longitudinal import linked
 from rotapanel.operators.overlap import overlap_share
 from rotapanel.operators.replication import (

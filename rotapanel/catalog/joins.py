@@ -10,7 +10,7 @@ from rotapanel.catalog.registry import query
 from rotapanel.operators.calibration import calibration_gaps
 from rotapanel.operators.flows import answered_both, flow_weights, row_complement
 from rotapanel.operators.longitudinal import (
-    PERSON, basic_weight, household_panel, households, persons_of_panel, wide_states, with_household_weight, with_person_flag,
+    PERSON, basic_weight, household_panel, persons_of_panel, wide_states, with_household_weight, with_person_flag,
 )
 from rotapanel.operators.overlap import shared_units
 from rotapanel.plans import annual as annual_plan

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from rotapanel.catalog.common import PANEL, PANEL_FINAL, QUARTERLY, QUARTERLY_CAL, base, controls, quarterly, rounded, sql, variance
 from rotapanel.catalog.registry import query
-from rotapanel.functions.recode import in_labour_force, joined, label, unemployed
+from rotapanel.functions.recode import in_labour_force, label, unemployed
 from rotapanel.functions.reshape import to_wide
-from rotapanel.operators.flows import column_complement, flow_table, flow_totals, flow_weights, total_with_error
+from rotapanel.operators.flows import flow_table, flow_totals, flow_weights, total_with_error
 from rotapanel.operators.longitudinal import PERSON, wide_states
 from rotapanel.operators.overlap import periods_of, seen_in_all, shared_units
 from rotapanel.operators.weights import moving_quarters, pool_rounds, quarter_factors, size_shares, year_factors

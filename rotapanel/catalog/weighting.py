@@ -5,11 +5,10 @@ from pyspark.sql import functions as F
 
 from rotapanel.catalog.common import ANNUAL, QUARTERLY, QUARTERLY_CAL, annual, base, controls, quarterly, rounded, sql, variance
 from rotapanel.catalog.registry import query
-from rotapanel.functions.reshape import to_wide
 from rotapanel.operators.design import SurveyDesign
 from rotapanel.operators.estimation import survey_total
 from rotapanel.operators.longitudinal import PERSON
-from rotapanel.operators.weights import coherence, mean_weight, pool_rounds, representatives, size_normalised_weights
+from rotapanel.operators.weights import coherence, mean_weight, pool_rounds, size_normalised_weights
 from rotapanel.plans import quarterly as quarterly_plan
 from rotapanel.sources.microdata import QUARTERS
 

@@ -72,8 +72,3 @@ def scale_matching(df: DataFrame, pattern: str, factor: Column) -> DataFrame:
     return df.select(
         *[(F.col(c) * factor).alias(c) if rx.search(c) else F.col(c) for c in df.columns]
     )
-
-
-def unpivot_row(row: DataFrame, entries: list[Column]) -> DataFrame:
-    """Rows from a list of struct expressions over a reduced table."""
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
