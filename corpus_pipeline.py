@@ -9,10 +9,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotapanel.llm import decontaminate, mixing, sharding
+from rotapanel.llm import decontaminate, mixing, near_dup, quality, sharding
 from rotapanel.session import shared_dir
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the ordinal classifier takes for junk."""
+    return quality.select_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return near_dup.remove_near_duplicates(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -29,6 +39,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each),
     ("decontaminate", decontamination),
     ("mix_sources", mix),
     ("shard", shard),

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotapanel.llm import decontaminate, mixing, sharding, url_filter, warc
+from rotapanel.llm import decontaminate, mixing, near_dup, quality, sharding, toxicity, url_filter, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -86,6 +86,29 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(table(spark, sf, "documents"), instead="text").select("doc_id", "slot", "shard")
 
 
+_LINKS = f"""d AS (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[k:k + least(len(w), 5) - 1], ' ') AS g
+      FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS (SELECT DISTINCT x, y FROM (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.r AS ra, b.r AS rb, count(*) AS i FROM s a JOIN s b USING (g)
+  WHERE a.r <> b.r AND a.doc_id <> b.doc_id GROUP BY ALL) JOIN n na ON ra = na.r JOIN n nb ON rb = nb.r
+  WHERE 100 * i >= {near_dup.PERCENT} * (na.n + nb.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT a, y FROM reach JOIN links ON b = x),
+least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+@query(
+    "op4_near_duplicates",
+    f"""WITH RECURSIVE {_LINKS}
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(d.doc_id = component_id, true) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN least_id l ON l.doc_id = d.doc_id""",
+)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.group_documents(table(spark, sf, "documents"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{u}', '{l}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _WORDS = _WORDS.format(u=url_filter.UPPER, l=url_filter.LOWER)
 
@@ -114,6 +137,14 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op6_quality")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.fit_quality(docs, table(spark, sf, "labels"), quality.label_grade())
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", *quality.ADDED, (F.col("p_tail") >= quality.LEAST).alias("kept"))
+
+
 @query(
     "op7_warc",
     f"""WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -126,3 +157,17 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf, "pages"), warc.archive_folder(spark, "warc"))
     records = warc.read_archives(archives, payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+
+    def held_out(key: str) -> Column:
+        return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
+
+    model = toxicity.fit_toxicity(docs, table(spark, sf, "labels").where(~held_out("doc_id")))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )

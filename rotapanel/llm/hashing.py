@@ -5,6 +5,8 @@ cut at white space, so memory follows the chunk and the number of words.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -77,20 +79,9 @@ def _cuts(raw: np.ndarray, offsets: np.ndarray) -> list[int]:
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased white-space word, and offsets of each text in them."""
     global _POWERS
-    raw, offsets = text_bytes(column)
-    cuts = _cuts(raw, offsets)
-    hashes, starts_all = [], []
+    hashes, starts_all, offsets = [], [], text_bytes(column)[1]
     with np.errstate(over="ignore"):
-        for lo, hi in zip(cuts, cuts[1:]):
-            part = LOWER[raw[lo:hi]]
-            space = _SPACE[part]
-            start = ~space
-            start[1:] &= space[:-1]
-            inner = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
-            start[inner] |= ~space[inner]
-            at = np.flatnonzero(start)
-            if not len(at):
-                continue
+        for lo, part, at in word_starts(column, _SPACE):
             lengths = np.diff(at, append=len(part))
             part = part[at[0] :]
             if lengths.max() > len(_POWERS):
@@ -107,6 +98,35 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(at, offsets).astype(np.int64)
 
 
+def word_starts(column: pa.Array, gap: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Chunks of a batch: first byte's place, lower-cased bytes, and where words start in them."""
+    raw, offsets = text_bytes(column)
+    cuts = _cuts(raw, offsets)
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = LOWER[raw[lo:hi]]
+        space = gap[part]
+        start = ~space
+        start[1:] &= space[:-1]
+        inner = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
+        start[inner] |= ~space[inner]
+        at = np.flatnonzero(start)
+        if len(at):
+            yield lo, part, at
+
+
+def prefix_hashes(part: np.ndarray, at: np.ndarray, gap: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """Hashes of the first bytes of words, for each length (whole words where they are shorter)."""
+    out, total, alive = [], np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+    with np.errstate(over="ignore"):
+        for k in range(max(lengths)):
+            place = np.minimum(at + k, len(part) - 1)
+            alive &= (at + k < len(part)) & ~gap[part[place]]
+            total = total + np.where(alive, (_BYTE[part[place]] + np.uint64(1)) * _POWERS[k], np.uint64(0))
+            if k + 1 in lengths:
+                out.append(mix(total))
+    return out
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a shorter text is one shingle."""
     words, off = word_hashes(column)
@@ -127,3 +147,25 @@ def shingle_sets(column: pa.Array, width: int = 5) -> list[np.ndarray]:
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
+    """Parts of a batch with about ``size`` bytes of the text column each."""
+    _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
+    lo, n = 0, batch.num_rows
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def minima(sets: list[np.ndarray], count: int, seed: int = 3) -> np.ndarray:
+    """Minimum of each of ``count`` universal hashes over each set; sets must not be empty."""
+    a, b = draws(count, seed) | np.uint64(1), draws(count, seed + 1)
+    values = np.concatenate(sets)
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    out = np.empty((len(sets), count), np.uint32)
+    with np.errstate(over="ignore"):
+        for k in range(count):
+            out[:, k] = np.minimum.reduceat((values * a[k] + b[k]) >> np.uint64(32), first)
+    return out
