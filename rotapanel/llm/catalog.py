@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotapanel.llm import decontaminate, mixing, near_dup, quality, sharding, toxicity, url_filter, warc
+from rotapanel.llm import decontaminate, mixing, near_dup, quality, sharding, toxicity, url_filter, vectors, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -171,3 +171,21 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query(
+    "op10_near_vectors",
+    f"""WITH RECURSIVE good AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {vectors.LEAST}::DOUBLE),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT a, y FROM reach JOIN links ON b = x),
+least_id AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM embeddings LEFT JOIN least_id ON a = vec_id LEFT JOIN counts ON x = vec_id""",
+)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.group_vectors(table(spark, sf, "embeddings"))
