@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotapanel.llm import decontaminate, mixing, near_dup, quality, sharding, toxicity, url_filter, vectors, warc
+from rotapanel.llm import decontaminate, mixing, near_dup, quality, repeats, sharding, toxicity, url_filter, vectors, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -173,6 +173,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op9_repeated_bytes")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents"))
+
+
 @query(
     "op10_near_vectors",
     f"""WITH RECURSIVE good AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
