@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             for row in batch.to_pylist():
                 if out is None:
                     path, records, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{base}/{path}")
+                    out = store.open_output_stream(f"{base}/{path}", compression=None)
                 member = gzip_member(
                     record_bytes(row["id"], row["url"], row["payload"], row["digest"], row["first"], row["first"] is not None)
                 )
@@ -180,7 +180,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for row in batch.to_pylist():
                 store, path = fs.FileSystem.from_uri(row["path"])
                 rows, size, n = [], 0, 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for data in members(stream):
                         record = parse_record(data)
                         n += 1
