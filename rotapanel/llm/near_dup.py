@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from rotapanel.llm import hashing
 from rotapanel.llm.components import connected_components
-from rotapanel.session import join_small, stored
+from rotapanel.llm.steps import written
+from rotapanel.session import join_small
 
 WORDS, ROWS, BANDS = 5, 5, 25
 HASHES = ROWS * BANDS
@@ -164,13 +165,13 @@ def confirm(groups: DataFrame, candidates: DataFrame, percent: int, words: int =
 
 
 def _blocks(n: str) -> str:
-    return f"cast(ceil({n} / {BLOCK}) as int)"
+    return f"cast(ceil(({n}) / {BLOCK}) as int)"
 
 
 def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) per row; one document of each component is kept."""
-    rows = stored(signatures(docs, key, text))
-    classes = stored(
+    rows = written(signatures(docs, key, text))
+    classes = written(
         rows.where("n > 0 AND doc IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc").alias("cid"), F.min_by("sig", "doc").alias("sig"))
     )
     bands = band_keys(classes)
@@ -181,10 +182,10 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         .where("m > 1")
         .select("band", "bucket", "m", F.col("c").bitwiseXOR(F.col("bucket")).alias("centre"))
     )
-    members = stored(bands.join(buckets, ["band", "bucket"]))
+    members = written(bands.join(buckets, ["band", "bucket"]))
     ids = members.select("cid").distinct()
     texts = docs.select(F.col(key).cast("long").alias("cid"), F.col(text).alias("text"))
-    candidates = stored(texts.join(ids, "cid").join(classes.select("cid", "sig"), "cid"))
+    candidates = written(texts.join(ids, "cid").join(classes.select("cid", "sig"), "cid"))
 
     # First round: a star around each centre, in chunks.
     stars = members.where("cid <> centre").select("centre", "cid").distinct()
@@ -198,7 +199,7 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
             "cid", F.col("cid").alias("comp"),
         )
 
-    links = stored(confirm(star(spokes, 1).unionByName(star(hubs, 0)), candidates, percent))
+    links = written(confirm(star(spokes, 1).unionByName(star(hubs, 0)), candidates, percent))
 
     # Second round: what is still apart within a bucket.
     parts = connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
@@ -208,9 +209,9 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         sizes.groupBy("band", "bucket")
         .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("m"), F.count("*").alias("comps"))
         .where("comps > 1")
-        .selectExpr("band", "bucket", "main", f"{_blocks('n_main')} AS mains", f"{_blocks('m - n_main')} AS rests")
+        .selectExpr("band", "bucket", "main", f"{_blocks('n_main')} AS mains", f"{_blocks('m - n_main')} AS rests", "m - n_main > 1 AS many")
     )
-    apart = stored(apart.select("band", "bucket", "cid", "comp").join(several, ["band", "bucket"]))
+    apart = written(apart.select("band", "bucket", "cid", "comp").join(several, ["band", "bucket"]))
     slot = "pmod(hash(cid), if(comp = main, mains, rests))"
     apart = apart.withColumn("slot", F.expr(slot))
 
@@ -225,12 +226,12 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         .unionByName(block(rest.withColumn("r", F.expr("explode(sequence(0, mains - 1))")), "1", "0", "slot", "r"))
         .unionByName(
             block(
-                rest.withColumn("r", F.expr("explode(sequence(0, rests - 1))")),
+                rest.where("many").withColumn("r", F.expr("explode(sequence(0, rests - 1))")),
                 "2", "if(r = slot, 2, if(slot < r, 0, 1))", "least(r, slot)", "greatest(r, slot)",
             )
         )
     )
-    more = stored(confirm(blocks, candidates, percent))
+    more = written(confirm(blocks, candidates, percent))
     groups = connected_components(links.unionByName(more)).select(F.col("node").alias("cid"), F.col("component"))
     named = rows.select("doc", "n", "hi", "lo").join(classes.select("hi", "lo", "cid"), ["hi", "lo"], "left")
     named = named.withColumn("cid", F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.col("cid")))
@@ -243,7 +244,7 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def remove_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One document of each group, with all columns; of rows that repeat an id, one stays."""
-    groups = stored(group_documents(docs, key, text, percent))
+    groups = written(group_documents(docs, key, text, percent))
     id_ = F.col(key).cast("long").alias("_id")
     gone = groups.where("NOT kept").select(F.col(key).alias("_id")).distinct()
     again = groups.where(F.col(key).isNotNull() & F.col("kept")).groupBy(F.col(key).alias("_id")).count().where("count > 1").select("_id")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotapanel.llm.components import connected_components
-from rotapanel.session import stored
+from rotapanel.llm.steps import written
 
 LEAST = 0.98
 BITS, NEAR, MISS = 62, 64, 1e-4
@@ -173,7 +173,7 @@ def group_vectors(
     nonzero = F.exists("vector", lambda v: v != 0)
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & sound & nonzero, F.lit(False))
     rows = rows.withColumn("good", good)
-    classes = stored(
+    classes = written(
         rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
         .withColumn("size", F.size("vector"))
     )
@@ -182,10 +182,10 @@ def group_vectors(
     for number in range(passes(largest, least, near) if largest > 1 else 0):
         keyed = projection_keys(classes, number)
         ordered = keyed.repartitionByRange("label", "size", "place", "cid").sortWithinPartitions("label", "size", "place", "cid")
-        found.append(stored(window_links(ordered, least, near)))
+        found.append(written(window_links(ordered, least, near)))
     none = table.sparkSession.createDataFrame([], "u long, v long")
     groups = connected_components(reduce(DataFrame.unionByName, found, none)).withColumnRenamed("node", "cid")
-    groups = stored(groups.withColumnRenamed("component", "comp"))
+    groups = written(groups.withColumnRenamed("component", "comp"))
     links = count_links(classes.select("cid", "n", "vector").join(groups, "cid"), least)
     known = (
         classes.select("label", "vector", "cid", "n").join(groups, "cid", "left").join(links, "cid", "left")
