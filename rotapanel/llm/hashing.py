@@ -117,10 +117,11 @@ def word_starts(column: pa.Array, gap: np.ndarray) -> Iterator[tuple[int, np.nda
 def prefix_hashes(part: np.ndarray, at: np.ndarray, gap: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
     """Hashes of the first bytes of words, for each length (whole words where they are shorter)."""
     out, total, alive = [], np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+    room = np.diff(at, append=len(part))  # a word ends with its text
     with np.errstate(over="ignore"):
         for k in range(max(lengths)):
             place = np.minimum(at + k, len(part) - 1)
-            alive &= (at + k < len(part)) & ~gap[part[place]]
+            alive &= (k < room) & ~gap[part[place]]
             total = total + np.where(alive, (_BYTE[part[place]] + np.uint64(1)) * _POWERS[k], np.uint64(0))
             if k + 1 in lengths:
                 out.append(mix(total))
