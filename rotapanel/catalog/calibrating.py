@@ -8,7 +8,7 @@ from rotapanel.catalog.common import (
 )
 from rotapanel.catalog.registry import query
 from rotapanel.operators.calibration import (
-    calibrate, pick_controls, poststratify, uncovered_controls, weight_summary,
+    calibrate, pick_controls, poststratify, uncovered_controls, unmatched_cells, weight_summary,
 )
 from rotapanel.operators.estimation import survey_total, with_national
 from rotapanel.operators.longitudinal import PERSON
@@ -72,14 +72,14 @@ def targets(spark, sf):
 
 
 @query("i2_linear_calibration", sql(
-    "SELECT id_hogar, id_pers, round(w, 4) AS w_cal FROM margen",
-    ", src AS (SELECT *, fep AS d FROM base WHERE trimestre = 'T1')",
+    "SELECT id_hogar, id_pers, trimestre, round(w, 4) AS w_cal FROM margen",
+    ", src AS (SELECT *, fep AS d FROM base)",
     MARGINS_SQL,
 ))
 def linear_calibration(spark, sf):
-    people = base(spark, sf, ["T1"])
+    people = base(spark, sf)
     out = calibrate(people, "fep", margin_terms(), margin_totals(spark, sf))
-    return rounded(out.select(*PERSON, "w_cal"), w_cal=4)
+    return rounded(out.select(*PERSON, "trimestre", "w_cal"), w_cal=4)
 
 
 @query("i3_poststratify_households", sql("""
@@ -185,19 +185,30 @@ def uncovered(spark, sf):
     return uncovered_controls(_final(spark, sf), goals, ["estrato"]).agg(F.count(F.lit(1)).alias("sin_muestra"))
 
 
+@query("i10_unmatched_cells", sql("""
+, s AS (SELECT id_hogar, count(*) AS n FROM base WHERE trimestre = 'T2' GROUP BY 1),
+c AS (SELECT id_hogar, count(*) AS n FROM base WHERE trimestre = 'T1' GROUP BY 1)
+SELECT CASE WHEN c.n IS NULL THEN 'sample' ELSE 'control' END AS side, count(*) AS celdas, CAST(sum(coalesce(s.n, c.n)) AS BIGINT) AS n
+FROM s FULL JOIN c USING (id_hogar) WHERE s.n IS NULL OR c.n IS NULL GROUP BY 1"""))
+def unmatched(spark, sf):
+    # Households of the first quarter against those of the second: each side has some that the other lacks.
+    found = unmatched_cells(base(spark, sf, ["T2"]), base(spark, sf, ["T1"]), ["id_hogar"])
+    return found.groupBy("side").agg(F.count("*").alias("celdas"), F.sum("n").alias("n"))
+
+
 MONTHLY_CONTROLS = """, mensual AS (
   SELECT estrato AS term, CAST((substr(trimestre, 2, 1)::INTEGER - 1) * 3 + substr(mes_trimestre, 2, 1)::INTEGER AS INTEGER) AS mes,
-         sum(fep) AS total FROM base WHERE trimestre = 'T1' GROUP BY 1, 2)
+         sum(fep) AS total FROM base GROUP BY 1, 2)
 """
 
 
 def _monthly_controls(spark, sf):
-    return base(spark, sf, ["T1"]).groupBy(F.col("estrato").alias("term"), month_index().alias("mes")).agg(
+    return base(spark, sf).groupBy(F.col("estrato").alias("term"), month_index().alias("mes")).agg(
         F.sum("fep").alias("total")
     )
 
 
-@query("i11_controls_middle_month", sql("SELECT term, total FROM mensual WHERE mes = 2", MONTHLY_CONTROLS))
+@query("i11_controls_middle_month", sql("SELECT term, total FROM mensual WHERE mes = 6", MONTHLY_CONTROLS))
 def controls_middle_month(spark, sf):
     return pick_controls(_monthly_controls(spark, sf), "middle")
 
@@ -224,14 +235,14 @@ def recalibrate_accumulated(spark, sf):
 
 def _before_after_sql(w: str) -> str:
     return f"""SELECT '{w}' AS peso, round(min({w}), 6) AS min, round(quantile_cont({w}, 0.5), 6) AS median,
-      round(avg({w}), 6) AS mean, round(max({w}), 6) AS max FROM hogcal WHERE trimestre = 'T1'"""
+      round(avg({w}), 6) AS mean, round(max({w}), 6) AS max FROM hogcal"""
 
 
 @query("i13_weights_before_and_after", sql(
     f"{_before_after_sql('dk_mes')} UNION ALL {_before_after_sql('dk_mes_cali')}", QUARTERLY_CAL
 ))
 def before_and_after(spark, sf):
-    homes = quarterly_plan.household_design(base(spark, sf), controls(spark, sf), "T1").df
+    homes = quarterly_plan.calibrated_households(quarterly(spark, sf), controls(spark, sf))
     both = homes.select(
         F.explode(
             F.array(*[F.struct(F.lit(w).alias("peso"), F.col(w).alias("w")) for w in ("dk_mes", "dk_mes_cali")])

@@ -210,10 +210,10 @@ def distinct_rows(spark, sf):
 @query("b21_complete_grid", sql("""
 SELECT coalesce(g.a, p.pobreza_t1) AS pobreza_t1, coalesce(g.b, p.pobreza_t2) AS pobreza_t2, coalesce(n, 0) AS n
 FROM (SELECT a, b FROM (VALUES (1), (2), (3)) x(a) CROSS JOIN (VALUES (1), (2), (3)) y(b)) g
-FULL OUTER JOIN (SELECT pobreza_t1, pobreza_t2, count(*) AS n FROM panel WHERE sexo = 'Hombre' GROUP BY 1, 2) p
+FULL OUTER JOIN (SELECT pobreza_t1, pobreza_t2, count(*) AS n FROM panel GROUP BY 1, 2) p
   ON g.a = p.pobreza_t1 AND g.b = p.pobreza_t2""", PANEL_FINAL))
 def complete(spark, sf):
-    counts = _final(spark, sf).where(F.col("sexo") == "Hombre").groupBy("pobreza_t1", "pobreza_t2").agg(
+    counts = _final(spark, sf).groupBy("pobreza_t1", "pobreza_t2").agg(
         F.count(F.lit(1)).alias("n")
     )
     return complete_grid(counts, {"pobreza_t1": [1, 2, 3], "pobreza_t2": [1, 2, 3]}, {"n": 0})

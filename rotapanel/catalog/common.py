@@ -154,6 +154,32 @@ def sql(body: str, *tables: str) -> str:
     return BASE + "".join(tables) + body
 
 
+def t_within(t: str, df: str) -> str:
+    """Probability that Student's t lies within ±t, by its finite series for whole degrees of freedom."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = (
+        f"sin({angle}) * coalesce(list_sum(list_transform(range(0, {df} // 2), lambda k: "
+        f"exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4) + 2 * k * ln(cos({angle}))))), 0)"
+    )
+    odd = (
+        f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), "
+        f"lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + 2 * k * ln(cos({angle}))))), 0))"
+    )
+    return f"(CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def t_points(src: str, name: str = "puntos") -> str:
+    """WITH entry: two-sided 5 % points for the values of ``df`` in ``src``, by bisection."""
+    return f""", {name} AS (
+  WITH RECURSIVE b AS (
+    SELECT DISTINCT df, 0.0::DOUBLE AS lo, 100.0::DOUBLE AS hi, 0 AS paso FROM {src}
+    UNION ALL
+    SELECT df, CASE WHEN dentro < 0.95 THEN medio ELSE lo END, CASE WHEN dentro < 0.95 THEN hi ELSE medio END, paso + 1
+    FROM (SELECT *, (lo + hi) / 2 AS medio, {t_within('((lo + hi) / 2)', 'df')} AS dentro FROM b WHERE paso < 60))
+  SELECT df, hi AS t_crit FROM b WHERE paso = 60)
+"""
+
+
 def variance(
     src: str, by: list[str], u: str, domain: str = "TRUE", name: str = "var_out", lonely: str = "NULL"
 ) -> str:

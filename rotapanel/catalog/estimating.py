@@ -5,17 +5,18 @@ from pyspark.sql import functions as F
 
 from rotapanel.catalog.calibrating import MARGINS_SQL, margin_terms, margin_totals
 from rotapanel.catalog.common import (
-    ANNUAL_CAL, PANEL_FINAL, QUARTERLY_CAL, base, controls, covariance, rounded, sql, variance,
+    ANNUAL_CAL, PANEL_FINAL, QUARTERLY_CAL, base, controls, covariance, rounded, sql, t_points, t_within, variance,
 )
 from rotapanel.catalog.registry import query
+from rotapanel.functions.distributions import critical_t
 from rotapanel.functions.recode import cv, in_labour_force, unemployed
 from rotapanel.operators.calibration import calibrate
 from rotapanel.operators.contrasts import (
-    change_variance, contrast, covariance_between, critical_t, design_t_test, mean_of_three_variance, net_change,
+    change_variance, contrast, covariance_between, design_t_test, mean_of_three_variance, net_change,
     weighted_correlation,
 )
 from rotapanel.operators.design import MarginCalibration, SurveyDesign
-from rotapanel.operators.estimation import degrees_of_freedom, sum_over_months, survey_ratio, survey_total
+from rotapanel.operators.estimation import degrees_of_freedom, sum_over_months, survey_ratio, survey_total, with_national
 from rotapanel.operators.longitudinal import linked
 from rotapanel.operators.overlap import overlap_share
 from rotapanel.operators.replication import (
@@ -353,15 +354,14 @@ DF_SQL = """, gl AS (SELECT count(DISTINCT (estrato, upm)) - count(DISTINCT estr
     """
 , d AS (SELECT (SELECT m FROM med WHERE trimestre = 'T2') - (SELECT m FROM med WHERE trimestre = 'T1') AS delta,
                sqrt(sum(CASE WHEN stat_a = stat_b THEN cov ELSE -cov END)) AS se FROM vc)
-SELECT round(delta, 5) AS delta, round(se, 5) AS se, df - 1 AS df, round(delta / se, 7) AS t,
-       CASE WHEN df - 1 < 120 THEN 2.0 WHEN df - 1 > 1000 THEN 1.96 ELSE 1.98 END::DOUBLE AS t_crit,
-       abs(delta / se) > CASE WHEN df - 1 < 120 THEN 2.0 WHEN df - 1 > 1000 THEN 1.96 ELSE 1.98 END AS reject
-FROM d, gl""",
-    QUARTERLY_CAL, T12, _means_sql("t12"), DF_SQL,
+SELECT round(delta, 5) AS delta, round(se, 5) AS se, df, round(delta / se, 7) AS t, round(t_crit, 6) AS t_crit,
+       round(1 - """ + t_within("(delta / se)", "df") + """, 6) AS p, abs(delta / se) > t_crit AS reject
+FROM d, uno JOIN puntos USING (df)""",
+    QUARTERLY_CAL, T12, _means_sql("t12"), DF_SQL, ", uno AS (SELECT df - 1 AS df FROM gl)", t_points("uno"),
 ))
 def t_test(spark, sf):
     out = design_t_test(_design(spark, sf, ["T1", "T2"]), F.col("ingreso"), _quarters(["T1", "T2"]))
-    return rounded(out, delta=5, se=5, t=7)
+    return rounded(out, delta=5, se=5, t=7, t_crit=6, p=6)
 
 
 @query("j19_t_statistic", sql(
@@ -380,9 +380,9 @@ def t_statistic(spark, sf):
 
 @query("j20_degrees_of_freedom", sql("""
 SELECT count(DISTINCT upm) AS n_psu, count(DISTINCT estrato) AS n_strata, count(DISTINCT upm) - count(DISTINCT estrato) AS df
-FROM base WHERE trimestre = 'T1'"""))
+FROM base"""))
 def df_of_design(spark, sf):
-    design = SurveyDesign(base(spark, sf, ["T1"]), "fep")
+    design = SurveyDesign(base(spark, sf), "fep")
     return degrees_of_freedom(design).select("n_psu", "n_strata", "df")
 
 
@@ -394,15 +394,14 @@ def df_of_domain(spark, sf):
     return degrees_of_freedom(design).select("df_domain")
 
 
-@query("j22_critical_values", sql("""
-, gl AS (SELECT estrato, count(DISTINCT upm) - 1 AS df FROM base GROUP BY 1)
-SELECT estrato, df, CASE WHEN df < 2 THEN 12.706 WHEN df < 3 THEN 4.303 WHEN df < 4 THEN 3.182 WHEN df < 5 THEN 2.776
-  WHEN df < 6 THEN 2.571 WHEN df < 7 THEN 2.447 WHEN df < 8 THEN 2.365 WHEN df < 9 THEN 2.306 WHEN df < 10 THEN 2.262
-  WHEN df < 12 THEN 2.228 WHEN df < 15 THEN 2.179 WHEN df < 20 THEN 2.131 WHEN df < 25 THEN 2.086 WHEN df < 30 THEN 2.060
-  ELSE 2.042 END::DOUBLE AS t_crit FROM gl"""))
+@query("j22_critical_values", sql(
+    "SELECT estrato, df, round(t_crit, 6) AS t_crit FROM gl JOIN puntos USING (df)",
+    ", gl AS (SELECT estrato, count(DISTINCT upm) - 1 AS df FROM base GROUP BY 1)",
+    t_points("gl"),
+))
 def critical_values(spark, sf):
     sizes = SurveyDesign(base(spark, sf), "fep").strata_sizes()
-    return sizes.select("estrato", (F.col("n_psu") - 1).alias("df")).withColumn("t_crit", critical_t(F.col("df")))
+    return sizes.select("estrato", (F.col("n_psu") - 1).alias("df")).withColumn("t_crit", F.round(critical_t(F.col("df")), 6))
 
 
 @query("j23_covariance_scenarios", _planning_sql("""
@@ -507,6 +506,56 @@ def residual_variance_margins(spark, sf):
     return rounded(out, estimate=2, se=3)
 
 
+def _margin_domain_sql(domain: str, label: str) -> str:
+    """Total and residual error of one domain of the margin-calibrated panel."""
+    return f"""SELECT {label} AS dominio, round((SELECT sum(w) FROM margen WHERE {domain}), 2) AS total, round(sqrt(greatest(sum(v), 0)), 2) + 0.0 AS se
+FROM (SELECT estrato, any_value(n) / (any_value(n) - 1.0::DOUBLE) * (sum(z * z) - sum(z) * sum(z) / any_value(n)) AS v
+  FROM (SELECT estrato, upm, sum(w * (y - (CASE WHEN area = '1' THEN l1 ELSE l2 END) - (CASE WHEN sexo = 'Mujer' THEN l3 ELSE 0 END))) AS z
+    FROM (SELECT *, CASE WHEN {domain} THEN 1 ELSE 0 END AS y FROM margen),
+      (SELECT (r1 * (b * c - bc * bc) - ac * (b * r3 - r2 * bc)) / det AS l1,
+              (a * (r2 * c - bc * r3) - ac * ac * r2 + ac * bc * r1) / det AS l2,
+              (a * (b * r3 - bc * r2) - ac * b * r1) / det AS l3
+       FROM brecha, (SELECT coalesce(sum(d) FILTER (area = '1'), 0) AS r1, coalesce(sum(d) FILTER (area = '2'), 0) AS r2,
+                            coalesce(sum(d) FILTER (sexo = 'Mujer'), 0) AS r3 FROM margen WHERE {domain})) GROUP BY 1, 2)
+  JOIN (SELECT estrato, count(DISTINCT upm) AS n FROM margen GROUP BY 1) USING (estrato) GROUP BY 1)"""
+
+
+def _margin_design(spark, sf):
+    final = panel_plan.final_base(panel_plan.scored_panel(base(spark, sf), 0.75), controls(spark, sf), "pobreza")
+    people = calibrate(final, "fep_aj", margin_terms(), margin_totals(spark, sf))
+    return SurveyDesign(people, "w_cal", nest=False, calibration=MarginCalibration("fep_aj", margin_terms()))
+
+
+@query("j25_margin_totals_by_poverty", sql(
+    " UNION ALL ".join(_margin_domain_sql(f"pobreza_t1 = {k}", f"'{k}'") for k in (1, 2, 3)),
+    PANEL_FINAL, ", src AS (SELECT *, fep_aj AS d FROM final)", MARGINS_SQL,
+))
+def margin_totals_by_poverty(spark, sf):
+    known = _margin_design(spark, sf).where(F.col("pobreza_t1").isNotNull())
+    out = survey_total(known, ["pobreza_t1"]).select(F.col("pobreza_t1").cast("string").alias("dominio"), "total", "se")
+    return rounded(out, total=2, se=2)
+
+
+@query("j25_margin_rollup_by_area", sql(
+    " UNION ALL ".join(_margin_domain_sql(c, label) for c, label in (("area = '1'", "'1'"), ("area = '2'", "'2'"), ("TRUE", "'Nacional'"))),
+    PANEL_FINAL, ", src AS (SELECT *, fep_aj AS d FROM final)", MARGINS_SQL,
+))
+def margin_rollup_by_area(spark, sf):
+    out = with_national(_margin_design(spark, sf), "area").select(F.col("area").alias("dominio"), "total", "se")
+    return rounded(out, total=2, se=2)
+
+
+@query("j25_margin_rollup_by_sex", sql(
+    " UNION ALL ".join(
+        _margin_domain_sql(c, label) for c, label in (("sexo = 'Hombre'", "'Hombre'"), ("sexo = 'Mujer'", "'Mujer'"), ("TRUE", "'Nacional'"))
+    ),
+    PANEL_FINAL, ", src AS (SELECT *, fep_aj AS d FROM final)", MARGINS_SQL,
+))
+def margin_rollup_by_sex(spark, sf):
+    out = with_national(_margin_design(spark, sf), "sexo").select(F.col("sexo").alias("dominio"), "total", "se")
+    return rounded(out, total=2, se=2)
+
+
 @query("j26_plain_weights_variance", sql(
     """
 SELECT round((SELECT sum(fex_cali) FROM final WHERE sexo = 'Mujer'), 2) AS total, round(sqrt(v), 3) AS se FROM ve""",

@@ -441,7 +441,7 @@ def weight_chain_mean_rate(spark, sf):
 
 SPELLS = """
 , o AS (SELECT id_hogar, id_pers, trimestre, trabajo AS estado FROM base),
-r AS (SELECT *, row_number() OVER (PARTITION BY id_hogar, id_pers ORDER BY trimestre)
+r AS (SELECT *, substr(trimestre, 2, 1)::BIGINT
               - row_number() OVER (PARTITION BY id_hogar, id_pers, estado ORDER BY trimestre) AS corrida FROM o),
 episodios AS (
   SELECT id_hogar, id_pers, estado, corrida, min(trimestre) AS desde, max(trimestre) AS hasta, count(*) AS duracion

@@ -36,11 +36,11 @@ def scan_controls(spark, sf):
 @query("a4_inline_controls", sql("""
 SELECT b.area, sum(fep) AS n_hat, any_value(t.total) AS total
 FROM base b JOIN (VALUES ('1', 1076892.0::DOUBLE), ('2', 162876.0::DOUBLE)) t(area, total) ON b.area = t.area
-WHERE trimestre = 'T1' GROUP BY 1"""))
+GROUP BY 1"""))
 def inline(spark, sf):
     # Totals stated in the program.
     totals = inline_controls(spark, {"1": 1076892, "2": 162876}).withColumnRenamed("term", "area")
-    sums = base(spark, sf, ["T1"]).groupBy("area").agg(F.sum("fep").alias("n_hat"))
+    sums = base(spark, sf).groupBy("area").agg(F.sum("fep").alias("n_hat"))
     return sums.join(totals, "area")
 
 

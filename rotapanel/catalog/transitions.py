@@ -211,7 +211,7 @@ def parameters_with_error(spark, sf):
 @query("l20_goodness_of_fit")
 def model_choice(spark, sf):
     out = goodness_of_fit(panel_plan.panel_design(_final(spark, sf)), S1, S2, LEVELS)
-    return rounded(out.drop("iterations"), chi2=4, deff=4, chi2_rs=4)
+    return rounded(out.drop("iterations"), chi2=4, deff=4, chi2_rs=4, critical=4, p=6)
 
 
 @query("l21_fit_by_sex")
@@ -421,8 +421,10 @@ ajuste AS (
 
 @query("l20_goodness_of_fit_model_a", sql(
     """
-SELECT 'A' AS model, round(chi2, 4) AS chi2, round(deff, 4) AS deff, round(chi2 / deff, 4) AS chi2_rs, 5 AS df, 11.0705::DOUBLE AS critical FROM ajuste""",
+SELECT 'A' AS model, round(chi2, 4) AS chi2, round(deff, 4) AS deff, round(chi2 / deff, 4) AS chi2_rs, 5 AS df, 11.0705::DOUBLE AS critical,
+       round(1 - (SELECT sum(exp(2.5 * ln(chi2 / deff / 2) - chi2 / deff / 2 + k * ln(chi2 / deff / 2) - lgamma(k + 3.5))) FROM range(400) s(k)), 6) AS p
+FROM ajuste""",
     PANEL_FINAL, _model_a_sql("'all'"), GOODNESS))
 def goodness_model_a(spark, sf):
     out = goodness_of_fit(panel_plan.panel_design(_final(spark, sf)), S1, S2, LEVELS, ["A"])
-    return rounded(out.drop("iterations", "converged"), chi2=4, deff=4, chi2_rs=4)
+    return rounded(out.drop("iterations", "converged"), chi2=4, deff=4, chi2_rs=4, critical=4, p=6)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rotapanel.functions.running import quantiles
+from rotapanel.operators.weights import or_fail
 from rotapanel.session import join_small
 
 
@@ -20,9 +21,12 @@ def poststratify(
     within: list[str] | None = None,
     name: str = "w_cal",
     sums_from: DataFrame | None = None,
+    unmatched: str = "fail",
 ) -> DataFrame:
     """Calibrate to one total per cell of ``by``: weights times N / N-hat.
 
+    A row whose cell has no control ends the job; with unmatched="keep" it stays, with a NULL weight.
+
     ``within`` repeats the calibration per period against the same totals, as
     a longer grouping key. A cell without sample cannot meet its total and
     is reported by :func:`uncovered_controls`. ``sums_from`` names a cheaper
@@ -33,7 +37,8 @@ def poststratify(
     factors = sums.join(controls.select(*by, F.col(total).alias("_want")), by).select(
         *keys, F.try_divide(F.col("_want"), F.col("_have")).alias("g")
     )
-    return join_small(df, factors, keys).withColumn(name, F.col(weight) * F.col("g")).drop("g")
+    g = or_fail(F.col("g"), "a cell of the sample has no control total", unmatched)
+    return join_small(df, factors, keys, "left").withColumn(name, F.col(weight) * g).drop("g")
 
 
 def integrative(
@@ -44,19 +49,32 @@ def integrative(
     total: str,
     by: list[str],
     name: str = "w_cal",
+    unmatched: str = "fail",
 ) -> DataFrame:
     """Calibrate household weights to person totals, with household size as variable.
 
-    g = 1 + n (N - sum d n) / sum d n^2, per cell of ``by``.
+    g = 1 + n (N - sum d n) / sum d n^2, per cell of ``by``. Rows without a control as in :func:`poststratify`.
     """
     d, n = F.col(weight), F.col(size)
     sums = homes.groupBy(*by).agg(F.sum(d * n).alias("_have"), F.sum(d * n * n).alias("_square"))
     slopes = sums.join(controls.select(*by, F.col(total).alias("_want")), by).select(
         *by, ((F.col("_want") - F.col("_have")) / F.col("_square")).alias("_lambda")
     )
-    return (
-        join_small(homes, slopes, by).withColumn(name, d * (1 + n * F.col("_lambda"))).drop("_lambda")
-    )
+    slope = or_fail(F.col("_lambda"), "a cell of the sample has no control total", unmatched)
+    return join_small(homes, slopes, by, "left").withColumn(name, d * (1 + n * slope)).drop("_lambda")
+
+
+def solved(gram: np.ndarray, right: np.ndarray, labels: list[str]) -> np.ndarray:
+    """Least-squares solution of the calibration system; it may have redundant terms, but none that can't be met."""
+    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    out = np.linalg.lstsq(gram / np.outer(scale, scale), (right.T / scale).T, rcond=1e-11)[0]
+    out = (out.T / scale).T
+    miss = np.abs(gram @ out - right).reshape(len(labels), -1).max(1)
+    size = np.maximum(np.abs(right).reshape(len(labels), -1).max(1), np.diag(gram))
+    bad = [t for t, m, s in zip(labels, miss, size) if m > 1e-6 * max(s, 1e-300)]
+    if bad:
+        raise ValueError(f"the totals of {', '.join(bad)} can't be met: terms without sample, or that contradict each other")
+    return out
 
 
 def calibrate(
@@ -79,7 +97,7 @@ def calibrate(
     for j, k in pairs_of(range(len(z)), 2):
         gram[j, k] = gram[k, j] = sums[f"g{j}_{k}"]
     gap = np.array([totals[t] - sums[f"t{j}"] for j, t in enumerate(labels)])
-    multipliers = np.linalg.solve(gram, gap)
+    multipliers = solved(gram, gap, labels)
     g = F.lit(1.0)
     for j in range(len(z)):
         g = g + z[j] * F.lit(float(multipliers[j]))
@@ -97,6 +115,15 @@ def calibration_gaps(
     )
 
 
+def unmatched_cells(df: DataFrame, controls: DataFrame, by: list[str]) -> DataFrame:
+    """Cells on one side only: ``side`` is "sample" or "control", with the rows they have there."""
+    both = df.groupBy(*by).agg(F.count("*").alias("n_sample")).join(
+        controls.groupBy(*by).agg(F.count("*").alias("n_control")), by, "full"
+    )
+    side = F.when(F.col("n_control").isNull(), "sample").when(F.col("n_sample").isNull(), "control")
+    return both.select(*by, side.alias("side"), F.coalesce("n_sample", "n_control").alias("n")).where("side IS NOT NULL")
+
+
 def uncovered_controls(df: DataFrame, controls: DataFrame, by: list[str]) -> DataFrame:
     """Controls whose cell has no row, which calibration cannot meet."""
     return controls.join(df.select(*by).distinct(), by, "left_anti")

@@ -4,18 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rotapanel.functions.distributions import critical_t, p_value_t
 from rotapanel.operators.design import SurveyDesign
 from rotapanel.operators.estimation import degrees_of_freedom
 from rotapanel.operators.statset import StatSet, domain_means
 
-# 97.5 % points of Student's t by degrees of freedom, and of the normal.
-T_975 = {
-    1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228,
-    12: 2.179, 15: 2.131, 20: 2.086, 25: 2.060, 30: 2.042, 40: 2.021, 60: 2.000, 120: 1.980,
-}
-NORMAL_975 = 1.960
-
-
 def contrast(stats: StatSet, coefficients: dict[str, float], name: str = "contrast") -> DataFrame:
     """One linear contrast with its standard error."""
     return stats.combine({name: coefficients}).estimates()
@@ -31,17 +24,6 @@ def net_change(stats: StatSet, later: str, earlier: str, name: str = "delta") ->
     )
 
 
-def critical_t(df: Column) -> Column:
-    """Two-sided 5 % point for the largest tabulated degrees of freedom not above ``df``."""
-    out = F.lit(NORMAL_975)
-    table = sorted(T_975.items())
-    out = F.when(df > 1000, F.lit(NORMAL_975)).otherwise(F.lit(table[-1][1]))
-    for degrees, point in reversed(table[:-1]):
-        following = next(d for d, _ in table if d > degrees)
-        out = F.when(df < following, F.lit(point)).otherwise(out)
-    return out
-
-
 def design_t_test(design: SurveyDesign, y: Column, levels: dict[str, Column]) -> DataFrame:
     """Difference of two domain means against zero.
 
@@ -50,12 +32,9 @@ def design_t_test(design: SurveyDesign, y: Column, levels: dict[str, Column]) ->
     first, second = levels
     change = net_change(domain_means(design, y, levels), second, first).select("delta", "se")
     df = degrees_of_freedom(design).select((F.col("df") - 1).alias("df"))
-    both = change.join(df, F.lit(True))
+    both = change.join(F.broadcast(df), F.lit(True)).withColumn("t", F.col("delta") / F.col("se"))  # one row each
     return both.withColumns(
-        {
-            "t": F.col("delta") / F.col("se"),
-            "t_crit": critical_t(F.col("df")),
-        }
+        {"t_crit": critical_t(F.col("df")), "p": p_value_t(F.col("t"), F.col("df"))}
     ).withColumn("reject", F.abs("t") > F.col("t_crit"))
 
 

@@ -6,12 +6,16 @@ scanned and shuffled once, after partial sums on the map side.
 """
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import combinations_with_replacement as pairs_of
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rotapanel.operators.calibration import solved
 from rotapanel.operators.design import MarginCalibration, SurveyDesign
+from rotapanel.session import settle
 
 
 
@@ -51,7 +55,7 @@ def domain_moments(
     """
     cal = design.calibration
     if isinstance(cal, MarginCalibration):
-        raise ValueError("weights calibrated on margins: use stat_set, with the domains listed")
+        return _margin_moments(design, by, measures)
     names = list(measures)
     w = F.col(design.weight)
     sums = {n: w * e for n, e in measures.items()}
@@ -99,6 +103,64 @@ def domain_moments(
     return out, names
 
 
+def _margin_moments(
+    design: SurveyDesign, by: list[str], measures: dict[str, Column]
+) -> tuple[DataFrame, list[str]]:
+    """As :func:`domain_moments`, for weights calibrated on margins.
+
+    A domain's measure is regressed on the terms over the whole sample: its
+    slopes are the inverse of the terms' products (one small matrix) times the
+    domain's own products with the terms. The residual variance is then a quadratic form in
+    the slopes, whose parts are sums over strata; the part of the terms alone is the same for all domains.
+    """
+    cal, names, w = design.calibration, list(measures), F.col(design.weight)
+    base, z = F.col(cal.base), [e.cast("double") for e in cal.terms.values()]
+    at = range(len(z))
+    rows = design.df.withColumns({f"_z{j}": z[j] for j in at})
+    products = rows.agg(*[F.sum(base * F.col(f"_z{j}") * F.col(f"_z{k}")).alias(f"g{j}_{k}") for j, k in pairs_of(at, 2)]).first()
+    gram = np.zeros((len(z), len(z)))
+    for j, k in pairs_of(at, 2):
+        gram[j, k] = gram[k, j] = products[f"g{j}_{k}"]
+    inverse = solved(gram, np.eye(len(z)) if np.linalg.matrix_rank(gram) == len(z) else gram @ np.linalg.pinv(gram), list(cal.terms))
+    sums = {n: w * e for n, e in measures.items()} | {f"z{j}": w * F.col(f"_z{j}") for j in at}
+    sums |= {f"b_{n}_{j}": base * F.col(f"_z{j}") * e for n, e in measures.items() for j in at}
+    marked = _with_unit_totals(unit_sums(replace(design, df=rows), by, sums), by, [f"z{j}" for j in at])
+    lead = F.col("lead")
+    aggs = [F.sum("lead").alias("leads")]
+    aggs += [F.sum(n).alias(f"s_{n}") for n in names] + [F.sum(F.col(a) * F.col(b)).alias(f"m_{a}_{b}") for a, b in _pairs(names)]
+    aggs += [F.sum(F.col(n) * F.col(f"z{j}_all")).alias(f"mz_{n}_{j}") for n in names for j in at]
+    aggs += [F.sum(f"b_{n}_{j}").alias(f"b_{n}_{j}") for n in names for j in at]
+    aggs += [F.sum(lead * F.col(f"z{j}_all")).alias(f"z1_{j}") for j in at]
+    aggs += [F.sum(lead * F.col(f"z{j}_all") * F.col(f"z{k}_all")).alias(f"z2_{j}_{k}") for j, k in pairs_of(at, 2)]
+    stratum = Window.partitionBy("h")
+    strata = marked.groupBy("h", "inside", *by).agg(*aggs)
+    whole = ["leads", *[f"z1_{j}" for j in at], *[f"z2_{j}_{k}" for j, k in pairs_of(at, 2)]]
+    strata = settle(strata.withColumns({c: F.sum(c).over(stratum) for c in whole}))
+    n = F.col("leads")
+    scale = design.lonely_factor(n, n / (n - 1))
+    # Spread of the terms' unit totals, over all strata.
+    each = strata.dropDuplicates(["h"]).agg(
+        *[F.sum(scale * (F.col(f"z2_{j}_{k}") - F.col(f"z1_{j}") * F.col(f"z1_{k}") / n)).alias(f"q{j}_{k}") for j, k in pairs_of(at, 2)]
+    ).first()
+    spread = {(j, k): float(each[f"q{min(j, k)}_{max(j, k)}"]) for j in at for k in at}
+    domains = strata.where("inside").groupBy(*by).agg(
+        *[F.sum(f"s_{a}").alias(f"s_{a}") for a in names],
+        *[F.sum(f"b_{a}_{j}").alias(f"b_{a}_{j}") for a in names for j in at],
+        *[F.sum(scale * (F.col(f"m_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n)).alias(f"q_{a}_{b}") for a, b in _pairs(names)],
+        *[F.sum(scale * (F.col(f"mz_{a}_{j}") - F.col(f"s_{a}") * F.col(f"z1_{j}") / n)).alias(f"r_{a}_{j}") for a in names for j in at],
+    )
+    slope = {(a, j): sum(F.lit(float(inverse[j, k])) * F.col(f"b_{a}_{k}") for k in at) for a in names for j in at}
+    covariances = []
+    for a, b in _pairs(names):
+        out = F.col(f"q_{a}_{b}")
+        for j in at:
+            out = out - slope[b, j] * F.col(f"r_{a}_{j}") - slope[a, j] * F.col(f"r_{b}_{j}")
+            for k in at:
+                out = out + slope[a, j] * slope[b, k] * F.lit(spread[j, k])
+        covariances.append(out.alias(f"v_{a}_{b}"))
+    return domains.select(*by, *[f"s_{a}" for a in names], *covariances), names
+
+
 def _result(moments: DataFrame, by: list[str], estimate: Column, variance: Column, name: str) -> DataFrame:
     return (
         moments.select(*by, estimate.alias(name), F.greatest(variance, F.lit(0.0)).alias("var"))
@@ -152,7 +214,8 @@ def with_national(design: SurveyDesign, by: str, label: str = "Nacional", name:
     # Reduce before doubling: the copies are made of unit rows, not of persons.
     cal = design.calibration
     if cal is not None and (isinstance(cal, MarginCalibration) or cal.size is not None):
-        raise ValueError("rollup supports plain weights and calibration to stratum counts")
+        own = survey_total(design, [by], name=name).withColumn(by, F.col(by).cast("string"))
+        return own.unionByName(survey_total(design, name=name).withColumn(by, F.lit(label)))
     sums = {"w": F.sum(F.when(inside, w).otherwise(0.0)), "wall": F.sum(w)}
     sums["b"] = F.sum(F.when(inside, F.col(cal.base if cal else design.weight)).otherwise(0.0))
     sums["ball"] = F.sum(F.col(cal.base if cal else design.weight))

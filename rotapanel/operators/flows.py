@@ -65,20 +65,21 @@ def flow_table(cells: DataFrame, value: str, levels: list, corner: str = "missin
     "column_sum" (the sum of the column complement).
     """
     v = F.col(value)
-    body = to_wide(answered_both(cells), ["state_1"], "state_2", F.sum(value), levels, fill=0)
-    rows = row_complement(cells, value)
-    inner = body.join(rows, "state_1", "left").select(
-        F.col("state_1").cast("string").alias("estado"),
-        *[F.col(str(x)).alias(f"s_{x}") for x in levels],
-        F.coalesce("complemento_fila", F.lit(0)).alias("complemento_fila"),
-    )
-    lost = F.col("state_1").isNull()
-    per_state = [F.sum(F.when(lost & (F.col("state_2") == x), v).otherwise(0)).alias(f"s_{x}") for x in levels]
-    in_corner = F.col("state_2").isNull() if corner == "missing" else F.col("state_2").isNotNull()
-    last = cells.agg(*per_state, F.sum(F.when(lost & in_corner, v).otherwise(0)).alias("complemento_fila")).select(
-        F.lit("Complemento columna").alias("estado"), "*"
+    zero = F.lit(0)
+    first, second = F.col("state_1"), F.col("state_2")
+    columns = [F.sum(F.when(second == x, v).otherwise(zero)).alias(f"s_{x}") for x in levels]
+    # Every state has a row, whether or not anyone answered in both rounds.
+    sums = cells.where(first.isNotNull()).groupBy(first.cast("string").alias("estado")).agg(
+        *columns, F.sum(F.when(second.isNull(), v).otherwise(zero)).alias("complemento_fila")
     )
-    return inner.unionByName(last, allowMissingColumns=True)
+    states = cells.sparkSession.createDataFrame([(str(x),) for x in levels], "estado string")
+    inner = states.join(sums, "estado", "left").na.fill(0)
+    in_corner = second.isNull() if corner == "missing" else second.isNotNull()
+    last = cells.where(first.isNull()).agg(
+        *[F.coalesce(c, zero).alias(f"s_{x}") for c, x in zip(columns, levels)],
+        F.coalesce(F.sum(F.when(in_corner, v).otherwise(zero)), zero).alias("complemento_fila"),
+    ).select(F.lit("Complemento columna").alias("estado"), "*")
+    return inner.unionByName(last)
 
 
 def allocate_by_weights(linked: DataFrame, s1: str, s2: str, w1: str, w2: str) -> DataFrame:

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -15,9 +17,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rotapanel.functions.distributions import chi2_above, chi2_point
 from rotapanel.operators.design import SurveyDesign
 from rotapanel.operators.replication import jackknife_totals, unit_vectors
 from rotapanel.operators.statset import reduced, stat_set
+from rotapanel.session import settle
 
 # Executors may not have this package installed: send its functions along with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -351,10 +355,15 @@ def flow_standard_errors(
 ) -> DataFrame:
     """Parameters with jackknife standard errors over the sampling units.
 
+    ``converged`` tells whether the fits of all replicates ended; weights calibrated
+    with residual variances are refused, as replicates would have to repeat the calibration.
+
     One replicate per unit; the replicates' cells follow in closed form from
     the unit's own cells and its stratum's. The fits are spread over the
     cluster and reduced to one row per parameter.
     """
+    if design.calibration is not None:
+        raise ValueError("replicates do not repeat a calibration: take the weights as plain ones with .plain()")
     measures = cell_measures(s1, s2, levels)
     size = len(measures)
     units = unit_vectors(reduced(design, [s1, s2]), measures)
@@ -366,16 +375,17 @@ def flow_standard_errors(
     arrays = replicates.unionByName(whole).repartition(parts, "rep")
     fits = fit_flow_model(arrays, levels, model, ["rep", "factor"], zero_flows, tol=tol)
     full = F.col("rep") == "all"
-    # The full-sample value is a constant within a parameter: sums of squares about it.
-    shifted = fits.groupBy("param", "i", "j").agg(
-        F.max(F.when(full, F.col("value"))).alias("value"),
-        F.sum(F.col("factor") * F.col("value")).alias("f1"),
-        F.sum(F.col("factor") * F.col("value") * F.col("value")).alias("f2"),
-        F.sum("factor").alias("f0"),
+    # Squares about the full-sample value, which comes first: a small table of one row per parameter.
+    fits = settle(fits)
+    keys = ["param", "i", "j"]
+    centre = F.broadcast(fits.where(full).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("value").alias("v")))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    sums = fits.join(centre, same).groupBy(*keys).agg(
+        F.max("v").alias("value"),
+        F.sum(F.col("factor") * (F.col("value") - F.col("v")) * (F.col("value") - F.col("v"))).alias("var"),
+        F.bool_and("converged").alias("converged"),
     )
-    v = F.col("value")
-    variance = F.col("f2") - 2 * v * F.col("f1") + v * v * F.col("f0")
-    return shifted.select("param", "i", "j", "value", F.sqrt(F.greatest(variance, F.lit(0.0))).alias("se"))
+    return sums.select("param", "i", "j", "value", F.sqrt("var").alias("se"), "converged")
 
 
 def degrees_of_freedom(model: str, g: int) -> int:
@@ -384,10 +394,6 @@ def degrees_of_freedom(model: str, g: int) -> int:
     return (g + 1) ** 2 - (g - 1 + g * (g - 1) + levels)
 
 
-# 95 % points of the chi-squared distribution by degrees of freedom.
-CHI2_95 = {1: 3.8415, 2: 5.9915, 3: 7.8147, 4: 9.4877, 5: 11.0705, 6: 12.5916, 7: 14.0671, 8: 15.5073}
-
-
 def goodness_of_fit(
     design: SurveyDesign, s1: str, s2: str, levels: list, models: list[str] | None = None, zero_flows: bool = True
 ) -> DataFrame:
@@ -407,7 +413,9 @@ def goodness_of_fit(
     row = props.row.select(
         F.array(*[props.est(c) for c in cells]).alias("cells"), F.array(*[props.cov(c, c) for c in cells]).alias("v")
     ).join(n, F.lit(True))
-    schema = "model string, chi2 double, deff double, chi2_rs double, df int, critical double, iterations int, converged boolean"
+    schema = (
+        "model string, chi2 double, deff double, chi2_rs double, df int, critical double, p double, iterations int, converged boolean"
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -428,7 +436,8 @@ def goodness_of_fit(
                         "deff": [deff],
                         "chi2_rs": [chi2 / deff],
                         "df": [df],
-                        "critical": [CHI2_95.get(df)],
+                        "critical": [chi2_point(df) if df > 0 else None],
+                        "p": [chi2_above(chi2 / deff, df) if df > 0 else None],
                         "iterations": [int(fit["iterations"][0])],
                         "converged": [bool(fit["converged"][0])],
                     }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rotapanel.functions.reshape import to_wide, with_total
 from rotapanel.operators.weights import PERIOD
-from rotapanel.sources.microdata import MONTHS
+from rotapanel.sources.microdata import MONTHS, QUARTERS
 
 
 def counts_by_month(df: DataFrame, unit: list[str] | None, name: str) -> DataFrame:
@@ -143,15 +143,18 @@ def attrition_pattern(frame: DataFrame, unit: list[str]) -> DataFrame:
     return frame.groupBy(pattern.alias("patron")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def state_spells(df: DataFrame, unit: list[str], state: str, period: str = "trimestre") -> DataFrame:
-    """Runs of equal state per unit over consecutive periods of observation.
+def state_spells(
+    df: DataFrame, unit: list[str], state: str, period: str = "trimestre", periods: list[str] | None = None
+) -> DataFrame:
+    """Runs of equal state per unit over consecutive periods; a period without observation ends a run.
 
-    Windows are per unit, over one row per period.
+    ``periods`` lists the codes in order. Windows are per unit, over one row per period.
     """
-    observed = df.groupBy(*unit, period).agg(F.first(state).alias("estado"))
-    order = Window.partitionBy(*unit).orderBy(period)
-    within = Window.partitionBy(*unit, "estado").orderBy(period)
-    runs = observed.withColumn("corrida", F.row_number().over(order) - F.row_number().over(within))
+    codes = F.array(*[F.lit(p) for p in periods or QUARTERS])
+    observed = df.groupBy(*unit, period).agg(F.max(state).alias("estado"))
+    within = Window.partitionBy(*unit, "estado").orderBy("_k")
+    numbered = observed.withColumn("_k", F.array_position(codes, F.col(period)))
+    runs = numbered.withColumn("corrida", F.col("_k") - F.row_number().over(within))
     return runs.groupBy(*unit, "estado", "corrida").agg(
         F.min(period).alias("desde"), F.max(period).alias("hasta"), F.count(F.lit(1)).alias("duracion")
     )

@@ -41,7 +41,10 @@ def fit_response(
             maxIter=max_iter,
             tol=tol,
         )
-        return Pipeline(stages=[formula, glm]).fit(used)
+        model = Pipeline(stages=[formula, glm]).fit(used)
+        if model.stages[-1].summary.numIterations >= max_iter:
+            raise RuntimeError(f"the response model did not converge in {max_iter} steps")
+        return model
     finally:
         used.unpersist()
 

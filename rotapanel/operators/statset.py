@@ -15,11 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from rotapanel.operators.calibration import solved
 from rotapanel.operators.design import MarginCalibration, StratumCalibration, SurveyDesign
 from rotapanel.session import settle
 
-MAX_STATS = 128
-
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -152,8 +151,6 @@ def reduced(design: SurveyDesign, keys: list[str]) -> SurveyDesign:
 def stat_set(design: SurveyDesign, measures: dict[str, Column]) -> StatSet:
     """Weighted totals of ``measures`` (NULL counts as 0) and their covariances."""
     names = list(measures)
-    if len(names) > MAX_STATS:
-        raise ValueError(f"{len(names)} statistics; list at most {MAX_STATS}")
     cal = design.calibration
     w, inside = F.col(design.weight), design.inside
     value = {
@@ -217,8 +214,8 @@ def _slopes(strata: DataFrame, cal, n_stats: int, n_terms: int) -> list[list[str
     for j, k in pairs_of(range(n_terms), 2):
         gram[j, k] = gram[k, j] = sums[f"g{j}_{k}"]
     rhs = np.array([[sums[f"b{i}_{j}"] for i in range(n_stats)] for j in range(n_terms)])
-    solved = np.linalg.solve(gram, rhs)
-    return [[f"({float(solved[j, i])!r}D)" for j in range(n_terms)] for i in range(n_stats)]
+    slopes = solved(gram, rhs, list(cal.terms))
+    return [[f"({float(slopes[j, i])!r}D)" for j in range(n_terms)] for i in range(n_stats)]
 
 
 def level_measures(

@@ -22,6 +22,15 @@ def month_sums(df: DataFrame, weight: str = "fep") -> DataFrame:
     )
 
 
+def or_fail(factor: Column, message: str, unmatched: str = "fail") -> Column:
+    """A factor that rows need: without it the job ends, or with "keep" the weight is NULL. No row is lost."""
+    if unmatched == "keep":
+        return factor
+    if unmatched != "fail":
+        raise ValueError("unmatched is 'fail' or 'keep'")
+    return F.coalesce(factor, F.raise_error(F.lit(message)).cast("double"))
+
+
 def quarter_factors(df: DataFrame, weight: str = "fep") -> DataFrame:
     """Each month's share ``ai`` of the weights of its quarter."""
     sums = month_sums(df, weight)
@@ -42,20 +51,22 @@ def year_factors(df: DataFrame, weight: str = "fep") -> DataFrame:
     )
 
 
-def quarterly_weights(df: DataFrame, weight: str = "fep", name: str = "dk_mes") -> DataFrame:
+def quarterly_weights(df: DataFrame, weight: str = "fep", name: str = "dk_mes", unmatched: str = "fail") -> DataFrame:
     """Accumulated weight of a quarter: the month's share times the weight.
 
     The factor table has at most 12 rows (it keeps known period codes only),
     so it is broadcast whatever the size of the microdata.
     """
     factors = quarter_factors(df, weight).select(*PERIOD, "ai")
-    return df.join(F.broadcast(factors), PERIOD).withColumn(name, F.col(weight) * F.col("ai"))
+    joined = df.join(F.broadcast(factors), PERIOD, "left")
+    return joined.withColumn(name, F.col(weight) * or_fail(F.col("ai"), "a row has an unknown period code", unmatched))
 
 
-def annual_weights(df: DataFrame, weight: str = "fep", name: str = "dk_anual") -> DataFrame:
+def annual_weights(df: DataFrame, weight: str = "fep", name: str = "dk_anual", unmatched: str = "fail") -> DataFrame:
     """Accumulated weight of a year; the factor table has at most 12 rows."""
     factors = year_factors(df, weight).select(*PERIOD, "bi")
-    return df.join(F.broadcast(factors), PERIOD).withColumn(name, F.col(weight) * F.col("bi"))
+    joined = df.join(F.broadcast(factors), PERIOD, "left")
+    return joined.withColumn(name, F.col(weight) * or_fail(F.col("bi"), "a row has an unknown period code", unmatched))
 
 
 def pool_rounds(rounds: Iterable[DataFrame], weight: str = "fep", name: str = "w_pool") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rotapanel.operators.calibration import poststratify
 from rotapanel.operators.design import StratumCalibration, SurveyDesign
-from rotapanel.operators.weights import quarterly_weights, representatives
+from rotapanel.operators.weights import or_fail, quarterly_weights, representatives
 from rotapanel.session import join_small
 from rotapanel.sources.controls import control_terms
 from rotapanel.sources.microdata import MONTHS, QUARTERS
@@ -37,9 +37,14 @@ def calibrated_households(people: DataFrame, controls: DataFrame) -> DataFrame:
     )
 
 
-def attach_household_weight(people: DataFrame, homes: DataFrame, weight: str) -> DataFrame:
-    """Give every person the weight of the household (join on the household key)."""
-    return people.join(homes.select(*HOME, weight), HOME)
+def attach_household_weight(people: DataFrame, homes: DataFrame, weight: str, unmatched: str = "fail") -> DataFrame:
+    """Give every person the weight of the household (join on the household key).
+
+    Persons of a household without a weight (it has no representative) end the job, or
+    with unmatched="keep" stay with a NULL weight.
+    """
+    joined = people.join(homes.select(*HOME, weight), HOME, "left")
+    return joined.withColumn(weight, or_fail(F.col(weight), "a household has no representative", unmatched))
 
 
 def calibration_factors(base: DataFrame, controls: DataFrame, weight: str = "fep") -> DataFrame:
@@ -58,12 +63,12 @@ def calibration_factors(base: DataFrame, controls: DataFrame, weight: str = "fep
     month, quarter = Window.partitionBy(*period), Window.partitionBy("trimestre")
     shares = cells.withColumn("ai", F.sum("all").over(month) / F.sum("all").over(quarter))
     have = F.sum(F.col("ai") * F.col("reps")).over(Window.partitionBy("trimestre", "estrato"))
-    return shares.withColumn("have", have).join(household_targets(controls), "estrato").select(
+    return shares.withColumn("have", have).join(household_targets(controls), "estrato", "left").select(
         *period, "estrato", "ai", F.try_divide(F.col("total"), F.col("have")).alias("g")
     )
 
 
-def calibrated_persons(base: DataFrame, controls: DataFrame, weight: str = "fep") -> DataFrame:
+def calibrated_persons(base: DataFrame, controls: DataFrame, weight: str = "fep", unmatched: str = "fail") -> DataFrame:
     """Persons with the accumulated and the calibrated weight of their household.
 
     The calibration factor depends on quarter and stratum only and the
@@ -72,10 +77,10 @@ def calibrated_persons(base: DataFrame, controls: DataFrame, weight: str = "fep"
     where it is, instead of shuffling it by household.
     """
     factors = calibration_factors(base, controls, weight)
-    joined = join_small(base, factors, ["trimestre", "mes_trimestre", "estrato"])
-    return joined.withColumn("dk_mes", F.col(weight) * F.col("ai")).withColumn(
-        "dk_mes_cali", F.col("dk_mes") * F.col("g")
-    ).drop("g")
+    joined = join_small(base, factors, ["trimestre", "mes_trimestre", "estrato"], "left")
+    share = or_fail(F.col("ai"), "a row has an unknown period code", unmatched)
+    g = or_fail(F.col("g"), "a cell of the sample has no control total", unmatched)
+    return joined.withColumn("dk_mes", F.col(weight) * share).withColumn("dk_mes_cali", F.col("dk_mes") * g).drop("g")
 
 
 def quarterly_design(base: DataFrame, controls: DataFrame, quarters: list[str] | None = None) -> SurveyDesign:
