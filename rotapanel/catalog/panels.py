@@ -233,6 +233,39 @@ def propensity_logit_categorical(spark, sf):
     return rounded(coefficients(model, people).select("term", "estimate"), estimate=6)
 
 
+def _score_sql(source: str, y: str, factors: list[str], numbers: list[str]) -> str:
+    """Sums of the response by every level and number: at the maximum the fitted ones are equal to them."""
+    parts = [f"SELECT '{c}=' || {c} AS term, sum({y}) AS total FROM {source} GROUP BY 1" for c in factors]
+    parts += [f"SELECT '{c}' AS term, sum({y} * {c}) AS total FROM {source}" for c in numbers]
+    return "SELECT term, round(CAST(total AS DOUBLE), 2) AS total FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+def _score_sums(scored, factors: list[str], numbers: list[str]):
+    """The same sums of the fitted probabilities, in one pass."""
+    p = F.col("prob_resp")
+    entries = [F.struct(F.concat(F.lit(f"{c}="), F.col(c).cast("string")).alias("term"), p.alias("v")) for c in factors]
+    entries += [F.struct(F.lit(c).alias("term"), (p * F.col(c)).alias("v")) for c in numbers]
+    rows = scored.where(p.isNotNull()).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return rows.groupBy("term").agg(F.round(F.sum("v"), 2).alias("total"))
+
+
+@query("k15_logit_score_equations", sql(
+    _score_sql("(SELECT * FROM gente WHERE pobreza IS NOT NULL)", "respboth_per", ["pobreza", "area", "etnia", "sexo"], ["edad"]), PANEL))
+def logit_score_equations(spark, sf):
+    people = stored(_people(spark, sf).withColumn("pobreza", F.col("pobreza").cast("string")))
+    scored = predict_response(fit_response(people, "respboth_per", RICH), people, RICH)
+    return _score_sums(scored, ["pobreza", "area", "etnia", "sexo"], ["edad"])
+
+
+@query("k23_logit_score_equations", sql(
+    _score_sql("(SELECT * FROM gente WHERE trimestre = 'T1')", "respboth_per", ["sexo", "area"], ["edad"]), PANEL))
+def second_logit_score_equations(spark, sf):
+    people = stored(_people(spark, sf).where(F.col("trimestre") == "T1"))
+    covariates = ["sexo", "edad", "area"]
+    scored = predict_response(fit_response(people, "respboth_per", covariates), people, covariates)
+    return _score_sums(scored, ["sexo", "area"], ["edad"])
+
+
 @query("k16_predicted_probabilities", sql(
     "SELECT id_hogar, id_pers, trimestre, respboth_per, round(prob_resp, 6) AS prob_resp FROM nota", PANEL, LOGIT))
 def predicted(spark, sf):

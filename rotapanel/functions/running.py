@@ -38,9 +38,9 @@ def quantiles(
     combined before any shuffle and no group sits in one task.
     """
     by = by or []
-    freq = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    freq = stored(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
     ranked = running_sums(freq, value, ["n"], by)
-    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_all"), F.sum(F.col("n") * F.col(value)).alias("_total"))
+    sizes = freq.groupBy(*by).agg(F.sum("n").alias("_all"), F.sum(F.col("n") * F.col(value)).alias("_total"))
     if by:
         ranked = join_small(ranked, sizes, by)
     else:

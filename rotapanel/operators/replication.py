@@ -101,7 +101,9 @@ def half_sample_totals(units: DataFrame, size: int) -> DataFrame:
     replicates = 1
     while replicates <= count:
         replicates *= 2
+    # Units are summed per half before the replicates multiply the rows.
     halves = numbered_units(units).withColumn("half", F.col("k") % 2)
+    halves = halves.groupBy("h", "half", "n").agg(_sum_vectors("v", size).alias("v"))
     joined = join_small(halves, numbered, ["h"]).withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rotapanel.session import shared_dir
+from rotapanel.session import join_small, settle, shared_dir
 
 # The period and month codes of an annual survey file.
 QUARTERS = ["T1", "T2", "T3", "T4"]
@@ -46,10 +46,25 @@ def number_within(
 ) -> DataFrame:
     """Add ``number`` (1, 2, …) by ``order`` inside ``keys``, plus group minima.
 
-    ``order`` must be a unique integer. Rows are numbered in slices of
-    ``order`` and shifted by the sizes of the earlier slices, so a group that
-    holds a large share of all rows is spread over many tasks.
+    ``order`` must be a unique integer. A group of up to ``width`` rows is numbered by
+    one window. The rows of larger groups, whose short list is counted first, are
+    numbered in slices of ``order`` and shifted by the sizes of the earlier slices, so
+    a group that holds a large share of all rows is spread over many tasks.
     """
+    def by_window(rows: DataFrame) -> DataFrame:
+        group = Window.partitionBy(*keys)
+        return rows.withColumns(
+            {**{n: F.min(c).over(group) for n, c in carry.items()}, "number": F.row_number().over(group.orderBy(order)).cast("long")}
+        )
+
+    large = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > width).select(*keys))
+    if large.isEmpty():
+        return by_window(df)
+    rest = by_window(join_small(df, large, keys, "left_anti"))
+    return rest.unionByName(_number_in_slices(join_small(df, large, keys, "left_semi"), keys, order, carry, width))
+
+
+def _number_in_slices(df: DataFrame, keys: list[str], order: str, carry: dict[str, Column], width: int) -> DataFrame:
     sliced = df.withColumn("_slice", F.expr(f"`{order}` DIV {width}"))
     slice_keys = [*keys, "_slice"]
     sizes = sliced.groupBy(*slice_keys).agg(
