@@ -94,7 +94,7 @@ n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 links AS (SELECT DISTINCT x, y FROM (
   SELECT a.doc_id AS x, b.doc_id AS y, a.r AS ra, b.r AS rb, count(*) AS i FROM s a JOIN s b USING (g)
   WHERE a.r <> b.r AND a.doc_id <> b.doc_id GROUP BY ALL) JOIN n na ON ra = na.r JOIN n nb ON rb = nb.r
-  WHERE 100 * i >= {near_dup.PERCENT} * (na.n + nb.n - i)),
+  WHERE 100 * i >= 85 * (na.n + nb.n - i)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT a, y FROM reach JOIN links ON b = x),
 least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
 
@@ -106,7 +106,7 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(d.
 FROM d LEFT JOIN n USING (r) LEFT JOIN least_id l ON l.doc_id = d.doc_id""",
 )
 def op4(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dup.group_documents(table(spark, sf, "documents"))
+    return near_dup.group_documents(table(spark, sf, "documents"), percent=85)
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{u}', '{l}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

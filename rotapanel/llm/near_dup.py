@@ -13,8 +13,8 @@ No block emits more than a spanning forest of its links, so the number of pairs
 leaves a task, and no link between components is lost. Components come from alternating large-star and
 small-star.
 
-A pair at the threshold shares no bucket with probability (1 - 0.85**5)**25 < 1e-6;
-a signature five standard deviations below the threshold rules a pair out.
+A pair at the threshold of 80 % shares no bucket with probability (1 - 0.8**5)**30 < 1e-5, at
+85 % < 1e-7; a signature five standard deviations below the threshold rules a pair out.
 
 Cases: null, empty or blank texts have empty sets, are linked with nothing and kept; a text of
 fewer words than a shingle is one shingle; rows without doc_id are linked with nothing and kept, with
@@ -36,9 +36,9 @@ from rotapanel.llm.components import connected_components
 from rotapanel.llm.steps import written
 from rotapanel.session import join_small
 
-WORDS, ROWS, BANDS = 5, 5, 25
+WORDS, ROWS, BANDS = 5, 5, 30
 HASHES = ROWS * BANDS
-PERCENT = 85
+PERCENT = 80
 BLOCK = 256
 
 

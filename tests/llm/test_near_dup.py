@@ -31,7 +31,7 @@ def by_hand(rows, percent=85):
 
 def found(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted(tuple(r) for r in near_dup.group_documents(df).collect())
+    return sorted(tuple(r) for r in near_dup.group_documents(df, percent=85).collect())
 
 
 def variants(rng, groups, copies, length=60, most=5):
@@ -66,7 +66,7 @@ def test_threshold_is_met_exactly(spark):
 
 
 def test_odd_rows(odd, no_rows, spark):
-    got = sorted((tuple(r) for r in near_dup.group_documents(odd).collect()), key=str)
+    got = sorted((tuple(r) for r in near_dup.group_documents(odd, percent=85).collect()), key=str)
     known = {r[0]: r[1:] for r in got if r[0] is not None}
     assert known[1] == (7, 1, True) and known[2] == (7, 1, False) and sum(r[0] == 2 for r in got) == 2
     assert known[3] == (0, 3, True) and known[4] == (0, 4, True) and known[5] == (0, 5, True) and known[6] == (1, 6, True)

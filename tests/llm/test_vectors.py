@@ -6,7 +6,7 @@ from rotapanel.llm import vectors
 
 def by_hand(rows, least=0.98):
     good = [
-        (i, lab, np.array(v, float)) for i, v, lab in rows
+        (i, lab, np.array(v, float), at) for at, (i, v, lab) in enumerate(rows)
         if i is not None and lab is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)
     ]
     root, links = {i: i for i, _, _ in rows if i is not None}, {}
@@ -16,13 +16,13 @@ def by_hand(rows, least=0.98):
             x = root[x]
         return x
 
-    for a, (i, x, u) in enumerate(good):
-        for j, y, v in good[:a]:
+    for k, (i, x, u, a) in enumerate(good):
+        for j, y, v, b in good[:k]:
             if x == y and len(u) == len(v) and u @ v / np.sqrt(u @ u) / np.sqrt(v @ v) >= least:
-                links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
+                links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
                 p, q = find(i), find(j)
                 root[max(p, q)] = min(p, q)
-    return sorted((i, links.get(i, 0), find(i), find(i) == i) for i, _, _ in rows if i is not None)
+    return sorted((i, links.get(at, 0), find(i), find(i) == i) for at, (i, _, _) in enumerate(rows) if i is not None)
 
 
 def found(spark, rows):
@@ -67,7 +67,7 @@ def test_odd_rows(spark):
         (14, [0.0, 1.0], 0), (15, [3e38, 3e38], 0), (16, [1e-30, 1e-30], 0), (None, [1.0, 0.0], 0),
     ]
     got = found(spark, rows)
-    assert got == by_hand([r for r in rows if r[0] is not None])
+    assert got == by_hand(rows)
     df = spark.createDataFrame(rows[-1:], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in vectors.group_vectors(df).collect()] == [(None, 0, None, True)]
     assert vectors.group_vectors(df.where("label = 9")).count() == 0
