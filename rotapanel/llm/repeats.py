@@ -251,7 +251,8 @@ def _bucket_count(size: int | None) -> int:
 def repeated_parts(docs: DataFrame) -> DataFrame:
     """(doc, lo, hi): byte ranges of docs (doc, text) to remove; they may overlap."""
     runs = window_runs(docs)
-    again = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Stored by itself, so that Spark can split the join where an anchor is very common.
+    again = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     met = written(runs.join(again, "anchor"))
     # Any occurrence serves as example: equal segments have equal bytes.
     kinds = written(
