@@ -175,8 +175,9 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         rows.where("n > 0 AND doc IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc").alias("cid"), F.min_by("sig", "doc").alias("sig"))
     )
     bands = band_keys(classes)
-    # The centre: xor with the bucket's key picks another class in each bucket.
-    buckets = (
+    # The centre: xor with the bucket's key picks another class in each bucket. Stored by itself, so
+    # that Spark can split the join with the members where a bucket is large.
+    buckets = written(
         bands.groupBy("band", "bucket")
         .agg(F.count("*").alias("m"), F.min(F.col("cid").bitwiseXOR(F.col("bucket"))).alias("c"))
         .where("m > 1")
