@@ -26,7 +26,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotapanel.session import shared_dir, stored
+from rotapanel.llm.steps import written
+from rotapanel.session import shared_dir
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
@@ -81,7 +82,8 @@ def mark_revisits(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
     rows = pages.select(
         F.col(key).cast("long").alias("id"), F.col(url).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest")
     )
-    repeated = (
+    # Stored by itself, so that Spark can split the join where a payload is very common.
+    repeated = written(
         rows.where(F.length("payload") >= MIN_REVISIT)
         .groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
         .where("n > 1 AND first IS NOT NULL").drop("n")
@@ -121,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         )
 
     rows = mark_revisits(pages, key, url, text).select("id", "url", "payload", "digest", "first")
-    return stored(rows.mapInArrow(write, ARCHIVES))
+    return written(rows.mapInArrow(write, ARCHIVES))
 
 
 def members(stream, read: int = READ) -> Iterator[bytes]:
