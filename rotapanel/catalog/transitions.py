@@ -360,7 +360,7 @@ errores AS (
 
 
 @query("l19_model_a_with_error", sql(
-    "SELECT param, i, j, round(value, 3) AS value, round(se, 3) AS se FROM errores WHERE param <> 'muij'",
+    "SELECT param, i, j, round(value, 3) AS value, round(se, 3) AS se, true AS converged FROM errores WHERE param <> 'muij'",
     PANEL_FINAL, _model_a_sql(cells=LEFT_OUT), DEVIATIONS))
 def model_a_with_error(spark, sf):
     design = panel_plan.panel_design(stored(_final(spark, sf)))
