@@ -82,6 +82,34 @@ def linear_calibration(spark, sf):
     return rounded(out.select(*PERSON, "trimestre", "w_cal"), w_cal=4)
 
 
+# The same three equations, per quarter.
+MARGINS_EACH_SQL = """, tot AS (
+  SELECT sum(N_personas) FILTER (area = '1') AS t1, sum(N_personas) FILTER (area = '2') AS t2,
+         floor(sum(N_personas) * 52 / 100) AS t3 FROM poblacion),
+sumas AS (
+  SELECT trimestre, sum(fep) FILTER (area = '1') AS a, sum(fep) FILTER (area = '2') AS b, sum(fep) FILTER (sexo = 'Mujer') AS c,
+         sum(fep) FILTER (area = '1' AND sexo = 'Mujer') AS ac, sum(fep) FILTER (area = '2' AND sexo = 'Mujer') AS bc
+  FROM base GROUP BY 1),
+brecha AS (SELECT *, t1 - a AS g1, t2 - b AS g2, t3 - c AS g3, a * (b * c - bc * bc) - b * ac * ac AS det FROM sumas, tot),
+lam3 AS (
+  SELECT trimestre, (g1 * (b * c - bc * bc) - ac * (b * g3 - g2 * bc)) / det AS l1,
+         (a * (g2 * c - bc * g3) - ac * (ac * g2) + ac * bc * g1) / det AS l2,
+         (a * (b * g3 - bc * g2) - ac * b * g1) / det AS l3 FROM brecha)
+"""
+
+
+@query("i4_margins_each_quarter", sql(
+    """
+SELECT id_hogar, id_pers, trimestre,
+       round(fep * (1 + (CASE WHEN area = '1' THEN l1 ELSE l2 END) + (CASE WHEN sexo = 'Mujer' THEN l3 ELSE 0 END)), 4) AS w_cal
+FROM base JOIN lam3 USING (trimestre)""",
+    MARGINS_EACH_SQL,
+))
+def margins_each_quarter(spark, sf):
+    out = calibrate(base(spark, sf), "fep", margin_terms(), margin_totals(spark, sf), within=["trimestre"])
+    return rounded(out.select(*PERSON, "trimestre", "w_cal"), w_cal=4)
+
+
 @query("i3_poststratify_households", sql("""
 SELECT id_hogar, trimestre, round(dk_mes_cali, 6) AS dk_mes_cali, round(dk_mes_cali / dk_mes, 9) AS g
 FROM hogcal WHERE trimestre = 'T1'""", QUARTERLY_CAL))

@@ -1,7 +1,9 @@
 """Linear calibration of weights to control totals."""
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement as pairs_of
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -78,30 +80,49 @@ def solved(gram: np.ndarray, right: np.ndarray, labels: list[str]) -> np.ndarray
 
 
 def calibrate(
-    df: DataFrame, weight: str, terms: dict[str, Column], totals: dict[str, float], name: str = "w_cal"
+    df: DataFrame,
+    weight: str,
+    terms: dict[str, Column],
+    totals: dict[str, float],
+    name: str = "w_cal",
+    within: list[str] | None = None,
 ) -> DataFrame:
     """Linear calibration on any 0/1 or numeric terms.
 
     One pass sums d z z' and d z; the system has as many equations as terms
-    and is solved on the driver; the multipliers enter the plan as constants.
-    Use :func:`poststratify` when the terms are disjoint cells.
+    and is solved on the driver. ``within`` repeats the calibration per period against
+    the same totals: still one pass, one small system per period, and their
+    multipliers joined to the rows. Use :func:`poststratify` when the terms are disjoint cells.
     """
-    labels = list(terms)
+    labels, keys = list(terms), within or []
     z = [terms[t].cast("double") for t in labels]
     d = F.col(weight)
-    sums = df.agg(
+    sums = df.groupBy(*keys).agg(
         *[F.sum(d * z[j]).alias(f"t{j}") for j in range(len(z))],
         *[F.sum(d * z[j] * z[k]).alias(f"g{j}_{k}") for j, k in pairs_of(range(len(z)), 2)],
-    ).first()
-    gram = np.zeros((len(z), len(z)))
-    for j, k in pairs_of(range(len(z)), 2):
-        gram[j, k] = gram[k, j] = sums[f"g{j}_{k}"]
-    gap = np.array([totals[t] - sums[f"t{j}"] for j, t in enumerate(labels)])
-    multipliers = solved(gram, gap, labels)
+    ).collect()
+
+    def multipliers(row) -> list[float]:
+        gram = np.zeros((len(z), len(z)))
+        for j, k in pairs_of(range(len(z)), 2):
+            gram[j, k] = gram[k, j] = row[f"g{j}_{k}"] or 0.0
+        gap = np.array([totals[t] - (row[f"t{j}"] or 0.0) for j, t in enumerate(labels)])
+        return [float(x) for x in solved(gram, gap, labels)]
+
+    if not keys:
+        found = [F.lit(x) for x in multipliers(sums[0])]
+    else:
+        schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + ", _m array<double>"
+        rows = [(*[r[c] for c in keys], multipliers(r)) for r in sums]
+        # One row per period; a null period is a group of its own.
+        table = df.sparkSession.createDataFrame(rows, schema).select(*[F.col(c).alias(f"_{c}") for c in keys], "_m")
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+        df = df.join(F.broadcast(table), same, "left").drop(*[f"_{c}" for c in keys])
+        found = [F.col("_m")[j] for j in range(len(z))]
     g = F.lit(1.0)
     for j in range(len(z)):
-        g = g + z[j] * F.lit(float(multipliers[j]))
-    return df.withColumn(name, d * g)
+        g = g + z[j] * found[j]
+    return df.withColumn(name, d * g).drop("_m")
 
 
 def calibration_gaps(

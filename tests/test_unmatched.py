@@ -63,6 +63,15 @@ def test_redundant_and_contradicting_terms(spark):
         calibrate(df, "d", {**terms, "zzz": F.lit(0.0)}, {"area1": 60.0, "area2": 40.0, "sexoH": 50.0, "sexoM": 50.0, "zzz": 3.0})
 
 
+def test_calibration_per_period(spark):
+    df = spark.createDataFrame([(q, a, 1.0 + k) for q in ("T1", "T2", None) for k, a in enumerate("1122")], "q string, area string, d double")
+    terms = {f"area{v}": F.when(F.col("area") == v, 1.0).otherwise(0.0) for v in "12"}
+    out = calibrate(df, "d", terms, {"area1": 60.0, "area2": 40.0}, within=["q"])
+    sums = out.groupBy("q", "area").agg(F.sum("w_cal").alias("s")).collect()
+    assert out.columns == [*df.columns, "w_cal"] and len(sums) == 6
+    assert all(np.isclose(r.s, 60.0 if r.area == "1" else 40.0) for r in sums)
+
+
 def test_flow_table_has_every_state(spark):
     cells = spark.createDataFrame([(1, 1, 5), (2, None, 7), (None, 3, 2), (None, None, 1)], "state_1 int, state_2 int, n long")
     rows = {r.estado: tuple(r)[1:] for r in flow_table(cells, "n", [1, 2, 3]).collect()}
