@@ -142,14 +142,15 @@ def judge_urls(
         hosts.select("host")
         .join(fitting, "host", "left").join(trust, "host", "left").join(distrust, "host", "left")
         .fillna(0.0, ["trust", "distrust"])
+        .withColumnRenamed("rules", "_host_rules")
     )
-    best = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(0))
+    best = F.get(F.filter("_host_rules", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(0))
     by_host = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
     return (
         split.join(scores, "host", "left")
-        .withColumn("best", best)
-        .withColumn("rule", F.col("best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("best.rule_verdict"), by_host))
+        .withColumn("_best_rule", best)
+        .withColumn("rule", F.col("_best_rule.rule"))
+        .withColumn("verdict", F.coalesce(F.col("_best_rule.rule_verdict"), by_host))
         .fillna(0.0, ["trust", "distrust"])
         .select(*pages.columns, *ADDED)
     )

@@ -59,7 +59,7 @@ def test_scores_equal_a_dense_iteration(spark):
 
 def test_odd_rows(spark):
     rows = [page(1, "http://a.org/x"), page(1, "http://a.org/x"), (None, None, None, None), (2, "http://a.net", None, "r"), (3, "http://a.net", "", "r")]
-    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string, rule string").withColumn("host", F.lit("?")))
-    assert got.count() == 5 and got.where("host = '?'").isEmpty()
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string, rule string").withColumns({c: F.lit("?") for c in ("host", "rules", "best", "n")}))
+    assert got.count() == 5 and got.where("host = '?' OR rules <> '?' OR best <> '?' OR n <> '?'").isEmpty()
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge_urls(none).count() == 0
