@@ -1,15 +1,18 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by buckets of projection signs.
 
-Vectors are compared only within a label. Equal vectors form a class. In every pass
-the classes are ordered by label and by the concatenated signs of ``BITS`` random
-projections, and each is compared with the next ``NEAR`` in that order; pairs at
-the threshold are confirmed in double precision and united over all passes. The
-number of passes follows from the number of vectors, so that a pair at the threshold
-is missed by all of them with probability ``MISS`` at most.
+Vectors are compared only within a label. Equal vectors form a class. A pass cuts the classes
+of a label into buckets by the first signs of random projections, and compares all
+pairs of a bucket, in blocks whose pairs stay in their task; pairs at the threshold are
+confirmed in double precision and united over all passes. A pair at the threshold
+shares a bucket with a probability that depends on the number of signs alone, however the
+vectors lie; passes are repeated until all of them miss it with probability ``MISS`` at most.
 
-A window bounds what a pass compares, not what is counted: links never leave a
-component, so the links of each vector are counted over its whole component, in
-blocks whose pairs stay in their task.
+The number of signs is chosen for each label from the pairs that its buckets really
+hold. No sign, that is one pass over all pairs, is one of the choices: it is taken for small labels
+and for dense ones, whose signs part too little.
+
+Links never leave a component, so the links of each vector are counted over its whole
+component, in the same blocks.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows without
 label or id, are linked with nothing and kept, their component is their id; vectors of different
@@ -29,22 +32,28 @@ from pyspark.sql import functions as F
 
 from rotapanel.llm.components import connected_components
 from rotapanel.llm.steps import written
+from rotapanel.session import join_small, settle
 
 LEAST = 0.98
 BITS, NEAR, MISS = 62, 64, 1e-4
 BLOCK = 128
+PASS = 200_000_000  # pairs that take as long as the steps of a pass
 
 
-def passes(count: int, least: float = LEAST, near: int = NEAR, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold has shared a window, but for ``miss``.
+def repeats(bits: float, least: float = LEAST, miss: float = MISS) -> int:
+    """Passes after which a pair at the threshold has agreed in all of ``bits`` signs, but for ``miss``.
 
-    Two vectors agree in a sign with probability 1 - angle / pi; among ``count`` vectors about
-    log2(count / near) first signs must agree for a place in one window.
+    Two vectors agree in a sign with probability 1 - angle / pi.
     """
-    agree = (1 - math.acos(least) / math.pi) ** max(0.0, math.log2(max(count, 1) / near) + 1)
+    agree = (1 - math.acos(least) / math.pi) ** bits
     return max(1, math.ceil(math.log(miss) / math.log(max(1 - agree, 1e-12))))
 
 
+def passes(count: int, least: float = LEAST, near: int = NEAR, miss: float = MISS) -> int:
+    """The most passes that ``count`` vectors may take: about log2(count / near) signs leave ``near`` in a bucket."""
+    return repeats(max(0.0, math.log2(max(count, 1) / near) + 1), least, miss)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Unit vectors; all lists must have one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -53,14 +62,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of equal keys."""
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    at = np.flatnonzero(new)
-    return list(zip(at, np.append(at[1:], len(new))))
-
-
 def projection_keys(classes: DataFrame, number: int) -> DataFrame:
     """Adds ``place``: the signs of the pass's projections, most significant first."""
 
@@ -82,67 +83,72 @@ def projection_keys(classes: DataFrame, number: int) -> DataFrame:
     )
 
 
-def forest(links: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of links, those that connect something new."""
-    root: dict[int, int] = {}
+def bucket_signs(classes: DataFrame, least: float = LEAST, near: int = NEAR) -> DataFrame:
+    """(label, size, bits, passes): the cheapest signs of each label, by the pairs in the buckets of a first pass."""
+    sizes = settle(classes.groupBy("label", "size").agg(F.count("*").alias("m")).where("m > 1"))
+    whole = sizes.where(f"m * m <= {PASS}").select("label", "size", F.lit(0).alias("bits"), F.lit(1).alias("passes"))
+    large = sizes.where(f"m * m > {PASS}").withColumn("most", F.expr(f"least({BITS}, greatest(0, cast(floor(log2(m / {near}) + 1) as int)))"))
+    if large.isEmpty():
+        return whole
+    places = projection_keys(join_small(classes, large.select("label", "size"), ["label", "size"]), 0).select("label", "size", "place")
+    levels = join_small(places, large, ["label", "size"]).withColumn("bits", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    buckets = levels.groupBy("label", "size", "bits", F.expr(f"shiftright(place, {BITS} - bits)").alias("bucket")).agg(
+        F.count("*").cast("double").alias("c")
+    )
+    times = F.get(F.array(*[F.lit(repeats(k, least)) for k in range(BITS + 1)]), F.col("bits"))
+    costs = buckets.groupBy("label", "size", "bits").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("m"))
+    costs = costs.withColumn("passes", times).withColumn("cost", F.expr(f"passes * (pairs + {BITS} * m + {PASS})"))
+    best = costs.groupBy("label", "size").agg(F.min_by(F.struct("bits", "passes"), "cost").alias("best"))
+    return settle(whole.unionByName(best.select("label", "size", "best.bits", "best.passes")))
+
+
+def _blocks(members: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """Rows of every two blocks of a group as a group (g, first, same) of its own, so that all pairs of it meet once."""
+    # Blocks grow with the root of the group, so copies of a row stay few.
+    sizes = members.groupBy(*by).agg(F.count("*").alias("m")).where("m > 1")
+    blocks = f"cast(ceil(m / greatest({BLOCK}, 4 * sqrt(m))) as int)"
+    split = members.join(sizes, by).withColumn("blocks", F.expr(blocks))
+    split = split.withColumn("slot", F.expr("pmod(hash(cid), blocks)"))
+    return split.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.struct(*by, F.least("slot", "r").alias("a"), F.greatest("slot", "r").alias("b")).alias("g"),
+        (F.col("slot") <= F.col("r")).alias("first"), (F.col("slot") == F.col("r")).alias("same"), *columns,
+    )
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def _forest(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links marked in a matrix between nodes, those that connect something new."""
+    part = np.arange(max(rows.max(), columns.max()) + 1)
     out = []
-    for a, b in links:
-        x, y = find(a), find(b)
-        if x != y:
-            root[x] = y
-            out.append((a, b))
+    for i in np.flatnonzero(near.any(1)):
+        at = columns[near[i]]
+        parts, where = np.unique(part[at], return_index=True)
+        new = parts != part[rows[i]]
+        out += [(rows[i], k) for k in at[where[new]]]
+        part[np.isin(part, parts)] = part[rows[i]]
     return out
 
 
-def window_links(ordered: DataFrame, least: float = LEAST, near: int = NEAR) -> DataFrame:
-    """Confirmed links (u, v) of rows in the order of a pass, as a forest for each stretch."""
+def bucket_links(keyed: DataFrame, least: float = LEAST) -> DataFrame:
+    """Confirmed links (u, v) of all pairs in buckets (label, size, bucket, cid, vector), as a forest for each block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch.select(["label", "size", "cid", "vector"])])
-            fresh = 0
-            if before is not None:
-                fresh = before.num_rows
-                rows = pa.concat_tables([before, rows])
-            rows = rows.combine_chunks()
-            label, size, cid = (rows[c].to_numpy() for c in ("label", "size", "cid"))
-            found: list[tuple[int, int]] = []
-            for lo, hi in _runs(label, size):
-                x, ids = _matrix(rows["vector"].chunk(0).slice(lo, hi - lo)), cid[lo:hi].tolist()
-                for at in range(0, hi - lo, near):
-                    end = min(at + near, hi - lo)
-                    far = min(end + near, hi - lo)
-                    i, j = np.nonzero(x[at:end] @ x[at:far].T >= least)
-                    ok = (j > i) & (j - i <= near) & (lo + at + j >= fresh)
-                    found += forest((ids[at + a], ids[at + b]) for a, b in zip(i[ok].tolist(), j[ok].tolist()))
-            before = rows.slice(max(0, rows.num_rows - near))
-            found = forest(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"]
-            )
-
-    return ordered.mapInArrow(run, "u long, v long")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        first, same, cid = (table[c].to_numpy(zero_copy_only=False) for c in ("first", "same", "cid"))
+        x = _matrix(table["vector"].chunk(0))
+        if same[0]:
+            a = b = np.arange(len(cid))
+            near = np.triu(x @ x.T >= least, 1)
+        else:
+            a, b = np.flatnonzero(first), np.flatnonzero(~first)
+            near = x[a] @ x[b].T >= least
+        found = _forest(near, a, b) if near.any() else []
+        return pa.table({"u": pa.array([cid[i] for i, _ in found], pa.int64()), "v": pa.array([cid[j] for _, j in found], pa.int64())})
+
+    return _blocks(keyed, ["label", "size", "bucket"], "cid", "vector").groupBy("g").applyInArrow(run, "u long, v long")
 
 
 def count_links(members: DataFrame, least: float = LEAST) -> DataFrame:
     """(cid, links): over all of its component (comp, cid, n, vector), the rows linked with a class, its own left out."""
-    # Blocks grow with the root of the component, so copies of a row stay few.
-    sizes = members.groupBy("comp").agg(F.count("*").alias("m"))
-    blocks = f"cast(ceil(m / greatest({BLOCK}, 4 * sqrt(m))) as int)"
-    split = members.join(sizes, "comp").withColumn("blocks", F.expr(blocks))
-    split = split.withColumn("slot", F.expr("pmod(hash(cid), blocks)"))
-    rows = split.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.struct("comp", F.least("slot", "r").alias("a"), F.greatest("slot", "r").alias("b")).alias("g"),
-        (F.col("slot") <= F.col("r")).alias("first"), (F.col("slot") == F.col("r")).alias("same"), "cid", "n", "vector",
-    )
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -159,6 +165,7 @@ def count_links(members: DataFrame, least: float = LEAST) -> DataFrame:
             links[a], links[b] = near @ n[b], near.T @ n[a]
         return pa.table({"cid": cid, "links": links})
 
+    rows = _blocks(members, ["comp"], "cid", "n", "vector")
     return rows.groupBy("g").applyInArrow(run, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
@@ -177,12 +184,16 @@ def group_vectors(
         rows.where("good").groupBy("label", "vector").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
         .withColumn("size", F.size("vector"))
     )
-    largest = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
+    signs = bucket_signs(classes, least, near)
     found = []
-    for number in range(passes(largest, least, near) if largest > 1 else 0):
-        keyed = projection_keys(classes, number)
-        ordered = keyed.repartitionByRange("label", "size", "place", "cid").sortWithinPartitions("label", "size", "place", "cid")
-        found.append(written(window_links(ordered, least, near)))
+    for number in range(signs.agg(F.max("passes")).first()[0] or 0):
+        own = join_small(classes, signs.where(f"passes > {number}"), ["label", "size"])
+        if number == 0:
+            found.append(written(bucket_links(own.where("bits = 0").withColumn("bucket", F.lit(0).cast("long")), least)))
+        own = own.where("bits > 0")
+        keyed = join_small(projection_keys(own, number), signs, ["label", "size"])
+        if not signs.where(f"bits > 0 AND passes > {number}").isEmpty():
+            found.append(written(bucket_links(keyed.withColumn("bucket", F.expr(f"shiftright(place, {BITS} - bits)")), least)))
     none = table.sparkSession.createDataFrame([], "u long, v long")
     groups = connected_components(reduce(DataFrame.unionByName, found, none)).withColumnRenamed("node", "cid")
     groups = written(groups.withColumnRenamed("component", "comp"))

@@ -71,3 +71,39 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows[-1:], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in vectors.group_vectors(df).collect()] == [(None, 0, None, True)]
     assert vectors.group_vectors(df.where("label = 9")).count() == 0
+
+
+def planted(seed, count, pairs, mutual, dims=64):
+    """Vectors around one direction, with a given mutual cosine, of which the last ``pairs`` have a partner at cosine 0.981."""
+    rng = np.random.default_rng(seed)
+
+    def units(n, *others):
+        x = rng.normal(size=(n, dims))
+        for y in others:
+            x -= (x * y).sum(1, keepdims=True) / (y * y).sum(1, keepdims=True) * y
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    centre = units(1)
+    x = np.sqrt(mutual) * centre + np.sqrt(1 - mutual) * units(count, centre)
+    x = np.vstack([x, 0.981 * x[-pairs:] + np.sqrt(1 - 0.981**2) * units(pairs, x[-pairs:])])
+    return [(k, v, 0) for k, v in enumerate(x.astype(np.float32).tolist())]
+
+
+def lost(spark, rows, count, pairs):
+    """Planted pairs in different components."""
+    component = {r[0]: r[2] for r in found(spark, rows)}
+    return sum(component[count - pairs + k] != component[count + k] for k in range(pairs))
+
+
+def test_no_pair_is_lost_in_a_dense_label(spark):
+    assert lost(spark, planted(3, 6000, 300, 0.93), 6000, 300) == 0
+
+
+@pytest.mark.parametrize("mutual, bits", [(0.0, True), (0.93, False)])
+def test_signs_follow_from_the_buckets(spark, monkeypatch, mutual, bits):
+    monkeypatch.setattr(vectors, "PASS", 1000)
+    rows = planted(4, 12_000, 100, mutual)
+    df = spark.createDataFrame(rows, "cid long, vector array<float>, label int").selectExpr("*", "size(vector) AS size")
+    (plan,) = vectors.bucket_signs(df).collect()
+    assert (plan.bits > 0) == bits and plan.passes == vectors.repeats(plan.bits)
+    assert lost(spark, rows, 12_000, 100) == 0
