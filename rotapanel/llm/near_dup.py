@@ -18,8 +18,9 @@ A pair at the threshold of 80 % shares no bucket with probability (1 - 0.8**5)**
 
 Cases: null, empty or blank texts have empty sets, are linked with nothing and kept; a text of
 fewer words than a shingle is one shingle; rows without doc_id are linked with nothing and kept, with
-a null component; rows that repeat a doc_id are one node, and each comes back; an empty
-table gives an empty result; extra columns are ignored.
+a null component; rows that repeat a doc_id are one node of the components that are returned, and each
+comes back, but for removal each of their texts stands for itself; an empty table gives an empty
+result; extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from rotapanel.llm import hashing
 from rotapanel.llm.components import connected_components
 from rotapanel.llm.steps import written
-from rotapanel.session import join_small
+from rotapanel.session import join_small, settle
 
 WORDS, ROWS, BANDS = 5, 5, 30
 HASHES = ROWS * BANDS
@@ -43,7 +44,7 @@ BLOCK = 256
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """(doc, n, hi, lo, sig): set size, 128-bit hash of the set, minima of its shingles."""
+    """(doc, th, n, hi, lo, sig): hash of the text, set size, 128-bit hash of the set, minima of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -64,12 +65,12 @@ def signatures(docs: DataFrame, key: str, text: str, words: int = WORDS) -> Data
                     for k, row in zip(some, least):
                         sig[k] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), pa.array(sig, pa.binary())],
-                    ["doc", "n", "hi", "lo", "sig"],
+                    [batch.column(0), batch.column(2), pa.array(n), pa.array(hi), pa.array(lo), pa.array(sig, pa.binary())],
+                    ["doc", "th", "n", "hi", "lo", "sig"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc long, n long, hi long, lo long, sig binary")
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    return rows.mapInArrow(run, "doc long, th long, n long, hi long, lo long, sig binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -168,11 +169,15 @@ def _blocks(n: str) -> str:
     return f"cast(ceil(({n}) / {BLOCK}) as int)"
 
 
-def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id, kept) per row; one document of each component is kept."""
+def class_links(docs: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, th, n, cid) per row, classes (cid, doc, th) with one of their texts, and links (u, v) between classes."""
     rows = written(signatures(docs, key, text))
+    # Texts of one id can be in several classes, so a class has a number of its own.
     classes = written(
-        rows.where("n > 0 AND doc IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc").alias("cid"), F.min_by("sig", "doc").alias("sig"))
+        rows.where("n > 0 AND doc IS NOT NULL")
+        .groupBy("hi", "lo")
+        .agg(F.min(F.struct("doc", "th")).alias("one"), F.min_by("sig", "doc").alias("sig"))
+        .select("hi", "lo", "one.doc", "one.th", "sig", F.monotonically_increasing_id().alias("cid"))
     )
     bands = band_keys(classes)
     # The centre: xor with the bucket's key picks another class in each bucket. Stored by itself, so
@@ -185,8 +190,13 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
     members = written(bands.join(buckets, ["band", "bucket"]))
     ids = members.select("cid").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("cid"), F.col(text).alias("text"))
-    candidates = written(texts.join(ids, "cid").join(classes.select("cid", "sig"), "cid"))
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    own = texts.join(classes.select("doc", "th", "cid", "sig").join(ids, "cid"), ["doc", "th"]).select("cid", "sig", "text")
+    repeated = settle(rows.groupBy("doc", "th").count().where("count > 1").join(classes, ["doc", "th"]).select("cid"))
+    if not repeated.isEmpty():
+        once = join_small(own, repeated, ["cid"], "left_semi").dropDuplicates(["cid"])
+        own = join_small(own, repeated, ["cid"], "left_anti").unionByName(once)
+    candidates = written(own)
 
     # First round: a star around each centre, in chunks.
     stars = members.where("cid <> centre").select("centre", "cid").distinct()
@@ -233,10 +243,28 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         )
     )
     more = written(confirm(blocks, candidates, percent))
-    groups = connected_components(links.unionByName(more)).select(F.col("node").alias("cid"), F.col("component"))
-    named = rows.select("doc", "n", "hi", "lo").join(classes.select("hi", "lo", "cid"), ["hi", "lo"], "left")
-    named = named.withColumn("cid", F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.col("cid")))
-    out = named.join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid", "doc"))
+    named = rows.select("doc", "th", "n", "hi", "lo").join(classes.select("hi", "lo", "cid"), ["hi", "lo"], "left")
+    cid = F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.col("cid")).alias("cid")
+    return written(named.select("doc", "th", "n", cid)), classes.select("cid", "doc", "th"), links.unionByName(more)
+
+
+def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id, kept) per row; one document of each component is kept."""
+    named, classes, links = class_links(docs, key, text, percent)
+    # The classes of one id are one node.
+    spread = named.where("cid IS NOT NULL").groupBy("doc").agg(F.min("cid").alias("u"), F.max("cid").alias("last"))
+    spread = settle(spread.where("u < last").select("doc", "u"))
+    same = named.join(spread, "doc").where("cid <> u").select("u", F.col("cid").alias("v")).distinct()
+    groups = connected_components(links.unionByName(same)).withColumnRenamed("node", "cid")
+    groups = settle(groups.withColumnRenamed("component", "root"))
+    least = groups.join(classes, "cid").groupBy("root").agg(F.min("doc").alias("component"))
+    parts = written(groups.join(least, "root").select("cid", "component"))
+    out = named.join(parts, "cid", "left").join(classes.select("cid", F.col("doc").alias("first")), "cid", "left")
+    out = written(out.select("doc", "n", F.coalesce("component", "first").alias("component")))
+    # Empty texts have no class and follow the other texts of their id.
+    empty = out.where("n = 0 AND doc IS NOT NULL").select("doc").distinct()
+    moved = out.where("component <> doc").join(empty, "doc").select("doc", F.col("component").alias("other")).distinct()
+    out = join_small(out, moved, ["doc"], "left").withColumn("component", F.coalesce("component", "other", "doc"))
     return out.select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
         F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"),
@@ -244,13 +272,20 @@ def group_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def remove_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with all columns; of rows that repeat an id, one stays."""
-    groups = written(group_documents(docs, key, text, percent))
-    id_ = F.col(key).cast("long").alias("_id")
-    gone = groups.where("NOT kept").select(F.col(key).alias("_id")).distinct()
-    again = groups.where(F.col(key).isNotNull() & F.col("kept")).groupBy(F.col(key).alias("_id")).count().where("count > 1").select("_id")
-    left = join_small(docs.withColumn("_id", id_), gone, ["_id"], "left_anti")
+    """One document of each group, with all columns; of rows that repeat an id and its text, one stays."""
+    named, classes, links = class_links(docs, key, text, percent)
+    groups = connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("root"))
+    groups = written(classes.join(groups, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    stays = groups.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("one"))
+    stays = groups.join(stays, "root").select("cid", "one")
+    judged = named.where("doc IS NOT NULL").join(stays, "cid", "left")
+    judged = written(judged.select("doc", "th", F.coalesce(F.struct("doc", "th") == F.col("one"), F.lit(True)).alias("kept")))
+    row = [F.col("doc").alias("_id"), F.col("th").alias("_th")]
+    gone = judged.where("NOT kept").select(*row).distinct()
+    again = settle(judged.where("kept").groupBy(*row).count().where("count > 1").select("_id", "_th"))
+    marked = docs.withColumns({"_id": F.col(key).cast("long"), "_th": F.xxhash64(text)})
+    left = join_small(marked, gone, ["_id", "_th"], "left_anti")
     if again.isEmpty():
-        return left.drop("_id")
-    repeated = join_small(left, again, ["_id"], "left_semi").dropDuplicates(["_id"])
-    return join_small(left, again, ["_id"], "left_anti").unionByName(repeated).drop("_id")
+        return left.drop("_id", "_th")
+    repeated = join_small(left, again, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
+    return join_small(left, again, ["_id", "_th"], "left_anti").unionByName(repeated).drop("_id", "_th")

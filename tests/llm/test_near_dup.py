@@ -107,3 +107,27 @@ def test_words_over_chunks(monkeypatch):
     assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
     words, off = hashing.word_hashes(pa.array(["aa BB", "bb aA"]))
     assert words[:2].tolist() == words[2:][::-1].tolist() and off.tolist() == [0, 2, 4]
+
+
+def test_texts_of_one_id_stand_for_themselves(spark):
+    rng = np.random.default_rng(6)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 40)) for _ in range(6)]
+    a, b, c, d, e, f = own
+    near = a.rsplit(" ", 1)[0] + " z"  # 35 of 37 shingles in common with a
+    rows = [(1, a), (2, b), (5, near), (5, c), (5, d), (5, ""), (7, e), (7, e), (7, b), (7, e.upper()), (8, f), (5, a), (None, a)]
+    # Rows of an id are one node: 1 with 5, and 2 with 7.
+    want = [(1, 1), (2, 2), (5, 1), (5, 1), (5, 1), (5, 1), (5, 1), (7, 2), (7, 2), (7, 2), (7, 2), (8, 8)]
+    got = [r for r in found_with_null(spark, rows) if r[0] is not None]
+    assert sorted((r[0], r[2]) for r in got) == want and all(r[3] == (r[0] == r[2]) for r in got)
+    left = near_dup.remove_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = [(r.doc_id, r.text) for r in left.collect()]
+    # one row of every text that isn't near another, whatever else its id holds; e and its capitals are one set
+    kept_e = [t for t in texts if t[1].lower() == e]
+    assert len(kept_e) == 1 and kept_e[0][0] == 7
+    assert sorted((t for t in texts if t not in kept_e and t[0]), key=str) == sorted([(1, a), (2, b), (5, c), (5, d), (5, ""), (8, f)], key=str)
+    assert [t for t in texts if t[0] is None] == [(None, a)]
+
+
+def found_with_null(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return [tuple(r) for r in near_dup.group_documents(df, percent=85).collect()]
