@@ -5,7 +5,9 @@ normalised: 1 keeps the shares, 0 makes sources equal. The exponent is found by
 repeated sectioning, either the largest whose mix has at least a target entropy,
 or the smallest whose most repeated source stays within a limit of epochs.
 Each source then gets ``weight * budget`` tokens: whole epochs, and for the rest
-blocks of documents in the order of a hashed permutation, as far as the budget goes.
+blocks of documents in the order of a hashed permutation, as far as the budget goes. Of the
+block where it ends, documents are drawn in the order of their hash, up to the one whose end is
+nearest to the budget; ``whole_blocks`` leaves that block out, so a source may miss a block's tokens.
 
 Only aggregates per source, and 65 numbers per sectioning step, are looked at by
 the driver. Cumulated sums go by hash range first, then within the one range
@@ -23,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rotapanel.llm.sharding import text_hash
+from rotapanel.llm.steps import written
 from rotapanel.session import join_small, settle
 
 MAX_REPEATS = 1.25
 BLOCK_TOKENS = 20_000
 SECTIONS, STEPS = 64, 5
 RANGE_DIGITS = 2  # hex digits of the block key that give its range
-_OWN = ["_src", "_tokens", "_full", "_rest", "_blocks", "_range", "_drawn"]
+_OWN = ["_src", "_tokens", "_full", "_rest", "_blocks", "_range", "_drawn", "_left", "_doc", "_n", "_take", "_copies"]
 
 
 def word_count(text: Column) -> Column:
@@ -81,6 +84,39 @@ def exponent(
     return _section(sources, entropy, lambda m: m is not None and m >= min_entropy, False)
 
 
+def _part_of_blocks(inside: DataFrame, columns: list[str], tokens: Column, seed: str) -> DataFrame:
+    """Of rows in one block a source, those in hash order that come nearest to ``_left`` tokens; equal rows are counted."""
+    doc = F.md5(F.concat_ws("|", F.lit(seed), F.to_json(F.struct(*columns))))
+    inside = written(inside.withColumn("_doc", doc).withColumn("_n", tokens).select(*columns, "_src", "_full", "block", "_left", "_doc", "_n"))
+    docs = settle(
+        inside.groupBy("_src", "_doc").agg(F.first("_left").alias("_left"), F.first("_n").alias("n"), F.count("*").alias("_copies"))
+        .withColumn("_range", F.substring("_doc", 1, RANGE_DIGITS))
+    )
+    # As for blocks: by hash range first, then within the range where it ends.
+    before = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        docs.groupBy("_src", "_range")
+        .agg(F.sum(F.expr("n * _copies")).alias("size"))
+        .withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    )
+    parts = docs.join(ranges, ["_src", "_range"])
+    within = Window.partitionBy("_src", "_range").orderBy("_doc")
+    ends = parts.where("before + size > _left and before <= _left").withColumn("at", F.col("before") + F.sum(F.expr("n * _copies")).over(within) - F.expr("n * _copies"))
+    # A copy that begins at b is drawn if 2 b + n <= 2 left.
+    room = F.expr("2 * _left - n - 2 * at")
+    ends = ends.withColumn("_take", F.when(room < 0, 0).when(F.col("n") == 0, F.col("_copies")).otherwise(F.least("_copies", F.floor(room / (2 * F.col("n"))) + 1)))
+    takes = (
+        parts.where("before + size <= _left").select("_src", "_doc", "_copies", F.col("_copies").alias("_take"))
+        .unionByName(ends.where("_take > 0").select("_src", "_doc", "_copies", F.col("_take").cast("long").alias("_take")))
+    )
+    takes = settle(takes)
+    every = join_small(inside, takes.where("_take = _copies").select("_src", "_doc"), ["_src", "_doc"], "left_semi")
+    some = join_small(inside, takes.where("_take < _copies"), ["_src", "_doc"]).dropDuplicates(["_src", "_doc"])
+    some = some.withColumn("_take", F.explode(F.expr("sequence(1L, _take)")))
+    rows = [*columns, "_src", F.col("_full").alias("epoch"), "block"]
+    return every.select(*rows).unionByName(some.select(*rows))
+
+
 def mix_sources(
     df: DataFrame,
     source: str = "source",
@@ -91,6 +127,7 @@ def mix_sources(
     budget: int | None = None,
     block_tokens: int = BLOCK_TOKENS,
     seed: str = "mix",
+    whole_blocks: bool = False,
 ) -> DataFrame:
     """One row per drawn document and epoch, with ``epoch``, ``block`` and ``block_key``.
 
@@ -133,16 +170,18 @@ def mix_sources(
         .select("_src", "_range", "before", (F.col("before") + F.col("size") <= F.col("_rest")).alias("whole"))
     )
     within = Window.partitionBy("_src", "_range").orderBy("k", "block")
-    edge = F.col("before") + F.sum("n").over(within) <= F.col("_rest")
     parts = blocks.join(ranges, ["_src", "_range"])
+    ends = settle(parts.where("not whole and before <= _rest").withColumn("upto", F.col("before") + F.sum("n").over(within)))
     drawn = (
-        parts.where("whole").select("_src", "block")
-        .unionByName(parts.where("not whole and before <= _rest").withColumn("in", edge).where("in").select("_src", "block"))
-        .withColumn("_drawn", F.lit(1))
+        parts.where("whole").select("_src", "block").unionByName(ends.where("upto <= _rest").select("_src", "block")).withColumn("_drawn", F.lit(1))
     )
     out = join_small(placed, drawn, ["_src", "block"], "left")
     epochs = F.col("_full") + F.coalesce("_drawn", F.lit(0))
     kept = out.where(epochs > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    kept = kept.select(*columns, "_src", "epoch", "block")
+    if not whole_blocks:
+        cut = ends.where("upto > _rest and upto - n < _rest").select("_src", "block", F.expr("_rest - (upto - n)").alias("_left"))
+        kept = kept.unionByName(_part_of_blocks(join_small(placed, cut, ["_src", "block"]), columns, tokens, seed))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("_src"), F.col("epoch").cast("string"), F.col("block").cast("string")))
     return kept.select(*columns, "epoch", "block", order.alias("block_key"))
 

@@ -61,3 +61,39 @@ def test_odd_rows(odd, no_rows):
     assert got.count() > 0 and got.where("epoch IS NULL OR epoch < 0").isEmpty()
     assert mixing.mix_sources(no_rows).count() == 0
     assert mixing.mix_sources(odd.where("text = ''")).count() == 0
+
+
+def quotas(rows, max_repeats):
+    """(quota, tokens, largest document) of each source, of rows (source, words)."""
+    tokens, most = {}, {}
+    for s, n in rows:
+        tokens[s], most[s] = tokens.get(s, 0) + n, max(most.get(s, 0), n)
+    total = sum(tokens.values())
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        a = (lo + hi) / 2
+        w = {s: (n / total) ** a for s, n in tokens.items()}
+        if max(w[s] / sum(w.values()) * total / n for s, n in tokens.items()) <= max_repeats:
+            hi = a
+        else:
+            lo = a
+    w = {s: (n / total) ** hi for s, n in tokens.items()}
+    return {s: (w[s] / sum(w.values()) * total, n, most[s]) for s, n in tokens.items()}
+
+
+def test_sources_meet_their_weights(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    count = mixing.word_count(F.col("text")).alias("n")
+    want = quotas([tuple(r) for r in docs.select("source", count).collect()], mixing.MAX_REPEATS)
+    got = {r.source: r.n for r in mixing.mix_sources(docs).select("source", count).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    for s, (quota, _, most) in want.items():
+        assert abs(got.get(s, 0) - quota) <= most / 2 + 1, s
+
+
+def test_weights_are_met_with_one_id_and_equal_rows(spark):
+    rows = [(1, f"a{k % 40} " + "w " * 9, "big") for k in range(2000)] + [(k, "v " * 10, "small") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, max_repeats=2.0)
+    n = {r.source: 10 * r["count"] for r in got.groupBy("source").count().collect()}
+    want = quotas([(s, 10) for _, _, s in rows], 2.0)
+    assert all(abs(n[s] - want[s][0]) <= 6 for s in want)
