@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotapanel.llm import decontaminate, mixing, near_dup, quality, repeats, sharding, toxicity, url_filter, vectors, warc
+from rotapanel.llm import decontaminate, fill_middle, mixing, near_dup, quality, repeats, sharding, toxicity, url_filter, vectors, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -195,3 +195,30 @@ FROM embeddings LEFT JOIN least_id ON a = vec_id LEFT JOIN counts ON x = vec_id"
 )
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.group_vectors(table(spark, sf, "embeddings"))
+
+
+def _group_sql(k: int) -> str:
+    return f"('0x' || h[{8 * k + 1}:{8 * k + 8}])::BIGINT"
+
+
+@query(
+    "op11_fill_in_middle",
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  regexp_extract_all(coalesce(text, ''), '[ \t-\r]*[^ \t-\r]+|[ \t-\r]+') AS w FROM documents),
+c AS (SELECT doc_id, t, w, len(w)::BIGINT AS n, {_group_sql(0)} % (len(w) + 1) AS x, {_group_sql(1)} % (len(w) + 1) AS y,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR {_group_sql(2)} % 100 >= 50 THEN 'plain'
+       WHEN {_group_sql(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, n, form, t, array_to_string(w[1:least(x, y)], '') AS a, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS b,
+  array_to_string(w[greatest(x, y) + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || b ELSE '<S>' || s || '<P>' || a || '<M>' || b END)
+    AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""",
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"), F.sha2(F.encode(back, "UTF-8"), 256).alias("restored_sha256"),
+    )
