@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -67,6 +68,28 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int, dealt: bool = False) -> tuple[str, DataFrame]:
+    """As :func:`stored`, one sorted file per bucket of ``keys``: such tables join on them without an exchange.
+
+    Returns the table's name too, for :func:`drop_table`. ``dealt`` says that the rows
+    already come from tables with the same buckets, and need no shuffle to be written.
+    """
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    database = "rotapanel_" + re.sub(r"\W", "_", app)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_dir(spark)}/rotapanel/{app}/tables'")
+    name = f"{database}.t{uuid.uuid4().hex}"
+    rows = df if dealt else df.repartition(buckets, *keys)
+    rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return name, spark.table(name)
+
+
+def drop_table(spark: SparkSession, name: str | None) -> None:
+    """Removes a table of :func:`bucketed` that later steps don't read any more."""
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,
