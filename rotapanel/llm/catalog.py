@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotapanel.llm import decontaminate, fill_middle, mixing, near_dup, quality, repeats, sharding, toxicity, url_filter, vectors, warc
+from rotapanel.llm import centroids, decontaminate, fill_middle, mixing, near_dup, quality, repeats, sharding, toxicity, url_filter, vectors, warc, word_repeats
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -222,3 +222,51 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"), F.sha2(F.encode(back, "UTF-8"), 256).alias("restored_sha256"),
     )
+
+
+def _rounds_sql(rounds: int) -> str:
+    """WITH entries: centroids c and choices a of each round; a distance and a number are one key."""
+    out = ""
+    for t in range(rounds + 1):
+        out += f""",
+a{t} AS MATERIALIZED (SELECT r, min(d * 8 + j) AS m FROM (
+  SELECT r, j, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{t} c USING (i) GROUP BY r, j) GROUP BY r)"""
+        if t < rounds:
+            out += f""",
+c{t + 1} AS MATERIALIZED (SELECT j, i, coalesce(m, c.v) AS v FROM c{t} c LEFT JOIN (
+  SELECT j, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS m FROM (
+    SELECT m % 8 AS j, i, sum(v)::BIGINT AS s, count(*) AS n FROM a{t} JOIN x USING (r) GROUP BY 1, 2)) USING (j, i))"""
+    return out
+
+
+@query(
+    "op12_cluster_vectors",
+    f"""WITH k AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS v FROM k),
+first AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v FROM k ORDER BY j LIMIT 8),
+c0 AS MATERIALIZED (SELECT j, unnest(range(1, 65)) AS i, unnest(v) AS v FROM first)
+{_rounds_sql(10)},
+digest AS (SELECT j, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS s FROM c10 GROUP BY j)
+SELECT vec_id, (m % 8)::INT AS cluster, m // 8 AS distance, (sum(m // 8) OVER (PARTITION BY m % 8))::BIGINT AS cluster_inertia,
+       (sum(m // 8) OVER ())::BIGINT AS inertia, s AS centroid_sha256
+FROM k JOIN a10 USING (r) JOIN digest ON j = m % 8""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster_table(table(spark, sf, "embeddings"))
+
+
+@query(
+    "op13_repeated_words",
+    """WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, k, md5(array_to_string(w[k:k + 34], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - 33)) AS k FROM d WHERE len(w) >= 35)),
+again AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS place FROM g JOIN again USING (g)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY place) AS t, count(*) AS n
+         FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS place FROM d) ANTI JOIN gone USING (r, place) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return word_repeats.remove_repeated_words(table(spark, sf, "documents"))

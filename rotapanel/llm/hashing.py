@@ -58,7 +58,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def _cuts(raw: np.ndarray, offsets: np.ndarray) -> list[int]:
+def cuts(raw: np.ndarray, offsets: np.ndarray) -> list[int]:
     """Positions where the bytes may be cut: starts of texts, or after white space in long ones."""
     out, end = [0], len(raw)
     while out[-1] < end:
@@ -101,8 +101,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_starts(column: pa.Array, gap: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Chunks of a batch: first byte's place, lower-cased bytes, and where words start in them."""
     raw, offsets = text_bytes(column)
-    cuts = _cuts(raw, offsets)
-    for lo, hi in zip(cuts, cuts[1:]):
+    edges = cuts(raw, offsets)
+    for lo, hi in zip(edges, edges[1:]):
         part = LOWER[raw[lo:hi]]
         space = gap[part]
         start = ~space

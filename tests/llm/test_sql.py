@@ -17,4 +17,4 @@ def test_query_equals_sql(spark, sf, con, name):
 
 def test_each_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES)
-    assert numbers == list(range(1, 12))
+    assert numbers == list(range(1, 14))
