@@ -1,133 +1,122 @@
 """A listed set of statistics with their full covariance matrix.
 
-The statistics are columns of one row, so any function of them is an
-expression over that row and no table is joined with itself. The number of
-statistics is the number the caller lists (months times states, say); it
-does not grow with the data. Expressions are SQL text, since a matrix of
-them is built at once.
+One row holds the estimates as an array and the covariances as a packed triangle (see ``moments``), so hundreds
+of statistics cost no more expressions than two. Linear functions and ratios map the row to another one.
 """
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import replace
-from itertools import combinations_with_replacement as pairs_of
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, GroupedData
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rotapanel.operators.calibration import solved
-from rotapanel.operators.design import MarginCalibration, StratumCalibration, SurveyDesign
-from rotapanel.session import settle
+from rotapanel.operators.design import MarginCalibration, SurveyDesign
+from rotapanel.operators.moments import domain_covariances, packed, packed_place, unpacked
 
+# Executors may not have this package installed: send its functions along with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+ROUNDING = 1e-12
 
 
-def _rows(row: DataFrame, structs: list[str]) -> DataFrame:
-    """One output row per struct expression over a one-row table."""
-    return row.select(F.expr(f"explode(array({', '.join(structs)}))").alias("e")).select("e.*")
-
-
-def _aggregated(grouped: GroupedData, expressions: list[str]) -> DataFrame:
-    """Many aggregates parsed as one expression."""
-    row = grouped.agg(F.expr(f"struct({', '.join(expressions)})").alias("_row"))
-    return row.select(*[c for c in row.columns if c != "_row"], "_row.*")
+def propagated(jacobian: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Covariances of linear functions; a variance that is zero but for rounding is zero."""
+    out = jacobian @ cov @ jacobian.T
+    size = np.einsum("ij,jk,ik->i", np.abs(jacobian), np.abs(cov), np.abs(jacobian))
+    spread = np.diag(out).copy()
+    spread[(spread < 0) & (spread > -ROUNDING * size)] = 0.0
+    np.fill_diagonal(out, spread)
+    return out
 
 
 class StatSet:
-    """Estimates and covariances as SQL expressions over a one-row table."""
-
-    def __init__(self, row: DataFrame, est: dict[str, str], cov: dict[tuple[str, str], str]):
-        self.row, self._est, self._cov = row, est, cov
-
-    @property
-    def names(self) -> list[str]:
-        return list(self._est)
+    """Estimates and covariances: ``total`` and ``cov`` of each row, in the order of ``names``."""
 
-    def _cov_sql(self, a: str, b: str) -> str:
-        return self._cov[(a, b)] if (a, b) in self._cov else self._cov[(b, a)]
+    def __init__(self, row: DataFrame, names: list[str]):
+        self.row, self.names = row, names
+        self._at = {n: k for k, n in enumerate(names)}
 
     def est(self, name: str) -> Column:
-        return F.expr(self._est[name])
+        return F.col("total")[self._at[name]]
 
     def cov(self, a: str, b: str) -> Column:
-        return F.expr(self._cov_sql(a, b))
+        return F.col("cov")[packed_place(self._at[a], self._at[b], len(self.names))]
 
     def estimates(self) -> DataFrame:
         """(stat, estimate, se) rows."""
-        return _rows(
-            self.row,
-            [
-                f"named_struct('stat', {_quoted(n)}, 'estimate', {e}, "
-                f"'se', sqrt(greatest({self._cov_sql(n, n)}, 0D)))"
-                for n, e in self._est.items()
-            ],
-        )
+        k, keys = len(self.names), [c for c in self.row.columns if c not in ("total", "cov")]
+        rows = self.row.select(*keys, "cov", F.posexplode("total").alias("_at", "estimate"))
+        at = F.col("_at")
+        variance = F.get(F.col("cov"), (at * k - (at * (at - 1) / 2)).cast("int"))
+        return rows.select(*keys, self._name(at).alias("stat"), "estimate", F.sqrt(variance).alias("se"))
 
     def vcov(self, names: list[str] | None = None) -> DataFrame:
         """(stat_a, stat_b, cov) rows, both triangles."""
-        names = names or self.names
-        return _rows(
-            self.row,
-            [
-                f"named_struct('stat_a', {_quoted(a)}, 'stat_b', {_quoted(b)}, 'cov', {self._cov_sql(a, b)})"
-                for a in names
-                for b in names
-            ],
-        )
+        k, own = len(self.names), [self._at[n] for n in names or self.names]
+        keys = [c for c in self.row.columns if c not in ("total", "cov")]
+        rows = self.row.select(*keys, "cov", F.explode(F.lit(own)).alias("_a")).select("*", F.explode(F.lit(own)).alias("_b"))
+        low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
+        place = (low * k - (low * (low - 1) / 2) + high - low).cast("int")
+        return rows.select(*keys, self._name(F.col("_a")).alias("stat_a"), self._name(F.col("_b")).alias("stat_b"), F.get(F.col("cov"), place).alias("cov"))
+
+    def _name(self, at: Column) -> Column:
+        return F.get(F.lit(self.names), at)
+
+    def _mapped(self, names: list[str], new: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> StatSet:
+        """Functions of the estimates: ``new`` gives their values and the Jacobian."""
+        k, out = len(self.names), self.row.schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for total, cov in zip(batch["total"].to_pylist(), batch["cov"].to_pylist()):
+                    value, jacobian = new(np.array(total))
+                    found.append((value, packed(propagated(jacobian, unpacked(np.array(cov), k)))))
+                columns = {c: batch[c] for c in batch.schema.names}
+                columns["total"], columns["cov"] = (
+                    pa.array([[None if np.isnan(x) else x for x in f[i].tolist()] for f in found], pa.list_(pa.float64())) for i in (0, 1)
+                )
+                yield pa.RecordBatch.from_pydict(columns)
+
+        return StatSet(self.row.mapInArrow(run, out), names)
 
     def combine(self, outputs: dict[str, dict[str, float]]) -> StatSet:
         """Linear contrasts, each a dict of coefficients by statistic."""
-        est = {
-            o: " + ".join(f"{float(k)!r}D * {self._est[s]}" for s, k in c.items()) for o, c in outputs.items()
-        }
-        cov = {}
-        for a, b in pairs_of(outputs, 2):
-            cov[(a, b)] = " + ".join(
-                f"{float(ka * kb)!r}D * {self._cov_sql(sa, sb)}"
-                for sa, ka in outputs[a].items()
-                for sb, kb in outputs[b].items()
-            )
-        return StatSet(self.row, est, cov)._kept()
+        matrix = np.zeros((len(outputs), len(self.names)))
+        for row, coefficients in enumerate(outputs.values()):
+            for name, c in coefficients.items():
+                matrix[row, self._at[name]] += c
+        return self._mapped(list(outputs), lambda total: (matrix @ total, matrix))
 
     def ratios(self, outputs: dict[str, tuple[str, str]]) -> StatSet:
         """Ratios (numerator, denominator) with linearised covariances."""
-        theta = {o: f"({self._est[n]} / {self._est[d]})" for o, (n, d) in outputs.items()}
-        cov = {}
-        for a, b in pairs_of(outputs, 2):
-            (na, da), (nb, db) = outputs[a], outputs[b]
-            cov[(a, b)] = (
-                f"({self._cov_sql(na, nb)} - {theta[b]} * {self._cov_sql(na, db)} "
-                f"- {theta[a]} * {self._cov_sql(da, nb)} + {theta[a]} * {theta[b]} * {self._cov_sql(da, db)})"
-                f" / ({self._est[da]} * {self._est[db]})"
-            )
-        return StatSet(self.row, theta, cov)._kept()
-
-    def _kept(self) -> StatSet:
-        """Give the expressions column names, so later steps refer to them by name."""
-        at = {n: i for i, n in enumerate(self._est)}
-        row = self.row.selectExpr(
-            *[f"{e} AS t{at[n]}" for n, e in self._est.items()],
-            *[f"{e} AS c{at[a]}_{at[b]}" for (a, b), e in self._cov.items()],
-        )
-        return _named(row, list(self._est))
+        k = len(self.names)
+        top, bottom = (np.array([self._at[pair[i]] for pair in outputs.values()], int) for i in (0, 1))
+        at = np.arange(len(outputs))
 
-    def block(self, names: list[str]) -> DataFrame:
-        """Variance of a sum of statistics, split into its diagonal and the rest."""
-        total = " + ".join(self._cov_sql(a, b) for a in names for b in names)
-        diagonal = " + ".join(self._cov_sql(a, a) for a in names)
-        return self.row.selectExpr(
-            f"{' + '.join(self._est[n] for n in names)} AS total",
-            f"{total} AS var_total",
-            f"{diagonal} AS var_diag",
-        ).selectExpr("total", "var_total", "var_diag", "var_total - var_diag AS var_cov", "sqrt(var_total) AS se")
+        def new(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = np.where(total[bottom] == 0, np.nan, total[bottom])
+            value, jacobian = total[top] / size, np.zeros((len(outputs), k))
+            np.add.at(jacobian, (at, top), 1 / size)
+            np.add.at(jacobian, (at, bottom), -value / size)
+            return value, jacobian
 
+        return self._mapped(list(outputs), new)
 
-def _named(row: DataFrame, names: list[str]) -> StatSet:
-    est = {n: f"t{i}" for i, n in enumerate(names)}
-    cov = {(names[i], names[k]): f"c{i}_{k}" for i, k in pairs_of(range(len(names)), 2)}
-    return StatSet(row, est, cov)
+    def block(self, names: list[str]) -> DataFrame:
+        """Variance of a sum of statistics, split into its diagonal and the rest."""
+        places = [packed_place(self._at[n], self._at[n], len(self.names)) for n in names]
+        diagonal = self.row.select(F.aggregate(F.transform(F.lit(places), lambda p: F.get(F.col("cov"), p)), F.lit(0.0), lambda a, b: a + b).alias("var_diag"))
+        whole = self.combine({"total": dict.fromkeys(names, 1.0)})
+        row = whole.row.select(whole.est("total").alias("total"), whole.cov("total", "total").alias("var_total"))
+        return row.join(diagonal, F.lit(True)).selectExpr(  # one row each
+            "total", "var_total", "var_diag", "var_total - var_diag AS var_cov", "sqrt(var_total) AS se"
+        )
 
 
 def reduced(design: SurveyDesign, keys: list[str]) -> SurveyDesign:
@@ -148,74 +137,9 @@ def reduced(design: SurveyDesign, keys: list[str]) -> SurveyDesign:
     return replace(design, df=grouped, domain=F.col("_inside"))
 
 
-def stat_set(design: SurveyDesign, measures: dict[str, Column]) -> StatSet:
-    """Weighted totals of ``measures`` (NULL counts as 0) and their covariances."""
-    names = list(measures)
-    cal = design.calibration
-    w, inside = F.col(design.weight), design.inside
-    value = {
-        n: F.when(inside, F.coalesce(e.cast("double"), F.lit(0.0))).otherwise(0.0) for n, e in measures.items()
-    }
-    aux: dict[str, Column] = {}
-    if isinstance(cal, StratumCalibration):
-        aux = {"z": F.lit(1.0) if cal.size is None else F.col(cal.size).cast("double")}
-    elif isinstance(cal, MarginCalibration):
-        aux = {t: e.cast("double") for t, e in cal.terms.items()}
-    columns = [F.sum(w * value[n]).alias(f"y{i}") for i, n in enumerate(names)]
-    columns += [F.sum(w * e).alias(f"z{j}") for j, e in enumerate(aux.values())]
-    if cal is not None:
-        base, z = F.col(cal.base), list(aux.values())
-        columns += [F.sum(base * z[j] * z[k]).alias(f"g{j}_{k}") for j, k in pairs_of(range(len(z)), 2)]
-        columns += [
-            F.sum(base * z[j] * value[n]).alias(f"b{i}_{j}") for i, n in enumerate(names) for j in range(len(z))
-        ]
-    units = design.df.groupBy(F.col(design.strata).alias("h"), F.col(design.psu).alias("i")).agg(*columns)
-
-    parts = [f"y{i}" for i in range(len(names))] + [f"z{j}" for j in range(len(aux))]
-    carried = [c for c in units.columns if c[0] in "gb"]
-    pairs = list(pairs_of(parts, 2))
-    sums = ["count(1) AS n", *[f"sum({c}) AS s_{c}" for c in parts]]
-    sums += [f"sum({a} * {b}) AS m_{a}_{b}" for a, b in pairs]
-    sums += [f"sum({c}) AS {c}" for c in carried]
-    strata = settle(_aggregated(units.groupBy("h"), sums))
-    slopes = _slopes(strata, cal, len(names), len(aux))
-    order = set(pairs)
-
-    def moment(a: str, b: str) -> str:
-        m = f"m_{a}_{b}" if (a, b) in order else f"m_{b}_{a}"
-        return f"({m} - s_{a} * s_{b} / n)"
-
-    aggs = [f"sum(s_y{i}) AS t{i}" for i in range(len(names))]
-    for i, k in pairs_of(range(len(names)), 2):
-        spread = moment(f"y{i}", f"y{k}")
-        for j in range(len(aux)):
-            spread += f" - {slopes[i][j]} * {moment(f'y{k}', f'z{j}')} - {slopes[k][j]} * {moment(f'y{i}', f'z{j}')}"
-            for m in range(len(aux)):
-                spread += f" + {slopes[i][j]} * {slopes[k][m]} * {moment(f'z{j}', f'z{m}')}"
-        aggs.append(f"sum(scale * ({spread})) AS c{i}_{k}")
-    n = F.col("n")
-    scaled = strata.withColumn("scale", design.lonely_factor(n, n / (n - 1)))
-    return _named(_aggregated(scaled.groupBy(), aggs), names)
-
-
-def _slopes(strata: DataFrame, cal, n_stats: int, n_terms: int) -> list[list[str]]:
-    """Regression of each statistic on the calibration terms.
-
-    Per stratum this is a ratio of sums. On margins it is a small linear
-    system (terms by terms) whose sums come from one row.
-    """
-    if cal is None:
-        return [[] for _ in range(n_stats)]
-    if isinstance(cal, StratumCalibration):
-        return [[f"try_divide(b{i}_0, g0_0)"] for i in range(n_stats)]
-    wanted = [c for c in strata.columns if c[0] in "gb"]
-    sums = strata.agg(*[F.sum(c).alias(c) for c in wanted]).first()
-    gram = np.zeros((n_terms, n_terms))
-    for j, k in pairs_of(range(n_terms), 2):
-        gram[j, k] = gram[k, j] = sums[f"g{j}_{k}"]
-    rhs = np.array([[sums[f"b{i}_{j}"] for i in range(n_stats)] for j in range(n_terms)])
-    slopes = solved(gram, rhs, list(cal.terms))
-    return [[f"({float(slopes[j, i])!r}D)" for j in range(n_terms)] for i in range(n_stats)]
+def stat_set(design: SurveyDesign, measures: dict[str, Column], by: list[str] | None = None) -> StatSet:
+    """Weighted totals of ``measures`` (NULL counts as 0) and their covariances; one row, or one per domain."""
+    return StatSet(domain_covariances(design, measures, by), list(measures))
 
 
 def level_measures(
