@@ -29,11 +29,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query(
     "op1_mix_sources",
-    f"WITH {mixing.mix_sql('documents')} SELECT doc_id, source, epoch, block FROM mixed",
+    f"WITH {mixing.mix_sql('documents', ['doc_id', 'text', 'lang', 'source', 'n_chars'])} SELECT doc_id, source, epoch, block FROM mixed",
 )
 def op1(spark: SparkSession, sf: str) -> DataFrame:
-    # Its SQL draws whole blocks.
-    return mixing.mix_sources(table(spark, sf, "documents"), whole_blocks=True).select("doc_id", "source", "epoch", "block")
+    return mixing.mix_sources(table(spark, sf, "documents")).select("doc_id", "source", "epoch", "block")
 
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)

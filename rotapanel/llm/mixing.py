@@ -7,7 +7,8 @@ or the smallest whose most repeated source stays within a limit of epochs.
 Each source then gets ``weight * budget`` tokens: whole epochs, and for the rest
 blocks of documents in the order of a hashed permutation, as far as the budget goes. Of the
 block where it ends, documents are drawn in the order of their hash, up to the one whose end is
-nearest to the budget; ``whole_blocks`` leaves that block out, so a source may miss a block's tokens.
+nearest to the budget, so a source misses its quota by half a document at most. Documents without a key are dealt to
+blocks by their text.
 
 Only aggregates per source, and 65 numbers per sectioning step, are looked at by
 the driver. Cumulated sums go by hash range first, then within the one range
@@ -86,7 +87,7 @@ def exponent(
 
 def _part_of_blocks(inside: DataFrame, columns: list[str], tokens: Column, seed: str) -> DataFrame:
     """Of rows in one block a source, those in hash order that come nearest to ``_left`` tokens; equal rows are counted."""
-    doc = F.md5(F.concat_ws("|", F.lit(seed), F.to_json(F.struct(*columns))))
+    doc = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.md5(F.col(c).cast("string")), F.lit("")) for c in columns]))
     inside = written(inside.withColumn("_doc", doc).withColumn("_n", tokens).select(*columns, "_src", "_full", "block", "_left", "_doc", "_n"))
     docs = settle(
         inside.groupBy("_src", "_doc").agg(F.first("_left").alias("_left"), F.first("_n").alias("n"), F.count("*").alias("_copies"))
@@ -127,7 +128,6 @@ def mix_sources(
     budget: int | None = None,
     block_tokens: int = BLOCK_TOKENS,
     seed: str = "mix",
-    whole_blocks: bool = False,
 ) -> DataFrame:
     """One row per drawn document and epoch, with ``epoch``, ``block`` and ``block_key``.
 
@@ -150,7 +150,7 @@ def mix_sources(
         F.expr("quota % _tokens").alias("_rest"),
         F.ceil(F.col("_tokens") / F.lit(float(block_tokens))).alias("_blocks"),
     )
-    blocks_of = text_hash(F.coalesce(F.col(key).cast("string"), F.lit(""))) % F.col("_blocks")
+    blocks_of = text_hash(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit(""))) % F.col("_blocks")
     block_key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_src"), F.col("_full").cast("string"), F.col("block").cast("string")))
     placed = join_small(df, plan, ["_src"]).withColumn("block", blocks_of)
     blocks = (
@@ -178,16 +178,16 @@ def mix_sources(
     out = join_small(placed, drawn, ["_src", "block"], "left")
     epochs = F.col("_full") + F.coalesce("_drawn", F.lit(0))
     kept = out.where(epochs > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    kept = kept.select(*columns, "_src", "epoch", "block")
-    if not whole_blocks:
-        cut = ends.where("upto > _rest and upto - n < _rest").select("_src", "block", F.expr("_rest - (upto - n)").alias("_left"))
-        kept = kept.unionByName(_part_of_blocks(join_small(placed, cut, ["_src", "block"]), columns, tokens, seed))
+    cut = ends.where("upto > _rest and upto - n < _rest").select("_src", "block", F.expr("_rest - (upto - n)").alias("_left"))
+    part = _part_of_blocks(join_small(placed, cut, ["_src", "block"]), columns, tokens, seed)
+    kept = kept.select(*columns, "_src", "epoch", "block").unionByName(part)
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("_src"), F.col("epoch").cast("string"), F.col("block").cast("string")))
     return kept.select(*columns, "epoch", "block", order.alias("block_key"))
 
 
-def mix_sql(docs: str, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = "mix") -> str:
-    """WITH entries ending in ``mixed`` (the rows drawn from ``docs``)."""
+def mix_sql(docs: str, columns: list[str], max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = "mix") -> str:
+    """WITH entries ending in ``mixed`` (the rows drawn from ``docs``, which has ``columns``)."""
+    parts = " || '|' || ".join(f"coalesce(md5({c}::VARCHAR), '')" for c in columns)
     section = f"""p0 AS (SELECT 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi)"""
     for i in range(STEPS):
         section += f""",
@@ -207,10 +207,17 @@ quotas AS (SELECT src, tokens, floor(pow(share, hi) / sum(pow(share, hi)) OVER (
 plan AS (SELECT src, (quota // tokens)::INTEGER AS full_epochs, quota % tokens AS rest,
                 ceil(tokens / {float(block_tokens)}::DOUBLE)::BIGINT AS blocks FROM quotas),
 placed AS (SELECT w.*, full_epochs, rest,
-                  ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:15])::BIGINT % blocks AS block
+                  ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), text, ''))[1:15])::BIGINT % blocks AS block
            FROM words w JOIN plan USING (src)),
 blocks AS (SELECT src, block, any_value(rest) AS rest, sum(n) AS size,
                   md5('{seed}|' || src || '|' || any_value(full_epochs) || '|' || block) AS k FROM placed GROUP BY src, block),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY k, block ROWS UNBOUNDED PRECEDING) <= rest AS drawn FROM blocks),
-mixed AS (SELECT p.*, unnest(range(full_epochs + CASE WHEN drawn THEN 1 ELSE 0 END))::INTEGER AS epoch
-          FROM placed p JOIN summed s USING (src, block))"""
+summed AS (SELECT *, sum(size) OVER (PARTITION BY src ORDER BY k, block ROWS UNBOUNDED PRECEDING) AS upto FROM blocks),
+part AS (SELECT p.*, rest - (upto - size) AS room, md5('{seed}|' || {parts}) AS doc
+         FROM (SELECT src, block, upto, size FROM summed WHERE upto > rest AND upto - size < rest) JOIN placed p USING (src, block)),
+turn AS (SELECT *, row_number() OVER (PARTITION BY src, doc) - 1 AS copy, coalesce(sum(n) OVER (PARTITION BY src ORDER BY doc ROWS UNBOUNDED PRECEDING), 0) - n AS begun
+         FROM part),
+ends AS (SELECT *, min(begun) OVER (PARTITION BY src, doc) + copy * n AS begins FROM turn),
+mixed AS (
+  SELECT doc_id, source, block, unnest(range(full_epochs + CASE WHEN upto <= p.rest THEN 1 ELSE 0 END))::INTEGER AS epoch
+  FROM placed p JOIN summed s USING (src, block)
+  UNION ALL SELECT doc_id, source, block, full_epochs AS epoch FROM ends WHERE 2 * begins + n <= 2 * room)"""

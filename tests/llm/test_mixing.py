@@ -81,8 +81,9 @@ def quotas(rows, max_repeats):
     return {s: (w[s] / sum(w.values()) * total, n, most[s]) for s, n in tokens.items()}
 
 
-def test_sources_meet_their_weights(spark, tiny):
-    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+@pytest.mark.parametrize("folder", ["tiny", "sf"])
+def test_sources_meet_their_weights(spark, request, folder):
+    docs = spark.read.parquet(f"{request.getfixturevalue(folder)}/documents.parquet")
     count = mixing.word_count(F.col("text")).alias("n")
     want = quotas([tuple(r) for r in docs.select("source", count).collect()], mixing.MAX_REPEATS)
     got = {r.source: r.n for r in mixing.mix_sources(docs).select("source", count).groupBy("source").agg(F.sum("n").alias("n")).collect()}
@@ -97,3 +98,13 @@ def test_weights_are_met_with_one_id_and_equal_rows(spark):
     n = {r.source: 10 * r["count"] for r in got.groupBy("source").count().collect()}
     want = quotas([(s, 10) for _, _, s in rows], 2.0)
     assert all(abs(n[s] - want[s][0]) <= 6 for s in want)
+
+
+def test_rows_without_a_key_are_dealt_by_their_text(spark):
+    rows = [(None, f"u{k} " + "w " * 9, "big") for k in range(2000)] + [(k, "v " * 10, "small") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, max_repeats=2.0, block_tokens=1_000)
+    assert got.where("source = 'big'").select("block").distinct().count() > 10
+    want = quotas([(s, 10) for _, _, s in rows], 2.0)
+    n = {r.source: 10 * r["count"] for r in got.groupBy("source").count().collect()}
+    assert all(abs(n[s] - want[s][0]) <= 6 for s in want)
