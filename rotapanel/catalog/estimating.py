@@ -12,15 +12,15 @@ from rotapanel.functions.distributions import critical_t
 from rotapanel.functions.recode import cv, in_labour_force, unemployed
 from rotapanel.operators.calibration import calibrate
 from rotapanel.operators.contrasts import (
-    change_variance, contrast, covariance_between, design_t_test, mean_of_three_variance, net_change,
+    change_variance, contrast, covariance_between, design_t_test, mean_of_three_variance, moving_rates, net_change,
     weighted_correlation,
 )
 from rotapanel.operators.design import MarginCalibration, SurveyDesign
-from rotapanel.operators.estimation import degrees_of_freedom, sum_over_months, survey_ratio, survey_total, with_national
+from rotapanel.operators.estimation import degrees_of_freedom, rollup_totals, sum_over_months, survey_ratio, survey_total, with_national
 from rotapanel.operators.longitudinal import linked
 from rotapanel.operators.overlap import overlap_share
 from rotapanel.operators.replication import (
-    bootstrap_totals, full_totals, half_sample_totals, jackknife_totals, replicate_variance, unit_vectors,
+    bootstrap_totals, calibrated_jackknife, full_totals, half_sample_totals, jackknife_totals, replicate_variance, unit_vectors,
 )
 from rotapanel.operators.statset import domain_means, joint_proportions, level_measures, reduced, stat_set
 from rotapanel.plans import annual as annual_plan
@@ -556,6 +556,42 @@ def margin_rollup_by_sex(spark, sf):
     return rounded(out, total=2, se=2)
 
 
+_AREAS, _SEXES = [("area = '1'", "1"), ("area = '2'", "2"), ("TRUE", "Nacional")], [("sexo = 'Hombre'", "Hombre"), ("sexo = 'Mujer'", "Mujer"), ("TRUE", "Nacional")]
+
+
+@query("d12_rollup_of_two_factors", sql(
+    " UNION ALL ".join(_margin_domain_sql(f"{a} AND {s}", f"'{x}|{y}'") for a, x in _AREAS for s, y in _SEXES if (x, y) != ("Nacional", "Hombre") and (x, y) != ("Nacional", "Mujer")),
+    PANEL_FINAL, ", src AS (SELECT *, fep_aj AS d FROM final)", MARGINS_SQL,
+))
+def rollup_of_two_factors(spark, sf):
+    out = rollup_totals(_margin_design(spark, sf), ["area", "sexo"])
+    return rounded(out.select(F.concat_ws("|", "area", "sexo").alias("dominio"), "total", "se"), total=2, se=2)
+
+
+@query("e4_moving_quarter_with_error", sql("""
+, zmes AS (
+  SELECT estrato, upm, (substr(trimestre, 2, 1)::INTEGER - 1) * 3 + substr(mes_trimestre, 2, 1)::INTEGER AS mes,
+         sum(fep * CASE WHEN trabajo = 'Desocupado' THEN 1 ELSE 0 END) AS y, sum(fep * CASE WHEN trabajo <> 'Inactivo' THEN 1 ELSE 0 END) AS z
+  FROM base GROUP BY 1, 2, 3),
+ventana AS (SELECT e AS mes_fin, sum(y) AS y, sum(z) AS z FROM range(3, 13) r(e) JOIN zmes ON mes BETWEEN e - 2 AND e GROUP BY 1),
+uni AS (SELECT estrato, upm, count(*) OVER (PARTITION BY estrato) AS n FROM (SELECT DISTINCT estrato, upm FROM base)),
+lin AS (
+  SELECT u.estrato, u.upm, any_value(n) AS n, v.mes_fin, coalesce(sum(m.y - v.y / v.z * m.z), 0) / any_value(v.z) AS x
+  FROM uni u CROSS JOIN ventana v LEFT JOIN zmes m ON m.estrato = u.estrato AND m.upm = u.upm AND m.mes BETWEEN v.mes_fin - 2 AND v.mes_fin
+  GROUP BY u.estrato, u.upm, v.mes_fin),
+vh AS (
+  SELECT mes_fin, any_value(n) / (any_value(n) - 1.0::DOUBLE) * (sum(x * x) - sum(x) * sum(x) / any_value(n)) AS v FROM lin GROUP BY estrato, mes_fin)
+SELECT CAST(mes_fin AS VARCHAR) AS mes_fin, round(any_value(y) / any_value(z), 8) AS theta, round(sqrt(sum(v)), 8) AS se
+FROM vh JOIN ventana USING (mes_fin) GROUP BY 1"""))
+def moving_quarter_with_error(spark, sf):
+    month = (F.substring("trimestre", 2, 1).cast("int") - 1) * 3 + F.substring("mes_trimestre", 2, 1).cast("int")
+    people = base(spark, sf).withColumn("mes", month)
+    design = SurveyDesign(people, "fep")
+    months = {str(m): F.col("mes") == m for m in range(1, 13)}
+    out = moving_rates(design, months, unemployed(), in_labour_force()).estimates()
+    return rounded(out.select(F.col("stat").alias("mes_fin"), F.col("estimate").alias("theta"), "se"), theta=8, se=8)
+
+
 @query("j26_plain_weights_variance", sql(
     """
 SELECT round((SELECT sum(fex_cali) FROM final WHERE sexo = 'Mujer'), 2) AS total, round(sqrt(v), 3) AS se FROM ve""",
@@ -677,3 +713,39 @@ FROM (SELECT mes_trimestre, sum(dk_mes_cali) AS t FROM t1 GROUP BY 1) JOIN ve US
 def coefficient_of_variation(spark, sf):
     out = survey_total(_design(spark, sf, ["T1"]), ["mes_trimestre"])
     return out.select("mes_trimestre", F.round(cv("se", "total"), 8).alias("cv"))
+
+
+CALIBRATED_JACKKNIFE_SQL = """, u AS (
+  SELECT estrato, upm, sum(d) FILTER (area = '1') AS a, sum(d) FILTER (area = '2') AS b, sum(d) FILTER (sexo = 'Mujer') AS c,
+         sum(d) FILTER (area = '1' AND sexo = 'Mujer') AS ac, sum(d) FILTER (area = '2' AND sexo = 'Mujer') AS bc,
+         k FROM src, (VALUES (1), (2), (3)) q(k) GROUP BY estrato, upm, k),
+cel AS (
+  SELECT estrato, upm, k, sum(d) AS y, sum(d) FILTER (area = '1') AS ya, sum(d) FILTER (area = '2') AS yb, sum(d) FILTER (sexo = 'Mujer') AS yc
+  FROM src, (VALUES (1), (2), (3)) q(k) WHERE pobreza_t1 = k GROUP BY 1, 2, 3),
+uni AS (SELECT estrato, upm, count(*) OVER (PARTITION BY estrato) AS n FROM (SELECT DISTINCT estrato, upm FROM src)),
+todos AS (
+  SELECT u.estrato, u.upm, u.k, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(ac, 0) AS ac, coalesce(bc, 0) AS bc,
+         coalesce(y, 0) AS y, coalesce(ya, 0) AS ya, coalesce(yb, 0) AS yb, coalesce(yc, 0) AS yc
+  FROM u LEFT JOIN cel USING (estrato, upm, k)),
+rep AS (
+  SELECT r.estrato, r.upm, any_value(r.n) AS n, t.k, {sums}
+  FROM (SELECT * FROM uni UNION ALL SELECT '-', -1, 1) r CROSS JOIN (
+    SELECT *, 1 AS uno FROM todos) t
+  CROSS JOIN LATERAL (SELECT CASE WHEN t.estrato <> r.estrato THEN 1.0::DOUBLE WHEN t.upm = r.upm THEN 0 ELSE n / (n - 1.0::DOUBLE) END AS f) GROUP BY 1, 2, 4),
+gap AS (SELECT *, t1 - a AS g1, t2 - b AS g2, t3 - c AS g3, a * (b * c - bc * bc) - b * ac * ac AS det FROM rep, tot),
+est AS (
+  SELECT estrato, upm, n, k, y + ya * (g1 * (b * c - bc * bc) - ac * (b * g3 - g2 * bc)) / det
+         + yb * (a * (g2 * c - bc * g3) - ac * (ac * g2 - 0) + ac * bc * g1) / det
+         + yc * (a * (b * g3 - bc * g2) - ac * b * g1) / det AS t FROM gap)
+SELECT CAST(x.k AS VARCHAR) AS stat, round(any_value(z.t), 2) AS estimate, round(sqrt(sum((n - 1.0::DOUBLE) / n * (x.t - z.t) * (x.t - z.t))), 2) AS se
+FROM est x JOIN (SELECT k, t FROM est WHERE estrato = '-') z ON x.k = z.k WHERE x.estrato <> '-' GROUP BY 1"""
+CALIBRATED_JACKKNIFE_SQL = CALIBRATED_JACKKNIFE_SQL.replace("{sums}", ", ".join(f"sum(f * {c}) AS {c}" for c in "a b c ac bc y ya yb yc".split()))
+
+
+@query("j27_jackknife_of_calibrated_totals", sql(
+    CALIBRATED_JACKKNIFE_SQL, PANEL_FINAL, ", src AS (SELECT *, fep_aj AS d FROM final)", MARGINS_SQL))
+def jackknife_of_calibrated_totals(spark, sf):
+    states = {str(k): F.when(F.col("pobreza_t1") == k, 1.0) for k in (1, 2, 3)}
+    rows, whole = calibrated_jackknife(_margin_design(spark, sf), states)
+    out = replicate_variance(rows, whole, {n: (lambda cells, i=i: cells[i]) for i, n in enumerate(states)})
+    return rounded(out.select("stat", "estimate", "se"), estimate=2, se=2)

@@ -611,3 +611,23 @@ def certificate_by_sex(spark, sf):
     rows = _certified(spark, sf, ["sexo"]).groupBy("sexo", "model")
     out = rows.agg(F.first("loglik").alias("loglik"), F.count("*").cast("int").alias("n_params"), F.bool_and("holds").alias("holds"))
     return rounded(out, loglik=4)
+
+
+# Weights of a stratum that lost a unit are calibrated again to the stratum's total.
+LEFT_OUT_CALIBRATED = """, u AS (SELECT estrato, upm, pobreza_t1 AS a, pobreza_t2 AS b, sum(fex_cali) AS w FROM final GROUP BY 1, 2, 3, 4),
+uni AS (SELECT estrato, upm, sum(fex_cali) AS suya, sum(sum(fex_cali)) OVER (PARTITION BY estrato) AS toda, count(*) OVER (PARTITION BY estrato) AS n
+        FROM final GROUP BY 1, 2),
+celda AS (
+  SELECT r.estrato || ':' || r.upm AS d, u.a, u.b,
+         sum(u.w * CASE WHEN u.estrato <> r.estrato THEN 1.0::DOUBLE WHEN u.upm = r.upm THEN 0 ELSE toda / (toda - suya) END) AS w
+  FROM uni r CROSS JOIN u GROUP BY 1, 2, 3
+  UNION ALL SELECT 'all', a, b, sum(w) FROM u GROUP BY a, b)"""
+
+
+@query("l19_jackknife_of_calibrated_weights", sql(
+    "SELECT param, i, j, round(value, 3) AS value, round(se, 4) AS se, true AS converged FROM errores WHERE param <> 'muij'",
+    PANEL_FINAL, _model_a_sql(cells=LEFT_OUT_CALIBRATED), DEVIATIONS))
+def jackknife_of_calibrated_weights(spark, sf):
+    design = panel_plan.panel_design(stored(_final(spark, sf)), residual=True)
+    errors = flow_standard_errors(design, S1, S2, LEVELS, "A").where(F.col("param") != "muij")
+    return rounded(errors, value=3, se=4)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rotapanel.functions.distributions import critical_t, p_value_t
 from rotapanel.operators.design import SurveyDesign
 from rotapanel.operators.estimation import degrees_of_freedom
-from rotapanel.operators.statset import StatSet, domain_means
+from rotapanel.operators.statset import StatSet, domain_means, level_measures, stat_set
+
 
 def contrast(stats: StatSet, coefficients: dict[str, float], name: str = "contrast") -> DataFrame:
     """One linear contrast with its standard error."""
@@ -38,6 +39,18 @@ def design_t_test(design: SurveyDesign, y: Column, levels: dict[str, Column]) ->
     ).withColumn("reject", F.abs("t") > F.col("t_crit"))
 
 
+def moving_rates(design: SurveyDesign, periods: dict[str, Column], num: Column, den: Column, width: int = 3) -> StatSet:
+    """Ratios of sums over each ``width`` neighbouring periods, named by the last one.
+
+    Windows share periods, and periods share units; both show in the covariances, which come from one pass.
+    """
+    names = list(periods)
+    stats = stat_set(design, level_measures(periods, {"y": num, "z": den}))
+    windows = {names[e]: names[e - width + 1 : e + 1] for e in range(width - 1, len(names))}
+    sums = stats.combine({f"{e}|{m}": {f"{x}|{m}": 1.0 for x in own} for e, own in windows.items() for m in ("y", "z")})
+    return sums.ratios({e: (f"{e}|y", f"{e}|z") for e in windows})
+
+
 def change_variance(v1: Column, v2: Column, t1: Column, t2: Column, r12: Column) -> Column:
     """Variance of a change between two rounds that share ``t1``, ``t2`` of their samples."""
     return v1 + v2 - 2 * F.sqrt(v1) * F.sqrt(v2) * F.sqrt(t1) * F.sqrt(t2) * r12

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rotapanel.operators.calibration import solved
 from rotapanel.operators.design import MarginCalibration, SurveyDesign
+from rotapanel.operators.moments import domain_covariances
 from rotapanel.session import settle
 
 
@@ -256,6 +257,24 @@ def with_national(design: SurveyDesign, by: str, label: str = "Nacional", name:
     return _result(out, [by], F.col("s"), F.col("v"), name)
 
 
+def rollup_totals(
+    design: SurveyDesign, by: list[str], sets: list[list[str]] | None = None, y: Column | None = None, label: str = "Nacional", name: str = "total"
+) -> DataFrame:
+    """Totals with errors of several factors at all levels of a rollup, or of the grouping ``sets`` given.
+
+    Persons are read once; every level comes from the same rows of units and cells, whatever the weights are
+    calibrated to. A factor that a level leaves out shows ``label``; a NULL of the data stays NULL.
+    """
+    sets = [by[:n] for n in range(len(by), -1, -1)] if sets is None else sets
+    stats = domain_covariances(design, {name: F.lit(1.0) if y is None else y}, by, sets)
+    inside = F.lit([sum(1 << k for k, c in enumerate(by) if c in own) for own in sets])
+    used = F.get(inside, F.col("set"))
+    factors = [F.when(used.bitwiseAND(1 << k) != 0, F.col(c).cast("string")).otherwise(F.lit(label)).alias(c) for k, c in enumerate(by)]
+    total, variance = F.col("total")[0], F.col("cov")[0]
+    out = stats.select(*factors, total.alias("_total"), variance.alias("var")).withColumnRenamed("_total", name)
+    return out.withColumn("se", F.sqrt("var")).withColumn("cv", F.try_divide(F.col("se"), F.col(name)))
+
+
 def degrees_of_freedom(design: SurveyDesign) -> DataFrame:
     """Units minus strata, for the design and for its domain.
 

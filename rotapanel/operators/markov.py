@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rotapanel.functions.distributions import chi2_above, chi2_point
 from rotapanel.operators.design import SurveyDesign
-from rotapanel.operators.replication import jackknife_totals, unit_vectors
+from rotapanel.operators.replication import calibrated_jackknife, full_totals, jackknife_totals, unit_vectors
 from rotapanel.operators.statset import reduced, stat_set
 from rotapanel.session import settle
 
@@ -355,22 +355,21 @@ def flow_standard_errors(
 ) -> DataFrame:
     """Parameters with jackknife standard errors over the sampling units.
 
-    ``converged`` tells whether the fits of all replicates ended; weights calibrated
-    with residual variances are refused, as replicates would have to repeat the calibration.
+    ``converged`` tells whether the fits of all replicates ended. Calibrated weights are calibrated
+    again in every replicate. ``flow_errors`` gives linearised errors from one fit.
 
     One replicate per unit; the replicates' cells follow in closed form from
     the unit's own cells and its stratum's. The fits are spread over the
     cluster and reduced to one row per parameter.
     """
-    if design.calibration is not None:
-        raise ValueError("replicates do not repeat a calibration: take the weights as plain ones with .plain()")
     measures = cell_measures(s1, s2, levels)
     size = len(measures)
-    units = unit_vectors(reduced(design, [s1, s2]), measures)
-    replicates = jackknife_totals(design, units, size)
-    whole = units.agg(F.array(*[F.sum(F.col("v")[j]) for j in range(size)]).alias("cells")).select(
-        F.lit("all").alias("rep"), "cells", F.lit(0.0).alias("factor")
-    )
+    if design.calibration is not None:
+        replicates, whole = calibrated_jackknife(design, measures)
+    else:
+        units = unit_vectors(reduced(design, [s1, s2]), measures)
+        replicates, whole = jackknife_totals(design, units, size), full_totals(units, size)
+    whole = whole.select(F.lit("all").alias("rep"), F.col("total").alias("cells"), F.lit(0.0).alias("factor"))
     parts = design.df.sparkSession.sparkContext.defaultParallelism
     arrays = replicates.unionByName(whole).repartition(parts, "rep")
     fits = fit_flow_model(arrays, levels, model, ["rep", "factor"], zero_flows, tol=tol)

@@ -34,6 +34,7 @@ from rotapanel.session import join_small, settle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPLIT = 20_000  # units of a stratum in one task
+ROUNDING = 1e-12
 
 
 def packed_size(k: int) -> int:
@@ -56,6 +57,14 @@ def packed_place(i: int, j: int, k: int) -> int:
     return i * k - i * (i - 1) // 2 + j - i
 
 
+def settled_variances(cov: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sets variances that are below zero by rounding alone to zero; ``size`` is what they were added up from."""
+    spread = np.diag(cov).copy()
+    spread[(spread < 0) & (spread > -ROUNDING * size)] = 0.0
+    np.fill_diagonal(cov, spread)
+    return cov
+
+
 @dataclass
 class Moments:
     """Units of a stratum: number, mean and products about the mean of their sums; and with calibration
@@ -92,8 +101,9 @@ def _finished(m: Moments, n: float, scale: float, square: float | None, spread:
     if square is not None:
         # Calibrated per stratum: one term, and the slopes are the stratum's own.
         b = m.slope[:, 0] / square if square else np.zeros(len(m.mean))
-        both = np.outer(b, m.cross[:, 0])
-        cov = cov - both - both.T + np.outer(b, b) * spread
+        both, square_of_b = np.outer(b, m.cross[:, 0]), np.outer(b, b) * spread
+        size = np.diag(cov) + 2 * np.abs(np.diag(both)) + np.diag(square_of_b)
+        cov = settled_variances(cov - both - both.T + square_of_b, size)
     return m.mean * m.n, scale * cov, scale * m.cross, m.slope
 
 
@@ -135,10 +145,28 @@ def _unit_rows(design: SurveyDesign, by: list[str], measures: dict[str, Column])
     return units.where("inside").drop("inside", *[f"g{j}_{k}" for j, k in pairs]), settle(strata), len(terms)
 
 
-def domain_covariances(design: SurveyDesign, measures: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """Per domain: ``total`` (one number per measure, NULL counting as 0) and ``cov``, the packed covariances."""
+def _rolled_up(units: DataFrame, by: list[str], sets: list[list[str]], k: int, p: int) -> DataFrame:
+    """Unit rows of every grouping set; ``set`` is its number, and factors that it leaves out are NULL."""
+    levels = F.explode(F.array(*[F.struct(F.lit(n).alias("set"), *[(F.col(c) if c in own else F.lit(None)).alias(c) for c in by]) for n, own in enumerate(sets)]))
+    rows = units.select("*", levels.alias("_level")).drop(*by).select("*", "_level.*")
+    sums = [F.array(*[F.sum(F.col("y")[i]) for i in range(k)]).alias("y")]
+    if p:
+        sums += [F.array(*[F.sum(F.col("b")[i]) for i in range(k * p)]).alias("b")]
+        sums += [F.first(f"z{j}").alias(f"z{j}") for j in range(p)]  # the unit's own, the same in all its rows
+    return rows.groupBy("h", "i", "set", *by).agg(*sums)
+
+
+def domain_covariances(
+    design: SurveyDesign, measures: dict[str, Column], by: list[str] | None = None, sets: list[list[str]] | None = None
+) -> DataFrame:
+    """Per domain: ``total`` (one number per measure, NULL counting as 0) and ``cov``, the packed covariances.
+
+    ``sets`` lists grouping sets of ``by``: all their domains come from the same unit rows, and ``set`` numbers them.
+    """
     by, cal, k = by or [], design.calibration, len(measures)
     units, strata, p = _unit_rows(design, by, measures)
+    if sets is not None:
+        units, by = _rolled_up(units, by, sets, k, p), ["set", *by]
     per_stratum = isinstance(cal, StratumCalibration)
     zs = F.array(*[(F.col(f"z{j}") - F.col(f"m{j}")) for j in range(p)]) if p else F.expr("cast(array() AS array<double>)")
     rows = join_small(units, strata.withColumn("slices", F.expr(f"cast(ceil(n / {SPLIT}) AS int)")), ["h"])
@@ -236,7 +264,9 @@ def domain_covariances(design: SurveyDesign, measures: dict[str, Column], by: li
         total, cov, cross, slope = sums
         if inverse is not None:
             b, m = slope.reshape(k, p) @ inverse, cross.reshape(k, p)
-            cov = packed(unpacked(cov, k) - b @ m.T - m @ b.T + b @ terms_spread @ b.T)
+            both, own = b @ m.T, unpacked(cov, k)
+            size = np.diag(own) + 2 * np.einsum("ij,ij->i", np.abs(b), np.abs(m)) + np.einsum("ij,jk,ik->i", np.abs(b), np.abs(terms_spread), np.abs(b))
+            cov = packed(settled_variances(own - both - both.T + b @ terms_spread @ b.T, size))
         return pa.table({"key": table["key"].combine_chunks().slice(0, 1), "total": pa.array([total.tolist()]), "cov": pa.array([cov.tolist()])})
 
     result = T.StructType([rows.schema["key"], T.StructField("total", vector), T.StructField("cov", vector)])

@@ -16,22 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rotapanel.operators.design import MarginCalibration, SurveyDesign
-from rotapanel.operators.moments import domain_covariances, packed, packed_place, unpacked
+from rotapanel.operators.moments import domain_covariances, packed, packed_place, settled_variances, unpacked
 
 # Executors may not have this package installed: send its functions along with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROUNDING = 1e-12
-
 
 def propagated(jacobian: np.ndarray, cov: np.ndarray) -> np.ndarray:
     """Covariances of linear functions; a variance that is zero but for rounding is zero."""
-    out = jacobian @ cov @ jacobian.T
-    size = np.einsum("ij,jk,ik->i", np.abs(jacobian), np.abs(cov), np.abs(jacobian))
-    spread = np.diag(out).copy()
-    spread[(spread < 0) & (spread > -ROUNDING * size)] = 0.0
-    np.fill_diagonal(out, spread)
-    return out
+    return settled_variances(jacobian @ cov @ jacobian.T, np.einsum("ij,jk,ik->i", np.abs(jacobian), np.abs(cov), np.abs(jacobian)))
 
 
 class StatSet:
