@@ -137,17 +137,22 @@ def find_hits(
     def entries(w: Column) -> Column:
         return F.concat(F.array(F.lit(-1).cast("bigint")), fingerprints(w, window, gram), *[_short_grams(w, m) for m in short])
 
+    # The words around a fingerprint are cut out before it becomes a row: a row must not hold its whole text.
+    def entry(w: Column, fp: Column) -> Column:
+        p = _place_of(fp)
+        return F.struct(_hash_of(fp).alias("h"), p.alias("p"), F.when(fp >= 0, _around(w, p, window, gram)).alias("ctx"))
+
     rows = (
         docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text)).alias("w"))
-        .select("doc", "text_hash", F.size("w").cast("bigint").alias("n_words"), "w", F.explode(entries(F.col("w"))).alias("fp"))
-        .select("doc", "text_hash", "n_words", "w", _hash_of(F.col("fp")).alias("h"), _place_of(F.col("fp")).alias("p"))
+        .select(
+            "doc", "text_hash", F.size("w").cast("bigint").alias("n_words"),
+            F.explode(let(F.col("w"), lambda w: F.transform(entries(w), lambda fp: entry(w, fp)))).alias("e"),
+        )
+        .select("doc", "text_hash", "n_words", "e.h", "e.p", "e.ctx")
     )
-    context = _around(F.col("w"), F.col("p"), window, gram)
     if few:
         met = rows.join(F.broadcast(grams), "h", "left").where("h = -1 OR item IS NOT NULL")
-        met = met.withColumn("ctx", F.when(F.col("h") >= 0, context)).drop("w")
     else:
-        rows = rows.withColumn("ctx", F.when(F.col("h") >= 0, context)).drop("w")
         met = rows.where("h >= 0").join(grams, "h").unionByName(rows.where("h = -1"), allowMissingColumns=True)
     # Extension: the windows that start s words before the gram and are equal in both texts.
     left = F.least(F.col("p"), F.lit(window - gram))

@@ -77,3 +77,12 @@ def test_long_texts_and_places(spark):
         "n_words", "n_hit", F.size("spans").alias("n"), F.col("spans")[0]["start"].alias("at")
     ).first()
     assert tuple(row) == (200_000, 12, 3, 150_000)
+
+
+def test_clashing_columns_and_a_hit_at_each_end_of_a_long_text(spark):
+    item = " ".join(f"b{k}" for k in range(12))
+    text = item + " " + " ".join(f"w{k}" for k in range(50_000)) + " " + item
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumns({c: F.lit("own") for c in ("h", "p", "w", "ctx", "item", "doc", "e", "fp")})
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string").withColumns({c: F.lit("own") for c in ("h", "q", "kind", "iw")})
+    row = decontaminate.find_hits(df, bench).first()
+    assert (row.n_words, row.n_hit, row["items"]) == (50_024, 24, ["9"]) and [s.start for s in row.spans] == [0, 1, 2, 50_012, 50_013, 50_014]
