@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rotapanel.llm import hashing
+from rotapanel.llm.toxicity import labelled_rows
 
 SAMPLE = 8_000
 WORD_BITS, SHAPE_BITS = 14, 12
@@ -161,12 +162,8 @@ def label_grade() -> Column:
 def fit_quality(
     docs: DataFrame, labels: DataFrame, grade: Column, count: int = 3, key: str = "doc_id", text: str = "text", sample: int = SAMPLE
 ) -> OrdinalModel:
-    """Fit on the texts of at most ``sample`` labelled rows."""
-    chosen = (
-        labels.select(F.col(key).alias("k"), grade.cast("int").alias("grade"))
-        .where("k IS NOT NULL AND grade IS NOT NULL")
-        .orderBy(F.xxhash64("k"), "k", "grade").limit(sample)
-    )
+    """Fit on the texts of at most ``sample`` labelled rows; of documents with one id the smallest text trains."""
+    rows = labelled_rows(docs, labels, key, text, grade.cast("int"), sample).withColumnRenamed("y", "grade")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -177,8 +174,6 @@ def fit_quality(
                     ["grade", "i", "v"],
                 )
 
-    # At most `sample` narrow rows are broadcast.
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("grade", "text")
     got = rows.mapInArrow(features, "grade int, i binary, v binary").toArrow()
     pairs = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["i"].to_pylist(), got["v"].to_pylist())]
     return fit_ordinal(pairs, got["grade"].to_numpy().astype(np.int64), count)

@@ -1,12 +1,12 @@
 """Toxicity classifier that doesn't react to which group a text names.
 
-A logistic model on the distinct words of a text and their beginnings. The penalty
-adds, for every labelled text with an identity term, the squared change of the
-score when the term is swapped for another one: the fit is pushed to give
-neutral mentions of any group the same score.
+A logistic model on the distinct words of a text and their beginnings. Of every labelled text that holds
+an identity term a counterfactual copy is made, in which each term is swapped for another one of its set, and the
+fit pays for the squared change of the score between text and copy: neutral mentions of any group get like scores.
+Sets of terms are an argument; the given ones are plain names of groups and pronouns of four languages.
 
-At most ``SAMPLE`` labelled rows train (those of the smallest hashed ids). Feature counts are summed
-in Spark; features whose log odds differ clearly between the classes are kept, at most
+At most ``SAMPLE`` labelled rows train (those of the smallest hashed ids; of documents with one id
+the smallest text). Feature counts are summed in Spark; features whose log odds differ clearly between the classes are kept, at most
 ``FEATURES``. All texts are scored whole; a score costs one table look-up per feature.
 
 Cases: null or empty texts get the score of the intercept; rows with null labels or
@@ -15,6 +15,8 @@ repeated rows are each scored; extra columns stay, ``score`` is replaced.
 """
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,15 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotapanel.llm import hashing
+from rotapanel.llm.steps import written
 
 SAMPLE, FEATURES = 10_000, 20_000
 PREFIXES = [4, 5, 6, 40]  # bytes; the last is the whole word but for its very end
 LEAST_Z, LEAST_TEXTS = 3.0, 3
 L2, SWAP, STEPS = 2e-4, 1.0, 400
-# Terms that may be swapped for each other.
+# Sets of terms that may be swapped for each other.
 IDENTITY_TERMS = [
-    "women", "men", "muslims", "christians", "jews", "hindus", "atheists", "gay", "straight", "lesbian", "black", "white",
-    "asian", "latino", "immigrants", "refugees", "disabled", "elderly", "transgender",
+    ["women", "men"], ["woman", "man"], ["muslims", "christians", "jews", "hindus", "atheists"], ["muslim", "christian", "jewish", "hindu"],
+    ["gay", "straight", "lesbian"], ["black", "white", "asian", "latino"], ["immigrants", "refugees", "natives"],
+    ["he", "she"], ["his", "her"], ["him", "her"],
+    ["er", "sie"], ["sein", "ihr"], ["frauen", "männer"], ["muslime", "christen", "juden"],
+    ["il", "elle"], ["ils", "elles"], ["femmes", "hommes"], ["musulmans", "chrétiens", "juifs"],
+    ["él", "ella"], ["ellos", "ellas"], ["mujeres", "hombres"], ["musulmanes", "cristianos", "judíos"],
 ]
 
 # Words are letters and bytes beyond ASCII, and digits.
@@ -91,51 +98,91 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def term_features(terms: list[str]) -> list[np.ndarray]:
-    feature, owner = text_features(pa.array(terms, pa.string()))
-    return [feature[owner == k] for k in range(len(terms))]
+def term_features(terms: list[str]) -> np.ndarray:
+    return text_features(pa.array(terms, pa.string()))[0]
+
+
+def swapper(sets: list[list[str]]):
+    """A function that swaps every term of a text for another of its set, or gives None where there is none."""
+    # A term of several sets belongs to the first.
+    home = {t: own for own in reversed(sets) if len(own) > 1 for t in own}
+    if not home:
+        return lambda text: None
+    edge = "[0-9A-Za-z\u0080-\U0010ffff]"
+    words = "|".join(re.escape(t) for t in sorted(home, key=len, reverse=True))
+    pattern = re.compile(f"(?<!{edge})(?:{words})(?!{edge})", re.IGNORECASE | re.ASCII)
+
+    def swapped(text: str) -> str | None:
+        turn = zlib.crc32(text.encode())
+
+        def other(m: re.Match) -> str:
+            term = m[0].lower()
+            own = home.get(term) or home[m[0]]
+            at = own.index(term if term in own else m[0])
+            return own[(at + 1 + turn % (len(own) - 1)) % len(own)]
+
+        out, n = pattern.subn(other, text)
+        return out if n else None
+
+    return swapped
 
 
 def fit_logistic(
-    rows: list[np.ndarray], labels: np.ndarray, size: int, swaps: list[tuple[float, np.ndarray, np.ndarray]] = (),
+    rows: list[np.ndarray], labels: np.ndarray, size: int, copies: list[tuple[int, np.ndarray]] = (),
     l2: float = L2, swap: float = SWAP, steps: int = STEPS,
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept of presence features, with the penalty on swaps.
+    """Weights and intercept of presence features, with the penalty on score changes.
 
-    swaps: (share of texts, features that go, features that come).
+    copies: (row, features of its counterfactual copy). The loss is the mean log loss, l2 / 2 times
+    the squared weights, and swap times the squared score changes, summed over copies and divided by the rows.
     """
     index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    origin = np.array([k for k, _ in copies], np.int64)
+    other = np.concatenate([c for _, c in copies]) if len(copies) else np.zeros(0, np.int64)
+    other_owner = np.repeat(np.arange(len(copies)), [len(c) for _, c in copies])
+    n = max(len(rows), 1)
     rate = (labels.sum() + 1) / (len(labels) + 2)
     p = np.concatenate([np.zeros(size), [np.log(rate / (1 - rate))]])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
         z = p[-1] + np.bincount(owner, weights=p[index], minlength=len(rows))
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / max(len(rows), 1)
-        g = np.bincount(index, weights=error[owner], minlength=size + 1).astype(float)
+        pull = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
+        error = pull.copy()
+        g_copy = np.zeros(size + 1)
+        if len(copies):
+            change = 2 * swap / n * (z[origin] - p[-1] - np.bincount(other_owner, weights=p[other], minlength=len(copies)))
+            np.add.at(error, origin, change)
+            g_copy = np.bincount(other, weights=change[other_owner], minlength=size + 1)
+        g = np.bincount(index, weights=error[owner], minlength=size + 1) - g_copy
         g[:size] += l2 * p[:size]
-        for share, gone, come in swaps:
-            change = 2 * swap * share * (p[come].sum() - p[gone].sum())
-            np.add.at(g, come, change)
-            np.add.at(g, gone, -change)
-        g[-1] = error.sum()
+        g[-1] = pull.sum()  # the intercept is the same in a copy
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
     return p[:size], float(p[-1])
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    terms: list[str] = IDENTITY_TERMS, sample: int = SAMPLE,
-) -> ToxicityModel:
-    """Fit on the texts of at most ``sample`` of the given labelled rows."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, grade, sample: int) -> DataFrame:
+    """(y, text) of at most ``sample`` labelled ids, stored: those of the smallest hash, each with its smallest text."""
     chosen = (
-        labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-        .where("k IS NOT NULL AND y IN (0, 1)")
+        labels.select(F.col(key).alias("k"), grade.alias("y")).where("k IS NOT NULL AND y IS NOT NULL").distinct()
         .orderBy(F.xxhash64("k"), "k", "y").limit(sample)
     )
-    # At most `sample` narrow rows are broadcast.
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("y", "text")
+    # At most `sample` narrow rows are broadcast, and as many rows come out, however often an id repeats.
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "k")
+    return written(rows.groupBy("k", "y").agg(F.min("text").alias("text")).select("y", "text"))
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    terms: list[list[str]] = IDENTITY_TERMS, sample: int = SAMPLE, swap: float = SWAP,
+) -> ToxicityModel:
+    """Fit on the texts of at most ``sample`` of the given labelled rows, and on their counterfactual copies.
+
+    ``swap`` weighs the penalty on score changes between a text and its copy.
+    """
+    y = F.col(label).cast("int")
+    rows = labelled_rows(docs, labels, key, text, F.when(y.isin(0, 1), y), sample)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -159,29 +206,33 @@ def fit_toxicity(
         .where(F.col("n") >= LEAST_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z)
         .orderBy(F.desc("z"), "f").limit(FEATURES).select("f").toArrow()["f"].to_numpy().view(np.uint64)
     )
-    named = term_features(terms)
-    features = np.unique(np.concatenate([clear, *named]))
+    features = np.unique(np.concatenate([clear, term_features([t for own in terms for t in own])]))
     model = ToxicityModel(features, np.zeros(len(features)), 0.0)
+    swapped = swapper(terms)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = model._sieve()
+
+        def each(column: pa.Array) -> list[bytes]:
+            number, owner = model.known(column, sieve)
+            cut = np.searchsorted(owner, np.arange(len(column) + 1))
+            return [number[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(cut, cut[1:])]
+
         for whole in batches:
             for batch in hashing.slices(whole, "text"):
-                number, owner = model.known(batch.column(1), sieve)
-                cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-                each = [number[lo:hi].astype(np.int32).tobytes() for lo, hi in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.binary())], ["y", "i"])
-
-    got = rows.mapInArrow(numbers, "y int, i binary").toArrow()
-    sets = [np.frombuffer(x, np.int32).astype(np.int64) for x in got["i"].to_pylist()]
-    own = [np.searchsorted(features, f) for f in named]
-    whole = [x[-1] for x in own]  # the number of the whole term
-    seen = np.bincount(np.concatenate(sets), minlength=len(features)) / max(len(sets), 1) if sets else np.zeros(len(features))
-    swaps = [
-        (seen[whole[i]] / (len(terms) - 1), own[i], own[j])
-        for i in range(len(terms)) for j in range(len(terms)) if i != j and seen[whole[i]] > 0
-    ]
-    weights, intercept = fit_logistic(sets, got["y"].to_numpy().astype(float), len(features), swaps)
+                copies = [swapped(t) for t in batch.column(1).to_pylist()]
+                other = [x if c is not None else None for c, x in zip(copies, each(pa.array([c or "" for c in copies], pa.string())))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(each(batch.column(1)), pa.binary()), pa.array(other, pa.binary())], ["y", "i", "other"]
+                )
+
+    def numbered(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, np.int32).astype(np.int64)
+
+    got = rows.mapInArrow(numbers, "y int, i binary, other binary").toArrow()
+    sets = [numbered(x) for x in got["i"].to_pylist()]
+    copies = [(k, numbered(x)) for k, x in enumerate(got["other"].to_pylist()) if x is not None]
+    weights, intercept = fit_logistic(sets, got["y"].to_numpy().astype(float), len(features), copies, swap=swap)
     return ToxicityModel(features, weights, intercept)
 
 

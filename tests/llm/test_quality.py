@@ -44,3 +44,37 @@ def test_odd_rows(odd, no_rows, spark, sf):
     assert quality.score_quality(no_rows, model).count() == 0
     none = quality.fit_quality(odd, labels.where("doc_id < 0"), quality.label_grade())
     assert np.allclose(quality.score_quality(odd, none).select("expected_grade").toPandas(), 1.0)
+
+
+def test_fit_is_the_optimum_of_a_small_dense_problem(monkeypatch):
+    """No small move of any weight or threshold lowers the penalised loss, which is that of a plain gradient descent."""
+    monkeypatch.setattr(quality, "SIZE", 4)
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 1, (300, 4))
+    grades = np.digitize(x @ [3, -2, 1, 0] + rng.logistic(size=300) / 2, [0.3, 1.5])
+    rows = [(np.arange(4, dtype=np.int32), r.astype(np.float32)) for r in x]
+    model = quality.fit_ordinal(rows, grades, 3, l2=1e-2, steps=3_000)
+
+    def loss(w, theta):
+        edge = np.concatenate([[-np.inf], theta, [np.inf]])
+        z = x @ w
+        p = 1 / (1 + np.exp(z - edge[grades + 1])) - 1 / (1 + np.exp(z - edge[grades]))
+        return -np.log(np.maximum(p, 1e-300)).mean() + 0.5e-2 * (w**2).sum()
+
+    w, theta = model.weights.astype(float), model.thresholds.copy()
+    best = loss(w, theta)
+    for k in range(4):
+        for d in (-0.02, 0.02):
+            moved = w.copy()
+            moved[k] += d
+            assert loss(moved, theta) > best
+    for k in range(2):
+        for d in (-0.02, 0.02):
+            moved = theta.copy()
+            moved[k] += d
+            assert loss(w, moved) > best
+    v, t = np.zeros(4), np.array([0.0, 1.0])
+    for _ in range(4_000):
+        g = [(loss(v + e, t) - loss(v - e, t)) / 2e-5 for e in np.eye(4) * 1e-5] + [(loss(v, t + e) - loss(v, t - e)) / 2e-5 for e in np.eye(2) * 1e-5]
+        v, t = v - np.array(g[:4]), t - np.array(g[4:])
+    assert abs(loss(v, t) - best) < 1e-5 and np.abs(v - w).max() < 0.02

@@ -40,20 +40,77 @@ def test_swapped_terms_get_like_scores(spark, mentions, monkeypatch):
         return float((rows["muslims"] - rows["christians"]).abs().max()), float(rows["muslims"].max())
 
     fair = toxicity.fit_toxicity(mentions, mentions)
-    plain = toxicity.fit_toxicity(mentions, mentions, terms=["zebras", "yaks"])
+    plain = toxicity.fit_toxicity(mentions, mentions, terms=[["zebras", "yaks"]])
     (gap_fair, top_fair), (gap_plain, top_plain) = gap(fair), gap(plain)
     assert gap_fair < 0.3 * gap_plain and top_fair < top_plain
     scored = toxicity.score_toxicity(mentions, fair).toPandas()
     assert scored[scored.text.str.contains("vile|scummy")].score.min() > 0.5
 
 
-def test_penalty_shrinks_the_change():
-    rows = [np.array([0, 2]), np.array([1]), np.array([0]), np.array([1, 2])] * 20
-    y = np.array([1, 0, 1, 0] * 20, float)
-    free, _ = toxicity.fit_logistic(rows, y, 3)
-    swaps = [(0.5, np.array([0]), np.array([1])), (0.5, np.array([1]), np.array([0]))]
-    held, _ = toxicity.fit_logistic(rows, y, 3, swaps, swap=10.0)
-    assert abs(held[0] - held[1]) < 0.1 * abs(free[0] - free[1])
+def dense(rows, size):
+    x = np.zeros((len(rows), size + 1))
+    x[:, -1] = 1
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    return x
+
+
+def loss(p, x, y, gaps, l2, swap):
+    z = x @ p
+    return np.mean(np.logaddexp(0, z) - y * z) + l2 / 2 * (p[:-1] ** 2).sum() + swap * ((gaps @ p) ** 2).sum() / len(x)
+
+
+def newton(x, y, gaps, l2, swap):
+    """Optimum of the penalised loss by full Newton steps."""
+    p, ridge = np.zeros(x.shape[1]), np.diag([l2] * (x.shape[1] - 1) + [0.0])
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-x @ p))
+        g = x.T @ (q - y) / len(x) + ridge @ p + 2 * swap / len(x) * gaps.T @ (gaps @ p)
+        h = x.T @ (x * (q * (1 - q))[:, None]) / len(x) + ridge + 2 * swap / len(x) * gaps.T @ gaps
+        p = p - np.linalg.solve(h, g)
+    return p
+
+
+@pytest.mark.parametrize("swap", [0.0, 1.0, 25.0])
+def test_fit_equals_a_dense_fit(swap):
+    rng = np.random.default_rng(8)
+    rows = [np.flatnonzero(rng.random(9) < 0.4) for _ in range(200)]
+    y = (rng.random(200) < [0.2 + 0.6 * (0 in r) * (3 not in r) for r in rows]).astype(float)
+    # Feature 0 is a term that copies swap for feature 1, and 2 for 3.
+    copies = [(k, np.unique([{0: 1, 2: 3}.get(i, i) for i in r])) for k, r in enumerate(rows) if 0 in r or 2 in r]
+    gaps = dense(rows, 9)[[k for k, _ in copies]] - dense([c for _, c in copies], 9)
+    weights, intercept = toxicity.fit_logistic(rows, y, 9, copies, l2=1e-3, swap=swap, steps=3_000)
+    best = newton(dense(rows, 9), y, gaps, 1e-3, swap)
+    got = np.append(weights, intercept)
+    assert loss(got, dense(rows, 9), y, gaps, 1e-3, swap) - loss(best, dense(rows, 9), y, gaps, 1e-3, swap) < 1e-7
+    assert np.abs(got - best).max() < 0.02
+    short, _ = toxicity.fit_logistic(rows, y, 9, copies, l2=1e-3, swap=swap)
+    assert np.abs(short - weights).max() < 0.2
+
+
+def test_copies_swap_whole_words_of_a_set():
+    swap = toxicity.swapper([["muslims", "jews", "hindus"], ["he", "she"], ["alone"]])
+    assert swap("the alone theme, cheers") is None and swap("") is None
+    assert swap("He said: she.") == "she said: he."
+    out = {swap(f"{k} Muslims") for k in range(20)}
+    assert {x.split()[1] for x in out} == {"jews", "hindus"}
+    assert toxicity.swapper([]) ("he") is None
+    for own in toxicity.IDENTITY_TERMS:
+        assert toxicity.swapper(toxicity.IDENTITY_TERMS)(own[0]) != own[0]
+
+
+def test_the_penalty_acts_on_the_given_documents(spark, sf):
+    """The corpus holds pronouns: scores of the query's own fit change when the penalty is taken out."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    with_, without = (toxicity.fit_toxicity(docs, labels, swap=s) for s in (toxicity.SWAP, 0.0))
+    assert (with_.features == without.features).all() and np.abs(with_.weights - without.weights).max() > 1e-3
+
+
+def test_rows_that_train_are_bounded(spark):
+    docs = spark.range(3_000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (7, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled_rows(docs, labels, "doc_id", "text", labels.toxic, 8).collect()
+    assert sorted((r.y, r.text) for r in rows) == [(0, "text 0"), (1, "text 0")]
 
 
 def test_odd_rows(odd, no_rows, spark):
