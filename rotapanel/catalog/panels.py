@@ -484,7 +484,7 @@ episodios AS (
 
 @query("k30_state_spells", sql("SELECT id_hogar, id_pers, estado, desde, hasta, duracion FROM episodios", SPELLS))
 def spells(spark, sf):
-    return state_spells(base(spark, sf), PERSON, "trabajo").drop("corrida")
+    return state_spells(base(spark, sf), PERSON, "trabajo")
 
 
 @query("k30_trajectories", sql("""

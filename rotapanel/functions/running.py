@@ -1,10 +1,15 @@
 """Running sums and exact quantiles without a single sorted partition."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rotapanel.session import join_small, stored
+from rotapanel.session import BROADCAST_ROWS, join_small, settle, stored
+
+BINS = 4096
 
 
 def running_sums(df: DataFrame, order: str, values: list[str], by: list[str] | None = None) -> DataFrame:
@@ -30,32 +35,67 @@ def running_sums(df: DataFrame, order: str, values: list[str], by: list[str] | N
 
 
 def quantiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], by: list[str] | None = None
+    df: DataFrame, value: str, probabilities: dict[str, float], by: list[str] | None = None, bins: int = BINS
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, plus the row count and mean.
+    """Exact quantiles with linear interpolation, plus the row count and mean; NULL values don't count.
 
-    Works on the frequency of each distinct value, so equal values are
-    combined before any shuffle and no group sits in one task.
+    Every rank that is asked for has an interval of values it lies in. A pass counts the rows of all
+    open intervals in ``bins`` equal parts and goes on with the parts that hold a rank, cut to the values found in
+    them; an interval with one value is done. Only counts per part are shuffled, and no row is sorted.
     """
     by = by or []
-    freq = stored(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
-    ranked = running_sums(freq, value, ["n"], by)
-    sizes = freq.groupBy(*by).agg(F.sum("n").alias("_all"), F.sum(F.col("n") * F.col(value)).alias("_total"))
-    if by:
-        ranked = join_small(ranked, sizes, by)
-    else:
-        ranked = ranked.join(F.broadcast(sizes), F.lit(True))  # one row
-    picks: list[Column] = []
-    for name, p in probabilities.items():
-        at = (F.col("_all") - 1) * F.lit(float(p))
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(F.min(F.when(F.col("cum_n") > rank, F.col(value))).alias(f"{name}_{side}"))
-    found = ranked.groupBy(*by).agg(
-        *picks, F.max("_all").alias("n"), (F.max("_total") / F.max("_all")).alias("mean")
-    )
+    rows = stored(df.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.col(value).alias("_value")).where("_value IS NOT NULL"))
+    keys = [f"_by{k}" for k in range(len(by))]
+    v = F.col("_value")
+    sizes = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi")).where("n > 0"))
+    places = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), ends((F.col("n") - 1) * F.lit(float(p))).cast("long").alias("rank"))
+        for name, p in probabilities.items() for side, ends in (("lo", F.floor), ("hi", F.ceil))
+    ])
+    need = settle(sizes.select(*keys, F.explode(places).alias("p"), "lo", "hi").select(*keys, "p.name", "p.side", "p.rank", "lo", "hi"))
+    found = []
+    while True:
+        found.append(need.where("lo = hi"))
+        need = need.where("lo < hi")
+        if need.isEmpty():
+            break
+        # The intervals of a group are apart, and no more than the ranks asked for.
+        parts = need.groupBy(*keys).agg(F.collect_set(F.struct("lo", "hi")).alias("_parts"))
+        own = _join_groups(rows, parts, keys).withColumn("_at", F.get(F.filter("_parts", lambda x: (x["lo"] <= v) & (v <= x["hi"])), F.lit(0)))
+        own = own.where("_at IS NOT NULL").select(*keys, "_value", "_at.lo", "_at.hi")
+        share = (v.cast("double") - F.col("lo").cast("double")) / (F.col("hi").cast("double") - F.col("lo").cast("double"))
+        counted = own.groupBy(*keys, "lo", "hi", F.least(F.floor(share * bins), F.lit(bins - 1).cast("long")).alias("bin")).agg(
+            F.count(F.lit(1)).alias("c"), F.min(v).alias("new_lo"), F.max(v).alias("new_hi")
+        )
+        within = Window.partitionBy(*keys, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        counted = counted.withColumn("upto", F.sum("c").over(within))
+        a, b = need.alias("a"), counted.alias("b")
+        same = (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & (F.col("a.rank") < F.col("b.upto")) & (F.col("a.rank") >= F.col("b.upto") - F.col("b.c"))
+        for c in keys:
+            same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        need = settle(a.join(b, same).select(
+            *[F.col(f"a.{c}").alias(c) for c in keys], "name", "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"),
+            F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"),
+        ))
+    values = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(*[
+        F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("lo"))).alias(f"{name}_{side}") for name in probabilities for side in ("lo", "hi")
+    ])
+    both = _join_groups(sizes.select(*keys, "n", "mean"), values, keys)
     exact = []
     for name, p in probabilities.items():
         at = (F.col("n") - 1) * F.lit(float(p))
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         exact.append((low + (at - F.floor(at)) * (high - low)).alias(name))
-    return found.select(*by, "n", *exact, "mean")
+    return both.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", *exact, "mean")
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their group; a NULL key is a group."""
+    groups = settle(groups)
+    if not keys:
+        return rows.join(F.broadcast(groups), F.lit(True))  # one row
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
+    groups = groups.withColumnsRenamed({c: f"_of{c}" for c in keys})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys])
+    return rows.join(groups, same).drop(*[f"_of{c}" for c in keys])

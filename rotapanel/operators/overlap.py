@@ -148,15 +148,30 @@ def state_spells(
 ) -> DataFrame:
     """Runs of equal state per unit over consecutive periods; a period without observation ends a run.
 
-    ``periods`` lists the codes in order. Windows are per unit, over one row per period.
+    ``periods`` lists the codes in order. A unit is one row with its states in an array, from one grouped pass;
+    runs are read off the array. A NULL state that was observed is a state.
     """
-    codes = F.array(*[F.lit(p) for p in periods or QUARTERS])
-    observed = df.groupBy(*unit, period).agg(F.max(state).alias("estado"))
-    within = Window.partitionBy(*unit, "estado").orderBy("_k")
-    numbered = observed.withColumn("_k", F.array_position(codes, F.col(period)))
-    runs = numbered.withColumn("corrida", F.col("_k") - F.row_number().over(within))
-    return runs.groupBy(*unit, "estado", "corrida").agg(
-        F.min(period).alias("desde"), F.max(period).alias("hasta"), F.count(F.lit(1)).alias("duracion")
+    codes = periods or QUARTERS
+    last = len(codes) - 1
+    here = [F.col(period) == p for p in codes]
+    states = F.array(*[F.max(F.when(h, F.struct(F.lit(1).alias("seen"), F.col(state).alias("is")))) for h in here])
+    per_unit = df.groupBy(*unit).agg(states.alias("_states"))
+    at = F.sequence(F.lit(0), F.lit(last))
+
+    def of(k: Column) -> Column:
+        return F.get(F.col("_states"), k)
+
+    def apart(k: Column, other: Column) -> Column:
+        return of(k).isNotNull() & (of(other).isNull() | ~of(k)["is"].eqNullSafe(of(other)["is"]))
+
+    # Beyond either end there is no element, so the first and the last run end there.
+    starts = F.filter(at, lambda k: apart(k, k - 1))
+    ends = F.filter(at, lambda k: apart(k, k + 1))
+    runs = per_unit.select(*unit, "_states", F.inline(F.arrays_zip(starts.alias("_a"), ends.alias("_b"))).alias("_a", "_b"))
+    names = F.array(*[F.lit(p) for p in codes])
+    return runs.select(
+        *unit, of(F.col("_a"))["is"].alias("estado"), F.get(names, F.col("_a")).alias("desde"), F.get(names, F.col("_b")).alias("hasta"),
+        (F.col("_b") - F.col("_a") + 1).cast("long").alias("duracion"),
     )
 
 

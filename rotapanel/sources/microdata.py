@@ -57,7 +57,15 @@ def number_within(
             {**{n: F.min(c).over(group) for n, c in carry.items()}, "number": F.row_number().over(group.orderBy(order)).cast("long")}
         )
 
-    large = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > width).select(*keys))
+    # Groups are counted together first, by a hash with room for about eight times their rows: only where such a
+    # count passes the width are its groups counted one by one.
+    places = max(4096, 8 * df.count() // width)
+    place = F.expr(f"pmod(xxhash64({', '.join(keys)}), {places})")
+    full = settle(df.groupBy(place.alias("_place")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > width).select("_place"))
+    if full.isEmpty():
+        return by_window(df)
+    suspects = join_small(df.withColumn("_place", place), full, ["_place"], "left_semi")
+    large = settle(suspects.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > width).select(*keys))
     if large.isEmpty():
         return by_window(df)
     rest = by_window(join_small(df, large, keys, "left_anti"))
