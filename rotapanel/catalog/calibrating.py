@@ -112,12 +112,11 @@ def margins_each_quarter(spark, sf):
 
 @query("i3_poststratify_households", sql("""
 SELECT id_hogar, trimestre, round(dk_mes_cali, 6) AS dk_mes_cali, round(dk_mes_cali / dk_mes, 9) AS g
-FROM hogcal WHERE trimestre = 'T1'""", QUARTERLY_CAL))
+FROM hogcal""", QUARTERLY_CAL))
 def poststratify_households(spark, sf):
-    people = quarterly(spark, sf).where(F.col("trimestre") == "T1")
-    homes = quarterly_plan.household_file(people, "dk_mes")
+    homes = quarterly_plan.household_file(quarterly(spark, sf), "dk_mes")
     targets = quarterly_plan.household_targets(controls(spark, sf))
-    out = poststratify(homes, "dk_mes", targets, "total", ["estrato"], name="dk_mes_cali")
+    out = poststratify(homes, "dk_mes", targets, "total", ["estrato"], ["trimestre"], "dk_mes_cali")
     out = out.withColumn("g", F.col("dk_mes_cali") / F.col("dk_mes"))
     return rounded(out.select("id_hogar", "trimestre", "dk_mes_cali", "g"), dk_mes_cali=6, g=9)
 

@@ -272,7 +272,15 @@ def predicted(spark, sf):
     return rounded(_scored(spark, sf, SIMPLE).select(*PERSON, "trimestre", "respboth_per", "prob_resp"), prob_resp=6)
 
 
-@query("k17_coefficient_table")
+# Two-sided normal tail by the series exp(-x^2) sum x^(2k+1) / gamma(k + 3/2), x = |t| / sqrt(2).
+_NORMAL_TAIL = "round(1 - (SELECT sum(exp((2 * k + 1) * ln(abs(t) / sqrt(2)) - t * t / 2 - lgamma(k + 1.5))) FROM range(300) q(k)), 6)"
+
+
+@query("k17_coefficient_table", sql(
+    f"""
+SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(t, 4) AS t, {_NORMAL_TAIL} AS p FROM (
+  SELECT '(Intercept)' AS term, b0 AS estimate, e0 AS se, b0 / e0 AS t FROM nr UNION ALL SELECT 'sexo_Mujer', b1, e1, b1 / e1 FROM nr
+  UNION ALL SELECT 'ingreso', b2 / 100000, e2 / 100000, b2 / e2 FROM nr)""", PANEL, LOGIT))
 def coefficient_table(spark, sf):
     people = stored(_people(spark, sf))
     model = fit_response(people, "respboth_per", SIMPLE)

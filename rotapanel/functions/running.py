@@ -2,12 +2,11 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rotapanel.session import BROADCAST_ROWS, join_small, settle, stored
+from rotapanel.session import join_groups, join_small, settle, stored
 
 BINS = 4096
 
@@ -61,7 +60,7 @@ def quantiles(
             break
         # The intervals of a group are apart, and no more than the ranks asked for.
         parts = need.groupBy(*keys).agg(F.collect_set(F.struct("lo", "hi")).alias("_parts"))
-        own = _join_groups(rows, parts, keys).withColumn("_at", F.get(F.filter("_parts", lambda x: (x["lo"] <= v) & (v <= x["hi"])), F.lit(0)))
+        own = join_groups(rows, parts, keys).withColumn("_at", F.get(F.filter("_parts", lambda x: (x["lo"] <= v) & (v <= x["hi"])), F.lit(0)))
         own = own.where("_at IS NOT NULL").select(*keys, "_value", "_at.lo", "_at.hi")
         share = (v.cast("double") - F.col("lo").cast("double")) / (F.col("hi").cast("double") - F.col("lo").cast("double"))
         counted = own.groupBy(*keys, "lo", "hi", F.least(F.floor(share * bins), F.lit(bins - 1).cast("long")).alias("bin")).agg(
@@ -80,22 +79,10 @@ def quantiles(
     values = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(*[
         F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("lo"))).alias(f"{name}_{side}") for name in probabilities for side in ("lo", "hi")
     ])
-    both = _join_groups(sizes.select(*keys, "n", "mean"), values, keys)
+    both = join_groups(sizes.select(*keys, "n", "mean"), values, keys)
     exact = []
     for name, p in probabilities.items():
         at = (F.col("n") - 1) * F.lit(float(p))
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         exact.append((low + (at - F.floor(at)) * (high - low)).alias(name))
     return both.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "n", *exact, "mean")
-
-
-def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the columns of their group; a NULL key is a group."""
-    groups = settle(groups)
-    if not keys:
-        return rows.join(F.broadcast(groups), F.lit(True))  # one row
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    groups = groups.withColumnsRenamed({c: f"_of{c}" for c in keys})
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys])
-    return rows.join(groups, same).drop(*[f"_of{c}" for c in keys])

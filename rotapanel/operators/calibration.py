@@ -1,17 +1,23 @@
 """Linear calibration of weights to control totals."""
 from __future__ import annotations
 
-from functools import reduce
+import sys
+from collections.abc import Iterator
 from itertools import combinations_with_replacement as pairs_of
-from operator import and_
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rotapanel.functions.running import quantiles
 from rotapanel.operators.weights import or_fail
-from rotapanel.session import join_small
+from rotapanel.session import join_groups, join_small
+
+# Executors may not have this package installed: send its functions along with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def poststratify(
@@ -89,38 +95,39 @@ def calibrate(
 ) -> DataFrame:
     """Linear calibration on any 0/1 or numeric terms.
 
-    One pass sums d z z' and d z; the system has as many equations as terms
-    and is solved on the driver. ``within`` repeats the calibration per period against
-    the same totals: still one pass, one small system per period, and their
-    multipliers joined to the rows. Use :func:`poststratify` when the terms are disjoint cells.
+    One pass sums d z z' and d z; the system has as many equations as terms. ``within`` repeats the calibration per period against
+    the same totals: still one pass, and each period's small system is solved where its sums lie; the multipliers are joined
+    to the rows by size. Use :func:`poststratify` when the terms are disjoint cells.
     """
     labels, keys = list(terms), within or []
     z = [terms[t].cast("double") for t in labels]
-    d = F.col(weight)
+    d, p = F.col(weight), len(terms)
+    upper, want = np.triu_indices(p), np.array([totals[t] for t in labels])
+    zero = F.lit(0.0)
     sums = df.groupBy(*keys).agg(
-        *[F.sum(d * z[j]).alias(f"t{j}") for j in range(len(z))],
-        *[F.sum(d * z[j] * z[k]).alias(f"g{j}_{k}") for j, k in pairs_of(range(len(z)), 2)],
-    ).collect()
+        F.array(*[F.coalesce(F.sum(d * x), zero) for x in z]).alias("_t"),
+        F.array(*[F.coalesce(F.sum(d * z[j] * z[k]), zero) for j, k in pairs_of(range(p), 2)]).alias("_g"),
+    )
 
-    def multipliers(row) -> list[float]:
-        gram = np.zeros((len(z), len(z)))
-        for j, k in pairs_of(range(len(z)), 2):
-            gram[j, k] = gram[k, j] = row[f"g{j}_{k}"] or 0.0
-        gap = np.array([totals[t] - (row[f"t{j}"] or 0.0) for j, t in enumerate(labels)])
-        return [float(x) for x in solved(gram, gap, labels)]
+    def multipliers(t: list[float], g: list[float]) -> list[float]:
+        gram = np.zeros((p, p))
+        gram[upper] = g
+        return [float(x) for x in solved(gram + np.triu(gram, 1).T, want - np.array(t), labels)]
 
     if not keys:
-        found = [F.lit(x) for x in multipliers(sums[0])]
+        found = [F.lit(x) for x in multipliers(*sums.first())]
     else:
-        schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + ", _m array<double>"
-        rows = [(*[r[c] for c in keys], multipliers(r)) for r in sums]
-        # One row per period; a null period is a group of its own.
-        table = df.sparkSession.createDataFrame(rows, schema).select(*[F.col(c).alias(f"_{c}") for c in keys], "_m")
-        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
-        df = df.join(F.broadcast(table), same, "left").drop(*[f"_{c}" for c in keys])
-        found = [F.col("_m")[j] for j in range(len(z))]
+        schema = T.StructType([*(sums.schema[c] for c in keys), T.StructField("_m", T.ArrayType(T.DoubleType()))])
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                each = [multipliers(t, g) for t, g in zip(batch["_t"].to_pylist(), batch["_g"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), pa.array(each, pa.list_(pa.float64()))], [*keys, "_m"])
+
+        df = join_groups(df, sums.mapInArrow(solve, schema), keys, "left")
+        found = [F.col("_m")[j] for j in range(p)]
     g = F.lit(1.0)
-    for j in range(len(z)):
+    for j in range(p):
         g = g + z[j] * found[j]
     return df.withColumn(name, d * g).drop("_m")
 

@@ -5,6 +5,8 @@ import os
 import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +108,15 @@ def join_small(
     if small.count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows with the columns of their group; a NULL key is a group too. As :func:`join_small` for the size of ``groups``."""
+    groups = settle(groups)
+    if not keys:
+        return rows.join(F.broadcast(groups), F.lit(True))  # one row
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
+    groups = groups.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    return rows.join(groups, same, how).drop(*[f"_of_{c}" for c in keys])
