@@ -266,7 +266,7 @@ def model_tests(
     """(by..., model, chi2, df, deff, chi2_rs, df_rs, critical, p, n, converged, chosen): second-order tests of fit.
 
     ``df`` counts cells less free parameters: those at a bound are not free. The corrected statistic has ``df_rs`` degrees of
-    freedom, not whole ones. ``chosen`` marks the best fit: the largest p value, and of equal ones the model
+    freedom, not whole ones; the residuals' own covariances give it, so it may pass ``df`` where a model doesn't fit exactly. ``chosen`` marks the best fit: the largest p value, and of equal ones the model
     with the fewest parameters; a model without degrees of freedom has no p value and is chosen only if there is no other.
     """
     by, g = by or [], len(levels)
