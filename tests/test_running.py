@@ -25,22 +25,3 @@ def test_quantiles_interpolate(spark):
     for r in quantiles(rows, "x", points, ["g"]).collect():
         for name, p in points.items():
             assert r[name] == pytest.approx(np.quantile(values[values.g == r.g].x, p))
-
-
-@pytest.mark.parametrize("bins", [3, 64, 4096])
-def test_quantiles_of_uneven_values(spark, bins):
-    """Far outliers, ties, NULL values and a NULL group: intervals narrow until they hold one value."""
-    rng = np.random.default_rng(4)
-    x = np.concatenate([np.exp(rng.normal(0, 8, 400)), np.repeat(1e-3, 300), -np.exp(rng.normal(0, 3, 100)), [1e15, -1e12]])
-    g = rng.choice(["a", "b", None], len(x))
-    rows = [(float(v), k) for v, k in zip(x, g)] + [(None, "a"), (None, None), (5.0, "one")]
-    df = spark.createDataFrame(rows, "x double, g string")
-    points = {"p0": 0.0, "p1": 0.01, "p2": 0.333, "p3": 0.5, "p4": 0.975, "p5": 1.0}
-    got = {r.g: r for r in quantiles(df, "x", points, ["g"], bins).collect()}
-    assert set(got) == {"a", "b", None, "one"}
-    for k, r in got.items():
-        own = np.array([v for v, other in rows if other == k and v is not None])
-        assert r.n == len(own)
-        for name, p in points.items():
-            assert r[name] == pytest.approx(np.quantile(own, p), rel=1e-9)
-    assert quantiles(df.where("g = 'none'"), "x", points).count() == 0
