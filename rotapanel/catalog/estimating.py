@@ -8,7 +8,7 @@ from rotapanel.catalog.common import (
     ANNUAL_CAL, PANEL_FINAL, QUARTERLY_CAL, base, controls, covariance, rounded, sql, t_points, t_within, variance,
 )
 from rotapanel.catalog.registry import query
-from rotapanel.functions.distributions import critical_t
+from rotapanel.functions.distributions import t_point
 from rotapanel.functions.recode import cv, in_labour_force, unemployed
 from rotapanel.operators.calibration import calibrate
 from rotapanel.operators.contrasts import (
@@ -401,7 +401,7 @@ def df_of_domain(spark, sf):
 ))
 def critical_values(spark, sf):
     sizes = SurveyDesign(base(spark, sf), "fep").strata_sizes()
-    return sizes.select("estrato", (F.col("n_psu") - 1).alias("df")).withColumn("t_crit", F.round(critical_t(F.col("df")), 6))
+    return sizes.select("estrato", (F.col("n_psu") - 1).alias("df")).withColumn("t_crit", F.round(t_point("df"), 6))
 
 
 @query("j23_covariance_scenarios", _planning_sql("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rotapanel.functions.distributions import critical_t, p_value_t
+from rotapanel.functions.distributions import t_point, t_two_sided
 from rotapanel.operators.design import SurveyDesign
 from rotapanel.operators.estimation import degrees_of_freedom
 from rotapanel.operators.statset import StatSet, domain_means, level_measures, stat_set
@@ -35,7 +35,7 @@ def design_t_test(design: SurveyDesign, y: Column, levels: dict[str, Column]) ->
     df = degrees_of_freedom(design).select((F.col("df") - 1).alias("df"))
     both = change.join(F.broadcast(df), F.lit(True)).withColumn("t", F.col("delta") / F.col("se"))  # one row each
     return both.withColumns(
-        {"t_crit": critical_t(F.col("df")), "p": p_value_t(F.col("t"), F.col("df"))}
+        {"t_crit": t_point("df"), "p": t_two_sided("t", "df")}
     ).withColumn("reject", F.abs("t") > F.col("t_crit"))
 
 

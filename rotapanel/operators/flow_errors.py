@@ -283,11 +283,12 @@ def model_tests(
         corrected, df_rs = (chi2 * first / second, first**2 / second) if tested else (None, None)
         return [{
             "chi2": chi2, "df": df, "deff": float(first / df) if df else None, "chi2_rs": corrected, "df_rs": df_rs,
-            "critical": chi2_point(df_rs) if tested else None, "p": chi2_above(corrected, df_rs) if tested else None,
             "n": int(n), "converged": converged, "order": -degrees_of_freedom(row.model, g),
         }]
 
-    schema = "chi2 double, df int, deff double, chi2_rs double, df_rs double, critical double, p double, n long, converged boolean, order int"
+    schema = "chi2 double, df int, deff double, chi2_rs double, df_rs double, n long, converged boolean, order int"
     out = _per_model(_cells(design, s1, s2, levels, by, persons=True), models or list(MODELS), by, schema, found)
+    out = out.withColumns({"critical": chi2_point("df_rs"), "p": chi2_above("chi2_rs", "df_rs")})
     ranked = Window.partitionBy(*by, F.lit(0)).orderBy(F.col("p").desc_nulls_last(), "order", "model")  # a row for each model
-    return out.withColumn("chosen", F.row_number().over(ranked) == 1).drop("order")
+    out = out.withColumn("chosen", F.row_number().over(ranked) == 1)
+    return out.select(*by, "model", "chi2", "df", "deff", "chi2_rs", "df_rs", "critical", "p", "n", "converged", "chosen")

@@ -412,9 +412,7 @@ def goodness_of_fit(
     row = props.row.select(
         F.array(*[props.est(c) for c in cells]).alias("cells"), F.array(*[props.cov(c, c) for c in cells]).alias("v")
     ).join(n, F.lit(True))
-    schema = (
-        "model string, chi2 double, deff double, chi2_rs double, df int, critical double, p double, iterations int, converged boolean"
-    )
+    schema = "model string, chi2 double, deff double, chi2_rs double, df int, iterations int, converged boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -435,15 +433,15 @@ def goodness_of_fit(
                         "deff": [deff],
                         "chi2_rs": [chi2 / deff],
                         "df": [df],
-                        "critical": [chi2_point(df) if df > 0 else None],
-                        "p": [chi2_above(chi2 / deff, df) if df > 0 else None],
                         "iterations": [int(fit["iterations"][0])],
                         "converged": [bool(fit["converged"][0])],
                     }
                 )
 
     one_per_model = row.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    return one_per_model.repartition(len(models), "model").mapInPandas(run, schema)
+    tests = one_per_model.repartition(len(models), "model").mapInPandas(run, schema)
+    tails = {"critical": chi2_point("df"), "p": chi2_above("chi2_rs", "df")}
+    return tests.withColumns(tails).select("model", "chi2", "deff", "chi2_rs", "df", "critical", "p", "iterations", "converged")
 
 
 def exits_to(parameters: DataFrame, state: str, domain: str) -> DataFrame:
