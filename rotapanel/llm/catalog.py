@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotapanel.llm import centroids, decontaminate, fill_middle, mixing, near_dup, quality, repeats, sharding, toxicity, url_filter, vectors, warc, word_repeats
+from rotapanel.llm.steps import written
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -156,7 +157,9 @@ SELECT page_id, payload_bytes, payload_digest,
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf, "pages"), warc.archive_folder(spark, "warc"))
     records = warc.read_archives(archives, payloads=False)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = written(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    warc.check_revisits(records)
+    return records
 
 
 @query("op8_toxicity")

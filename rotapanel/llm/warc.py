@@ -3,7 +3,8 @@
 A task writes archives of bounded size into the given folder; names are unique per
 attempt, and only archives named in the returned list count, so a retried task
 leaves no record twice. The reader inflates archives piece by piece, frames records
-by their content length and checks block and payload digests.
+by their content length while it does, feeds their digests as bytes come and checks them: without
+payloads a task holds one piece and the headers of a record, whatever the record's length.
 
 Of records with the same payload (from ``MIN_REVISIT`` bytes on) the one with the
 smallest id is a response, the others are revisits that refer to it and carry only
@@ -16,6 +17,7 @@ gives an empty list of archives; extra columns are not written.
 """
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -126,48 +128,149 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     return written(rows.mapInArrow(write, ARCHIVES))
 
 
-def members(stream, read: int = READ) -> Iterator[bytes]:
-    """The inflated gzip members of a stream, one at a time."""
-    inflate, parts, begun = zlib.decompressobj(31), [], False
+def _checked(name: str, told: str | None, sha256, sha1) -> None:
+    """Raises if a digest header differs; a header that is absent or of another kind can't be checked."""
+    kind, _, value = (told or "").partition(":")
+    if kind == "sha256" and value.lower() != sha256.hexdigest():
+        raise ValueError(f"digest of the {name} differs")
+    if kind == "sha1" and value.upper() != base64.b32encode(sha1.digest()).decode():
+        raise ValueError(f"digest of the {name} differs")
+
+
+class Framer:
+    """Cuts inflated bytes into records as they come.
+
+    Only headers and, if asked for, the payload of the current record are held; digests are fed piece by piece.
+    A block that isn't HTTP is its own payload.
+    """
+
+    def __init__(self, payloads: bool = True):
+        self.payloads = payloads
+        self._begin()
+
+    def _begin(self) -> None:
+        self.head, self.fields, self.left, self.end = bytearray(), None, 0, b""
+        self.http, self.told, self.size, self.parts = None, None, 0, []
+        self.block_sha = hashlib.sha256(), hashlib.sha1()
+        self.payload_sha = hashlib.sha256(), hashlib.sha1()
+
+    @property
+    def between(self) -> bool:
+        """No record has begun."""
+        return self.fields is None and not self.head
+
+    def feed(self, piece: bytes) -> Iterator[dict]:
+        while piece:
+            if self.fields is None:
+                piece = self._fill(self.head, piece)
+                if piece is None:
+                    return
+                self._open(bytes(self.head))
+            elif self.left:
+                part, piece = piece[: self.left], piece[self.left :]
+                self.left -= len(part)
+                self._block(part)
+            if self.fields is not None and not self.left:
+                more = 4 - len(self.end)
+                self.end, piece = self.end + piece[:more], piece[more:]
+                if not b"\r\n\r\n".startswith(self.end):
+                    raise ValueError("the record's length differs from its header")
+                if len(self.end) == 4:
+                    yield self._close()
+                    self._begin()
+
+    @staticmethod
+    def _fill(head: bytearray, piece: bytes) -> bytes | None:
+        """Adds to a head up to its empty line; what follows it, or None if the line is still to come."""
+        seen = max(0, len(head) - 3)
+        head += piece
+        at = head.find(b"\r\n\r\n", seen)
+        if at < 0:
+            return None
+        rest = bytes(head[at + 4 :])
+        del head[at:]
+        return rest
+
+    def _open(self, head: bytes) -> None:
+        lines = head.decode().split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("not a record")
+        self.fields = {k.strip().lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
+        self.left = int(self.fields["content-length"])
+        if self.fields.get("content-type", "").startswith("application/http"):
+            self.http = bytearray()
+
+    def _block(self, part: bytes) -> None:
+        for sha in self.block_sha:
+            sha.update(part)
+        if self.http is not None and self.told is None:
+            part = self._fill(self.http, part)
+            if part is None:
+                return
+            lengths = [x.partition(b":")[2] for x in bytes(self.http).split(b"\r\n") if x.lower().startswith(b"content-length:")]
+            self.told = int(lengths[0]) if lengths else -1
+        for sha in self.payload_sha:
+            sha.update(part)
+        self.size += len(part)
+        if self.payloads:
+            self.parts.append(part)
+
+    def _close(self) -> dict:
+        fields, kind = self.fields, self.fields["warc-type"]
+        name = fields["warc-record-id"]
+        _checked(f"block of {name}", fields.get("warc-block-digest"), *self.block_sha)
+        told = self.size if self.told in (None, -1) else self.told
+        if kind != "revisit":
+            if told != self.size:
+                raise ValueError(f"payload of {name} differs from its header")
+            _checked(f"payload of {name}", fields.get("warc-payload-digest"), *self.payload_sha)
+
+        def page(field: str) -> int | None:
+            value = fields.get(field, "")
+            return int(value[len("<urn:page:") : -1]) if value.startswith("<urn:page:") and len(value) > len("<urn:page:>") else None
+
+        return {
+            "record_id": name, "page_id": page("warc-record-id"), "record_type": kind, "target_uri": fields.get("warc-target-uri"),
+            "payload_digest": fields.get("warc-payload-digest", "sha256:" + self.payload_sha[0].hexdigest()).removeprefix("sha256:"),
+            "payload_bytes": told, "refers_to": page("warc-refers-to"),
+            "payload": b"".join(self.parts) if self.payloads and kind != "revisit" else None,
+        }
+
+
+def records(stream, payloads: bool = True, read: int = READ) -> Iterator[dict]:
+    """The records of an archive, verified; at most ``read`` bytes are inflated at a time, however long a record is."""
+    framer, inflate = Framer(payloads), None
     while data := stream.read(read):
         while data:
-            begun = True
-            parts.append(inflate.decompress(data))
-            data = inflate.unused_data
+            inflate = inflate or zlib.decompressobj(31)
+            yield from framer.feed(inflate.decompress(data, read))
             if inflate.eof:
-                yield b"".join(parts)
-                inflate, parts, begun = zlib.decompressobj(31), [], False
-    if begun:
+                if not framer.between:
+                    raise ValueError("a member ends within a record")
+                data, inflate = inflate.unused_data, None
+            else:
+                data = inflate.unconsumed_tail
+    if inflate is not None:
         raise ValueError("the archive ends within a record")
 
 
 def parse_record(data: bytes) -> dict:
     """Headers and payload of one record; raises if framing or digests don't fit."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
-        raise ValueError("not a record")
-    fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-    length = int(fields["content-length"])
-    block, end = rest[:length], rest[length:]
-    if len(block) != length or end != b"\r\n\r\n":
-        raise ValueError("the record's length differs from its header")
-    if _digest(block) != fields["warc-block-digest"]:
-        raise ValueError(f"block digest of {fields['warc-record-id']} differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    told = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-    if fields["warc-type"] == "response" and (len(payload) != told or _digest(payload) != fields["warc-payload-digest"]):
-        raise ValueError(f"payload of {fields['warc-record-id']} differs from its header")
-
-    def page(name: str) -> int | None:
-        value = fields.get(name, "")[len("<urn:page:") : -1]
-        return int(value) if value else None
-
-    return {
-        "record_id": fields["warc-record-id"], "page_id": page("warc-record-id"), "record_type": fields["warc-type"],
-        "target_uri": fields.get("warc-target-uri"), "payload_digest": fields["warc-payload-digest"].removeprefix("sha256:"),
-        "payload_bytes": told, "refers_to": page("warc-refers-to"), "payload": payload if fields["warc-type"] == "response" else None,
-    }
+    framer = Framer()
+    found = list(framer.feed(data))
+    if len(found) != 1 or not framer.between:
+        raise ValueError("not one whole record")
+    return found[0]
+
+
+def check_revisits(found: DataFrame) -> None:
+    """Ends the job if a revisit's payload digest isn't that of a response with the id that it refers to."""
+    # Stored by itself, so that Spark can split the join where many pages revisit one.
+    claims = written(found.where("record_type = 'revisit'").selectExpr("refers_to AS page_id", "payload_digest").distinct())
+    responses = found.where("record_type = 'response'").select("page_id", "payload_digest")
+    wrong = claims.join(responses, ["page_id", "payload_digest"], "left_anti")
+    if not wrong.isEmpty():
+        raise ValueError(f"page {wrong.first().page_id} isn't the payload that its revisits tell of")
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -183,11 +286,10 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 store, path = fs.FileSystem.from_uri(row["path"])
                 rows, size, n = [], 0, 0
                 with store.open_input_stream(path, compression=None) as stream:
-                    for data in members(stream):
-                        record = parse_record(data)
+                    for record in records(stream, payloads):
                         n += 1
-                        size += len(data) if payloads else 400
-                        rows.append(record if payloads else record | {"payload": None})
+                        size += 400 + len(record["payload"] or b"")
+                        rows.append(record)
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
