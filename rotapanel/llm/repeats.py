@@ -19,7 +19,7 @@ it: windows whose starts lie within a slice share all bytes but a few, and the h
 shared bytes is the new key; at last a slice is one window, and equal windows are one row.
 
 Cases: null and empty texts have no bytes and no spans; texts shorter than a window are never
-touched; rows without an id, and rows that repeat one, are told apart by their text; equal rows
+touched; rows without an id, and rows that repeat one, are told apart by their text (by 128 bits of hashes); equal rows
 are copies of each other; an empty table gives an empty result; extra columns are ignored.
 """
 from __future__ import annotations
@@ -29,19 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rotapanel.llm import anchors
 from rotapanel.llm.anchors import GRAM, WINDOW
 from rotapanel.llm.hashing import slices, text_bytes
 from rotapanel.llm.steps import written
+from rotapanel.session import join_small, settle
 
 REACH = WINDOW - GRAM  # bytes of a window beside its anchor
 STEPS = REACH + 1  # symbols of a window, with the anchor as one
 CROWD = 1_000
 SLICES = [16, 1]  # starts per slice when a crowd is split
 BUCKET = 2 << 20
+PARTS = 1 << 18  # parts merged at a time
 SHARDS = 4
 _ANCHOR, _END = 0xFF, 0xFE  # bytes that UTF-8 never holds
 
@@ -315,11 +317,57 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(lo[at].tolist(), far[np.append(at[1:], len(lo)) - 1].tolist()))
 
 
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """Parts (doc, lo, hi) with those that meet made one, task by task: a text of one letter has a part per byte."""
+
+    def merge(table: pa.Table) -> pa.RecordBatch:
+        doc, lo, hi = (table[c].to_numpy() for c in ("doc", "lo", "hi"))
+        order = np.lexsort((lo, doc))
+        doc, lo, hi = doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+        first = np.concatenate([[True], doc[1:] != doc[:-1]])
+        # Each text in a range of its own, so that one running maximum serves all.
+        shift = (np.cumsum(first) - 1) * (int(hi.max()) + 1)
+        far = np.maximum.accumulate(hi + shift)
+        at = np.flatnonzero(first | np.concatenate([[True], (lo + shift)[1:] > far[:-1]]))
+        ends = (far - shift)[np.append(at[1:], len(doc)) - 1]
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(lo[at].astype(np.int32)), pa.array(ends.astype(np.int32))], ["doc", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, rows = [], 0
+        for batch in batches:
+            have, rows = [*have, batch], rows + batch.num_rows
+            if rows >= PARTS:
+                yield merge(pa.Table.from_batches(have))
+                have, rows = [], 0
+        if rows:
+            yield merge(pa.Table.from_batches(have))
+
+    return parts.mapInArrow(run, "doc long, lo int, hi int")
+
+
+def identity(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "id", "text")
+
+
+def with_identity(docs: DataFrame) -> DataFrame:
+    """Docs (id, text) with a number ``doc`` that only equal rows share.
+
+    Rows whose first hash is another row's too, as told by a second one, are numbered by that second hash.
+    """
+    both = docs.select(identity(0).alias("doc"), identity(1).alias("other")).distinct()
+    shared = settle(both.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"))
+    docs = docs.withColumn("doc", identity(0))
+    if shared.isEmpty():
+        return docs
+    marked = join_small(docs, shared.withColumn("shared", F.lit(True)), ["doc"], "left")
+    return marked.withColumn("doc", F.when(F.col("shared"), identity(1)).otherwise(F.col("doc"))).drop("shared")
+
+
 def remove_repeats(table: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also spans and the kept bytes."""
     docs = table.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("doc", F.xxhash64("id", "text"))
-    parts = repeated_parts(docs.select("doc", "text"))
+    docs = with_identity(docs)
+    parts = merged_parts(repeated_parts(docs.select("doc", "text")).select("doc", "lo", "hi"))
     lists = parts.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
     rows = docs.join(lists, "doc", "left").select("id", "text", "parts")
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rotapanel.llm import repeats
 
@@ -112,3 +113,23 @@ def test_long_text_in_pieces(spark, monkeypatch):
     whole = windows(column)
     monkeypatch.setattr(anchors, "PIECE", 3000)
     assert set(windows(column)) == set(whole)
+
+
+def test_parts_of_a_text_are_merged_in_their_task(spark):
+    rows = [(d, k, k + 200) for d in (5, -7) for k in range(3_000)] + [(5, 4_000, 4_200), (9, 0, 200), (9, 200, 400), (9, 500, 700), (9, 100, 650)]
+    parts = spark.createDataFrame(rows, "doc long, lo int, hi int").coalesce(1)
+    found = sorted(tuple(r) for r in repeats.merged_parts(parts).collect())
+    assert found == [(-7, 0, 3_199), (5, 0, 3_199), (5, 4_000, 4_200), (9, 0, 700)]
+    assert repeats.merged_parts(parts.where("doc = 0")).count() == 0
+
+
+def test_rows_of_one_hash_keep_spans_of_their_own(spark, monkeypatch):
+    """With a first hash of two bits nearly all rows collide, and the second one tells them apart."""
+    texts = [f"{k} " * 90 + ("shared passage " * 20 if k % 3 else "") for k in range(40)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")
+    want = sorted(tuple(r) for r in repeats.remove_repeats(docs).collect())
+    whole = repeats.identity
+    monkeypatch.setattr(repeats, "identity", lambda seed: whole(seed) if seed else F.pmod(whole(0), F.lit(4)))
+    numbered = repeats.with_identity(docs.select(F.col("doc_id").alias("id"), "text"))
+    assert numbered.select("doc").distinct().count() == 40
+    assert sorted(tuple(r) for r in repeats.remove_repeats(docs).collect()) == want
